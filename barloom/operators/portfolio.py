@@ -159,35 +159,43 @@ def baseline_ma_cross(panel: DataFrame, *, short: int = 5, long: int = 20,
     return _equal_among(p.withColumn("_s", F.lag("_x").over(order)), "_s", keys)
 
 
-def weight_changes(weights: DataFrame, *, keys: Sequence[str] = RUN) -> DataFrame:
-    """(keys, date, idx, symbol, weight, held, delta, from_date).
+def weight_changes(weights: DataFrame, *, keys: Sequence[str] = RUN,
+                   prices: DataFrame | None = None, columns: Sequence[str] = ()) -> DataFrame:
+    """(keys, symbol, date, idx, weight, held, delta, columns..., prev_columns...).
 
     A (run, date) without a row for a symbol means weight 0, so the frame may
     leave zero rows out: the drop to zero on the next run date is added here
     instead of building the full date x symbol grid. ``held`` is the weight of
-    the previous run date, ``from_date`` the row whose price is still the last
-    known one. On the first run date ``delta`` is the weight itself.
+    the previous run date; on the first run date ``delta`` is the weight itself.
+    Price columns are the last known on run dates, ``prev_`` the ones before.
     """
-    keys = list(keys)
+    keys, columns = list(keys), list(columns)
     order = Window.partitionBy(*keys).orderBy("date")
     dates = weights.select(*keys, "date").distinct().select(
         *keys, "date", (F.row_number().over(order) - 1).cast("bigint").alias("idx"),
         F.lead("date").over(order).alias("_next_date"))
     series = Window.partitionBy(*keys, "symbol").orderBy("idx")
-    w = weights.join(dates, [*keys, "date"]).select(
-        *keys, "date", "idx", "_next_date", "symbol",
-        F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    w = w.withColumn("_gap", F.coalesce(F.lag("idx").over(series) != F.col("idx") - 1,
-                                        F.lit(True)))
-    w = w.withColumn("held", F.when(F.col("_gap"), F.lit(0.0)).otherwise(
-        F.lag("weight").over(series)))
+    w = weights.select(*keys, "date", "symbol", "weight")
+    if columns:
+        w = w.join(prices.select("symbol", "date", *columns), ["symbol", "date"], "left")
+    w = w.join(dates, [*keys, "date"])
+    adjacent = F.coalesce(F.lag("idx").over(series) == F.col("idx") - 1, F.lit(False))
     leaves = (F.coalesce(F.lead("idx").over(series) != F.col("idx") + 1, F.lit(True))
-              & F.col("_next_date").isNotNull() & (F.col("weight") != 0))
-    w = w.withColumn("_leaves", leaves)
-    own = F.struct("date", "idx", "weight", "held", F.col("date").alias("from_date"))
+              & F.col("_next_date").isNotNull() & (F.coalesce("weight", F.lit(0.0)) != 0))
+    upto = series.rowsBetween(Window.unboundedPreceding, 0)
+    w = w.select(
+        *keys, "symbol", "date", "idx", "_next_date",
+        F.coalesce("weight", F.lit(0.0)).alias("weight"),
+        F.when(adjacent, F.coalesce(F.lag("weight").over(series), F.lit(0.0)))
+        .otherwise(F.lit(0.0)).alias("held"),
+        leaves.alias("_leaves"),
+        *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in columns])
+    w = w.select("*", *[F.lag(c).over(series).alias(f"prev_{c}") for c in columns])
+    own = F.struct("date", "idx", "weight", "held", *columns,
+                   *[f"prev_{c}" for c in columns])
     closing = F.struct(F.col("_next_date").alias("date"), (F.col("idx") + 1).alias("idx"),
-                       F.lit(0.0).alias("weight"), F.col("weight").alias("held"),
-                       F.col("date").alias("from_date"))
+                       F.lit(0.0).alias("weight"), F.col("weight").alias("held"), *columns,
+                       *[F.col(c).alias(f"prev_{c}") for c in columns])
     rows = w.select(*keys, "symbol", F.explode(F.array_compact(F.array(
         own, F.when(F.col("_leaves"), closing)))).alias("r"))
     return rows.select(*keys, "symbol", "r.*").withColumn(
@@ -200,16 +208,13 @@ def execution_price(weights: DataFrame, prices: DataFrame, *, market: str,
 
     Cells without a bar use the symbol's last known prices.
     """
-    moved = weight_changes(weights, keys=keys)
-    quotes = prices.select("symbol", F.col("date").alias("from_date"),
-                           "open", "high", "low", "close")
+    ohlc = ["open", "high", "low", "close"]
+    moved = weight_changes(weights, keys=keys, prices=prices, columns=ohlc)
     worst_buy = F.greatest("open", "close" if market.upper() == "US" else "low")
     price = (F.when(F.col("delta") > 0, worst_buy)
              .when(F.col("delta") < 0, F.least("open", "high"))
              .otherwise(F.col("open")))
-    return moved.join(quotes, ["symbol", "from_date"]).select(
-        *keys, "date", "symbol", "weight", "delta", "open", "high", "low", "close",
-        price.alias("price"))
+    return moved.select(*keys, "date", "symbol", "weight", "delta", *ohlc, price.alias("price"))
 
 
 def execution_price_checks(executed: DataFrame, *, market: str, keys: Sequence[str] = RUN
@@ -247,12 +252,10 @@ def portfolio_returns(weights: DataFrame, prices: DataFrame, *, return_target: s
     """
     keys = list(keys)
     basis = "open" if return_target == "open_to_open" else "close"
-    series = Window.partitionBy("symbol").orderBy("date")
-    moves = prices.select("symbol", F.col("date"), ratio(
-        F.col(basis), F.lag(basis).over(series)).alias("_m"))
-    moved = weight_changes(weights, keys=keys)
-    legs = moved.join(moves, ["symbol", "date"], "left").select(
-        *keys, "date", F.coalesce(F.col("held") * (F.col("_m") - 1.0), F.lit(0.0)).alias("_g"),
+    moved = weight_changes(weights, keys=keys, prices=prices, columns=[basis])
+    move = ratio(F.col(basis), F.col(f"prev_{basis}")) - 1.0
+    legs = moved.select(
+        *keys, "date", F.coalesce(F.col("held") * move, F.lit(0.0)).alias("_g"),
         F.abs("delta").alias("_d"))
     return legs.groupBy(*keys, "date").agg(
         F.sum("_g").alias("gross"),

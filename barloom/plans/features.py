@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import present
 from barloom.operators import features as ft, splits as sp
 from barloom.plans.catalog import query
-from barloom.plans.inputs import (RUN_SCORES, SCORES, brand_bars, run_requests, scored_bars, sql)
+from barloom.plans.inputs import (SCORES, TYPE_REQ, brand_bars, scored_bars, sql, type_bars,
+                                  type_requests)
 from barloom.sources.tables import table
 
 _S = "PARTITION BY symbol ORDER BY date"
@@ -232,11 +233,11 @@ for _m, _k in (("holdout", 1), ("walk_forward", 4), ("expanding_window", 3), ("r
           _folds_sql(_m, _k, 2))(_fold)
 
 
-@query("common_dates", sql("bars uni req", """SELECT run_id, CAST(date AS VARCHAR) AS date
-    FROM bars JOIN req USING (symbol) JOIN (SELECT run_id, count(*) AS need FROM req GROUP BY 1)
-    USING (run_id) GROUP BY run_id, date HAVING count(*) = any_value(need)"""))
+@query("common_dates", sql("tbars", """SELECT run_id, CAST(date AS VARCHAR) AS date
+    FROM tbars JOIN treq USING (symbol) JOIN (SELECT run_id, count(*) AS need FROM treq GROUP BY 1)
+    USING (run_id) GROUP BY run_id, date HAVING count(*) = any_value(need)""", **TYPE_REQ))
 def _(spark, d):
-    return present(sp.common_dates(brand_bars(spark, d), run_requests(spark, d)))
+    return present(sp.common_dates(type_bars(spark, d), type_requests(spark, d)))
 
 
 @query("calibration_split", sql(SCORES, """SELECT symbol, CAST(date AS VARCHAR) AS date,

@@ -123,3 +123,25 @@ def run_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.operators.portfolio import topn_weights
     return topn_weights(run_scores(spark, sf_dir), threshold=F.col("threshold"),
                         top_n=F.col("top_n"), probabilities="p", keys=("run_id",))
+
+
+TYPE_REQ = {
+    "tuni": "SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS position "
+            "FROM (SELECT DISTINCT p_type AS symbol FROM part)",
+    "treq": """SELECT 'run-' || r_regionkey AS run_id, symbol, position FROM tuni JOIN region
+      ON (position + r_regionkey) % 3 <> 0"""}
+
+
+def type_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe(table(spark, sf_dir, "part").select(F.col("p_type").alias("symbol")))
+
+
+def type_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, symbol, position): a run per region over two thirds of the part types."""
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"))
+    slots = type_universe(spark, sf_dir).select(
+        "symbol", "position", F.explode(F.filter(
+            F.sequence(F.lit(0), F.lit(4)),
+            lambda r: (F.col("position") + r) % 3 != 0)).alias("r"))
+    return slots.join(regions, "r").select(
+        F.concat(F.lit("run-"), "r").alias("run_id"), "symbol", "position")

@@ -61,7 +61,7 @@ def _(spark, d):
             WHEN c_custkey % 2 = 0 THEN 'vnext_spec_mode' ELSE 'runtime_compatibility_mode' END AS runtime_mode,
           CASE c_custkey % 3 WHEN 0 THEN 'research_spec_v1' WHEN 1 THEN NULL
             ELSE CASE WHEN c_custkey % 5 = 0 THEN 'spec_v0' ELSE 'research_spec_v1' END END AS bundle,
-          CASE WHEN c_nationkey % 3 <> 0 THEN c_acctbal / 100000e0 END AS threshold,
+          CASE WHEN c_nationkey % 3 <> 0 THEN c_acctbal / 99733e0 END AS threshold,
           CASE WHEN c_nationkey % 4 <> 0 THEN c_nationkey END AS top_n FROM customer))""")
 def _(spark, d):
     k, n = F.col("c_custkey"), F.col("c_nationkey")
@@ -72,7 +72,7 @@ def _(spark, d):
         F.when(k % 3 == 0, "research_spec_v1")
         .when((k % 3 == 2) & (k % 5 == 0), "spec_v0")
         .when(k % 3 == 2, "research_spec_v1").alias("default_bundle_version"),
-        F.when(n % 3 != 0, F.col("c_acctbal") / 100000.0).alias("threshold"),
+        F.when(n % 3 != 0, F.col("c_acctbal") / 99733.0).alias("threshold"),
         F.when(n % 4 != 0, n).alias("top_n"))
     out = pf.resolve_strategy(runs).withColumn("eff_top_n", F.col("eff_top_n").cast("double"))
     return present(out.select("c_custkey", "issue", "eff_threshold", "eff_top_n",
