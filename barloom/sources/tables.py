@@ -61,24 +61,30 @@ def universe(bars: DataFrame) -> DataFrame:
         "symbol", F.col("position").cast("bigint").alias("position"))
 
 
-def lifecycle_events(spark: SparkSession, sf_dir: str, every: int = 97) -> DataFrame:
-    """(id, symbol, market, event_type, effective_date, reference_symbol)."""
+def lifecycle_events(spark: SparkSession, sf_dir: str, names: DataFrame, slots: int,
+                     every: int = 97) -> DataFrame:
+    """(id, symbol, market, event_type, effective_date, reference_symbol).
+
+    ``names`` is (symbol, position); an order belongs to position custkey % slots.
+    """
     o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % every == 0)
     kind = (F.when(F.col("o_orderstatus") == "O", "listing")
             .when(F.col("o_orderstatus") == "F", "delisting")
             .otherwise("ticker_change"))
-    return o.select(
-        F.col("o_orderkey").alias("id"),
-        F.concat(F.lit("Brand#"), F.col("o_custkey") % 25 + 1).alias("symbol"),
-        F.lit("TW").alias("market"),
-        kind.alias("event_type"),
-        F.to_date("o_orderdate").alias("effective_date"),
-        F.when(kind == "ticker_change",
-               F.concat(F.lit("Brand#"), (F.col("o_custkey") + 1) % 25 + 1))
-        .alias("reference_symbol"))
-
-
-def corporate_events(spark: SparkSession, sf_dir: str, every: int = 7) -> DataFrame:
+    o = o.select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % slots).alias("position"),
+        kind.alias("event_type"), F.to_date("o_orderdate").alias("effective_date"),
+        F.when((kind == "ticker_change") & (F.col("o_orderkey") % 5 != 0),
+               (F.col("o_custkey") + 1) % slots).alias("_next"))
+    successor = names.select(F.col("symbol").alias("reference_symbol"),
+                             F.col("position").alias("_next"))
+    return o.join(names, "position").join(successor, "_next", "left").select(
+        "id", "symbol", F.lit("TW").alias("market"), "event_type", "effective_date",
+        "reference_symbol")
+
+
+def corporate_events(spark: SparkSession, sf_dir: str, names: DataFrame, slots: int,
+                     every: int = 7) -> DataFrame:
     """(id, symbol, market, event_type, publication_ts, effective_date)."""
     o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % every == 0)
     p = F.substring("o_orderpriority", 1, 1)
@@ -86,11 +92,26 @@ def corporate_events(spark: SparkSession, sf_dir: str, every: int = 7) -> DataFr
     kind = (F.when(p == "1", "merger").when(p == "2", "delisting")
             .when(p == "3", "cash_dividend").when(p == "4", "ticker_change")
             .otherwise("listing_status_change"))
-    day = F.to_date("o_orderdate")
     return o.select(
-        F.col("o_orderkey").alias("id"),
-        F.concat(F.lit("Brand#"), F.col("o_custkey") % 25 + 1).alias("symbol"),
-        F.lit("TW").alias("market"),
-        kind.alias("event_type"),
-        F.to_timestamp(F.col("o_orderdate")).alias("publication_ts"),
-        F.when(F.col("o_orderkey") % 2 == 1, F.date_add(day, 2)).alias("effective_date"))
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % slots).alias("position"),
+        kind.alias("event_type"), F.to_timestamp("o_orderdate").alias("publication_ts"),
+        F.when(F.col("o_orderkey") % 2 == 1, F.date_add(F.to_date("o_orderdate"), 2))
+        .alias("effective_date")).join(names, "position").select(
+        "id", "symbol", F.lit("TW").alias("market"), "event_type", "publication_ts",
+        "effective_date")
+
+
+def company_profiles(spark: SparkSession, sf_dir: str, names: DataFrame) -> DataFrame:
+    """(symbol, market, exchange, trading_status, listing_date) per universe name.
+
+    A name takes the supplier whose key is its position.
+    """
+    s = table(spark, sf_dir, "supplier").join(
+        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.join(names, F.col("s_suppkey") == F.col("position")).select(
+        "symbol", F.lit("TW").alias("market"),
+        F.when(F.col("n_regionkey") % 2 == 0, "TWSE").otherwise("TPEX").alias("exchange"),
+        F.when(F.col("s_acctbal") > 0, "active").otherwise("inactive").alias("trading_status"),
+        F.when(F.col("s_suppkey") % 4 != 0,
+               F.date_add(F.lit("1995-01-01").cast("date"),
+                          (F.col("s_suppkey") * 60).cast("int"))).alias("listing_date"))
