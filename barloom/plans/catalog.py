@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("features", "portfolio", "diagnostics", "tradability")
+MODULES = ("features", "portfolio", "diagnostics", "tradability", "ingest")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
