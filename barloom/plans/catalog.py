@@ -12,7 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("features", "portfolio", "diagnostics", "tradability", "ingest")
+MODULES = ("features", "portfolio", "diagnostics", "tradability", "ingest", "factors",
+           "prospective")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
