@@ -114,3 +114,25 @@ def chunked(df: DataFrame, *, keys: Sequence[str], pos: str, chunk_rows: int,
             .withColumn("_chunk", F.explode(targets))
             .withColumn("_own", F.col("_chunk") == F.col("_home"))
             .drop("_home"))
+
+
+def exact_percentiles(df: DataFrame, *, keys: Sequence[str], value: str,
+                      quantiles: Mapping[str, float]) -> DataFrame:
+    """(keys, n, one column per quantile), linear between order statistics.
+
+    Uses running totals over distinct values, so no aggregation buffer holds
+    every value of a group.
+    """
+    totals = running_totals(df.where(F.col(value).isNotNull()), keys=keys, order=value,
+                            sums={"n": F.count(F.lit(1))})
+    v, lo_edge, hi_edge = F.col(value), F.col("n_before"), F.col("n_before") + F.col("n")
+    out = [F.max("n_all").cast("bigint").alias("n")]
+    for name, p in quantiles.items():
+        at = (F.col("n_all") - 1) * F.lit(float(p))
+
+        def pick(i: Column) -> Column:
+            return F.max(F.when((i >= lo_edge) & (i < hi_edge), v))
+
+        low, high = pick(F.floor(at)), pick(F.ceil(at))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return totals.groupBy(*keys).agg(*out)

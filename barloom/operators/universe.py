@@ -141,26 +141,32 @@ def active_asof_fold(asks: DataFrame, profiles: DataFrame, lifecycle: DataFrame)
     ).alias("active"))
 
 
-def active_window_in_month(symbols: DataFrame, lifecycle: DataFrame, *, month_start, month_end
-                           ) -> DataFrame:
+def active_window_in_month(symbols: DataFrame, lifecycle: DataFrame, *, month_start=None,
+                           month_end=None) -> DataFrame:
     """(symbol, active_start, active_end); both NULL when never active.
 
-    Active unless the last state event before the month was a delisting.
+    Active unless the last state event before the month was a delisting. The
+    month is given, or two columns of ``symbols``.
     """
-    first, last = F.lit(month_start).cast("date"), F.lit(month_end).cast("date")
+    if month_start is not None:
+        symbols = (symbols.withColumn("month_start", F.lit(month_start).cast("date"))
+                   .withColumn("month_end", F.lit(month_end).cast("date")))
+    first, last = F.col("month_start"), F.col("month_end")
     when, kind = F.col("effective_date"), F.col("event_type")
-    facts = lifecycle.where((when <= last) & kind.isin(*STATE_EVENTS)).groupBy("symbol").agg(
+    own = symbols.select("symbol", "month_start", "month_end")
+    ours = lifecycle.where(kind.isin(*STATE_EVENTS)).select(
+        "symbol", "effective_date", "event_type", "id").join(own, "symbol").where(when <= last)
+    facts = ours.groupBy("symbol").agg(
         F.max_by("event_type", F.when(when < first, F.struct("effective_date", "id"))).alias("_prior"),
         F.min(F.when((when >= first) & kind.isin(*ACTIVE_EVENTS), when)).alias("_relist"))
-    starts = symbols.select("symbol").join(facts, "symbol", "left").withColumn(
+    starts = own.join(facts, "symbol", "left").withColumn(
         "active_start", F.when(F.coalesce(F.col("_prior") == "delisting", F.lit(False)),
                                F.col("_relist")).otherwise(first))
-    ends = lifecycle.where((when >= first) & (when <= last) & (kind == "delisting")).select(
-        "symbol", when.alias("_end"))
+    ends = ours.where((when >= first) & (kind == "delisting")).select("symbol", when.alias("_end"))
     g = (starts.join(ends, "symbol", "left").groupBy("symbol").agg(
-        F.first("active_start").alias("active_start"),
+        F.first("active_start").alias("active_start"), F.first("month_end").alias("_last"),
         F.min(F.when(F.col("_end") >= F.col("active_start"), F.col("_end"))).alias("_end")))
-    end = F.coalesce(F.date_sub("_end", 1), last)
+    end = F.coalesce(F.date_sub("_end", 1), F.col("_last"))
     ok = F.col("active_start").isNotNull() & (end >= F.col("active_start"))
     return g.select("symbol", F.when(ok, F.col("active_start")).alias("active_start"),
                     F.when(ok, end).alias("active_end"))

@@ -13,7 +13,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ("features", "portfolio", "diagnostics", "tradability", "ingest", "factors",
-           "prospective")
+           "prospective", "registry", "ops", "modelling", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
