@@ -16,13 +16,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BUCKETS = 64
 
 
-def _same(left: str, right: str, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-    return cond
-
-
 def running_totals(
     df: DataFrame,
     *,
@@ -34,41 +27,42 @@ def running_totals(
     """Per distinct ``order`` value: each sum, and its total over smaller values.
 
     Output: keys, order, and for each name ``s``: ``s``, ``s_before``, ``s_all``.
+    Rows with a NULL key or order are left out. Every use of the collapsed rows
+    reads the same columns, so their exchange is built once and reused.
     """
     keys = list(keys)
     names = list(sums)
-    steps = df.groupBy(*keys, order).agg(*[sums[s].alias(s) for s in names])
+    known = df.dropna(subset=[*keys, order])
+    steps = known.groupBy(*keys, order).agg(*[sums[s].alias(s) for s in names])
     cut_points = [i / buckets for i in range(1, buckets)]
     cuts = steps.groupBy(*keys).agg(
-        F.percentile_approx(F.col(order), cut_points, 10 * buckets).alias("_cuts"))
-    placed = (
-        steps.alias("s").join(cuts.alias("c"), _same("s", "c", keys))
-        .select("s.*", F.size(F.filter(F.array_distinct(F.col("c._cuts")),
-                                       lambda c: c < F.col(f"s.{order}"))).alias("_bucket")))
+        F.percentile_approx(F.col(order), cut_points, 10 * buckets).alias("_cuts"),
+        *[F.sum(s).alias(f"{s}_all") for s in names])
+    placed = steps.join(cuts, keys).select(
+        *keys, order, *names, *[f"{s}_all" for s in names],
+        F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(order))).alias("_bucket"))
     per_bucket = placed.groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(s) for s in names])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
     offsets = per_bucket.select(
         *keys, "_bucket",
-        *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_{s}_off") for s in names],
-        *[F.sum(s).over(whole).alias(f"{s}_all") for s in names])
+        *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_{s}_off") for s in names])
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1)
     local = placed.select(
-        *keys, "_bucket", order, *names,
+        *keys, "_bucket", order, *names, *[f"{s}_all" for s in names],
         *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_{s}_loc") for s in names])
-    joined = local.alias("l").join(offsets.alias("o"), _same("l", "o", [*keys, "_bucket"]))
-    return joined.select(
-        *[F.col(f"l.{k}") for k in keys], F.col(f"l.{order}"),
-        *[F.col(f"l.{s}") for s in names],
-        *[(F.col(f"l._{s}_loc") + F.col(f"o._{s}_off")).alias(f"{s}_before") for s in names],
-        *[F.col(f"o.{s}_all") for s in names])
+    return local.join(offsets, [*keys, "_bucket"]).select(
+        *keys, order, *names,
+        *[(F.col(f"_{s}_loc") + F.col(f"_{s}_off")).alias(f"{s}_before") for s in names],
+        *[f"{s}_all" for s in names])
 
 
-def average_ranks(df: DataFrame, *, keys: Sequence[str], value: str, rank: str) -> DataFrame:
-    """(keys, value, rank) with ties sharing the mean of their positions."""
-    totals = running_totals(df, keys=keys, order=value, sums={"n": F.count(F.lit(1))})
+def average_ranks(df: DataFrame, *, keys: Sequence[str], value: str, rank: str,
+                  weight: str) -> DataFrame:
+    """(keys, value, rank) with ties sharing the mean of their positions; a row
+    stands for ``weight`` equal ones."""
+    totals = running_totals(df, keys=keys, order=value, sums={"n": F.sum(weight)})
     return totals.select(
         *keys, value,
         (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).cast("double").alias(rank))

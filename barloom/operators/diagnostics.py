@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.columns import count_true, finite, ratio, ratio_or_zero
 from barloom.functions.prefix import average_ranks, running_totals
@@ -47,10 +47,10 @@ def rank_ic(points: DataFrame, *, keys: Sequence[str] = RUN) -> DataFrame:
     keys = list(keys)
     pairs = _pairs(points, "actual", "predicted", keys)
     weighted = pairs.groupBy(*keys, "actual", "predicted").agg(F.count(F.lit(1)).alias("_n"))
-    ra = average_ranks(pairs, keys=keys, value="actual", rank="_ra")
-    rp = average_ranks(pairs, keys=keys, value="predicted", rank="_rp")
-    mean = pairs.groupBy(*keys).agg(((F.count(F.lit(1)) + 1) / F.lit(2.0)).alias("_m"))
-    j = (weighted.join(ra, [*keys, "actual"]).join(rp, [*keys, "predicted"]).join(mean, keys))
+    ra = average_ranks(weighted, keys=keys, value="actual", rank="_ra", weight="_n")
+    rp = average_ranks(weighted, keys=keys, value="predicted", rank="_rp", weight="_n")
+    mean = weighted.groupBy(*keys).agg(((F.sum("_n") + 1) / F.lit(2.0)).alias("_m"))
+    j = weighted.join(ra, [*keys, "actual"]).join(rp, [*keys, "predicted"]).join(mean, keys)
     x, y, n = F.col("_ra") - F.col("_m"), F.col("_rp") - F.col("_m"), F.col("_n")
     return j.groupBy(*keys).agg(F.when(F.sum(n) > 1, finite(ratio(
         F.sum(n * x * y), F.sqrt(F.sum(n * x * x)) * F.sqrt(F.sum(n * y * y)))))
@@ -141,11 +141,17 @@ def holdout_confirmation(requested: DataFrame, scores: DataFrame) -> tuple[DataF
 def fit_scores_ols(frame: DataFrame, *, feature: str, target: str, keys: Sequence[str]
                    ) -> DataFrame:
     """Test rows of ``frame`` (role train/test) with ``predicted`` from a line
-    fitted on the train rows of the same keys."""
-    train = frame.where("role = 'train'").groupBy(*keys).agg(
-        F.regr_slope(F.col(target), F.col(feature)).alias("_b"),
-        F.regr_intercept(F.col(target), F.col(feature)).alias("_a"))
-    return (frame.where("role = 'test'").join(train, list(keys))
+    fitted on the train rows of the same keys.
+
+    The fit is a window aggregate on the keys: train and test rows are read once
+    and nothing is joined. A group is one symbol of one fold.
+    """
+    group = Window.partitionBy(*keys)
+    train = F.col("role") == "train"
+    y, x = F.when(train, F.col(target)), F.when(train, F.col(feature))
+    fitted = frame.select("*", F.regr_slope(y, x).over(group).alias("_b"),
+                          F.regr_intercept(y, x).over(group).alias("_a"))
+    return (fitted.where("role = 'test' AND _b IS NOT NULL")
             .withColumn("predicted", F.col("_a") + F.col("_b") * F.col(feature))
             .drop("_a", "_b"))
 

@@ -44,8 +44,8 @@ def _selection(scores: DataFrame, *, threshold, top_n, probabilities, p_min,
 
 def topn_weights(scores: DataFrame, *, threshold: float | Column, top_n: int | Column,
                  probabilities: str | None = None, p_min: float | Column = 0.5,
-                 keys: Sequence[str] = RUN) -> DataFrame:
-    """(keys, date, symbol, weight): equal weight on the top N, 0 elsewhere.
+                 keys: Sequence[str] = RUN, keep: Sequence[str] = ()) -> DataFrame:
+    """(keys, date, symbol, keep..., weight): equal weight on the top N, 0 elsewhere.
 
     ``scores`` has (keys, date, symbol, position, score). Ties go to the lower
     position. Threshold and N may be columns, so many runs go in one plan.
@@ -53,7 +53,7 @@ def topn_weights(scores: DataFrame, *, threshold: float | Column, top_n: int | C
     picked = _selection(scores, threshold=threshold, top_n=top_n,
                         probabilities=probabilities, p_min=p_min, keys=keys)
     n = F.sum(F.col("_pick").cast("int")).over(Window.partitionBy(*keys, "date"))
-    return picked.select(*keys, "date", "symbol", F.when(
+    return picked.select(*keys, "date", "symbol", *keep, F.when(
         F.col("_pick"), F.lit(1.0) / n).otherwise(F.lit(0.0)).alias("weight"))
 
 
@@ -167,7 +167,8 @@ def weight_changes(weights: DataFrame, *, keys: Sequence[str] = RUN,
     leave zero rows out: the drop to zero on the next run date is added here
     instead of building the full date x symbol grid. ``held`` is the weight of
     the previous run date; on the first run date ``delta`` is the weight itself.
-    Price columns are the last known on run dates, ``prev_`` the ones before.
+    Price columns are the last known on run dates, ``prev_`` the ones before;
+    without ``prices`` they are read from the weights frame itself.
     """
     keys, columns = list(keys), list(columns)
     order = Window.partitionBy(*keys).orderBy("date")
@@ -175,8 +176,9 @@ def weight_changes(weights: DataFrame, *, keys: Sequence[str] = RUN,
         *keys, "date", (F.row_number().over(order) - 1).cast("bigint").alias("idx"),
         F.lead("date").over(order).alias("_next_date"))
     series = Window.partitionBy(*keys, "symbol").orderBy("idx")
-    w = weights.select(*keys, "date", "symbol", "weight")
-    if columns:
+    carried = columns if prices is None else []
+    w = weights.select(*keys, "date", "symbol", "weight", *carried)
+    if columns and prices is not None:
         w = w.join(prices.select("symbol", "date", *columns), ["symbol", "date"], "left")
     w = w.join(dates, [*keys, "date"])
     adjacent = F.coalesce(F.lag("idx").over(series) == F.col("idx") - 1, F.lit(False))
@@ -202,7 +204,7 @@ def weight_changes(weights: DataFrame, *, keys: Sequence[str] = RUN,
         "delta", F.col("weight") - F.col("held"))
 
 
-def execution_price(weights: DataFrame, prices: DataFrame, *, market: str,
+def execution_price(weights: DataFrame, prices: DataFrame | None = None, *, market: str,
                     keys: Sequence[str] = RUN) -> DataFrame:
     """(keys, date, symbol, weight, delta, open, high, low, close, price).
 
@@ -241,7 +243,7 @@ def max_position_weight(weights: DataFrame, *, keys: Sequence[str] = RUN) -> Dat
         F.coalesce(F.max(F.abs("weight")), F.lit(0.0)).alias("max_position_weight"))
 
 
-def portfolio_returns(weights: DataFrame, prices: DataFrame, *, return_target: str,
+def portfolio_returns(weights: DataFrame, prices: DataFrame | None = None, *, return_target: str,
                       fees: float = 0.0, slippage: float = 0.0, keys: Sequence[str] = RUN
                       ) -> DataFrame:
     """(keys, date, gross, cost, ret): yesterday's weights on today's price move.

@@ -220,8 +220,8 @@ def _(spark, d):
                                keys=["run_id", "fold", "symbol"])
     keys = ["run_id", "fold"]
     weights = pf.topn_weights(scored.withColumn("score", F.col("predicted")), threshold=0.0,
-                              top_n=2, keys=keys)
-    returns = pf.portfolio_returns(weights, bars, return_target="open_to_open", fees=0.002,
+                              top_n=2, keys=keys, keep=["open"])
+    returns = pf.portfolio_returns(weights, return_target="open_to_open", fees=0.002,
                                    slippage=0.001, keys=keys)
     metrics = pf.portfolio_metrics(pf.equity_curve(returns, keys=keys), keys=keys)
     plan = (req.select("run_id").distinct()

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import present
 from barloom.operators import quality as ql
 from barloom.plans.catalog import query
-from barloom.plans.inputs import brand_bars, sql, universe_of
+from barloom.plans.inputs import LINE_ORDER_SQL, brand_bars, sql, universe_of
 from barloom.sources import archive as ar, payloads as pl
-from barloom.sources.tables import LINE_ORDER, line_ticks, table
+from barloom.sources.tables import line_ticks, table
 
 OFFICIAL = ("exchange_daily",)
 _BARS_OUT = """symbol, CAST(date AS VARCHAR) AS date, round({o}, 6) AS open, round(high, 6) AS high,
@@ -393,13 +393,9 @@ def _(spark, d):
 @query("replay_payloads", sql("bars", """SELECT source, symbol, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM (
     SELECT 'exchange_month' AS source, symbol, volume FROM bars WHERE month(date) NOT IN (6, 7)
     UNION ALL SELECT 'vendor_history', symbol, CASE WHEN volume % 19 = 0 THEN 0 ELSE volume END FROM bars
-    UNION ALL SELECT DISTINCT 'stat is not OK', symbol || year(date), 0 FROM bars WHERE month(date) = 6
-    UNION ALL SELECT DISTINCT 'empty body', symbol || year(date), 0 FROM bars WHERE month(date) = 7
-    UNION ALL SELECT 'unsupported source', 'x' || c_custkey, 0 FROM customer)
-  GROUP BY source, CASE WHEN source IN ('exchange_month', 'vendor_history') THEN symbol ELSE NULL END, symbol"""
-    .replace("SELECT source, symbol, count(*)", "SELECT source, CASE WHEN source IN ('exchange_month', 'vendor_history') THEN symbol END AS symbol, count(*)")
-    .replace("symbol END AS symbol, count(*) AS n", "symbol END AS symbol, count(*) AS n")
-    .replace("GROUP BY source, CASE WHEN source IN ('exchange_month', 'vendor_history') THEN symbol ELSE NULL END, symbol", "GROUP BY 1, 2")))
+    UNION ALL SELECT 'stat is not OK', NULL, 0 FROM (SELECT DISTINCT symbol, year(date) FROM bars WHERE month(date) = 6)
+    UNION ALL SELECT 'empty body', NULL, 0 FROM (SELECT DISTINCT symbol, year(date) FROM bars WHERE month(date) = 7)
+    UNION ALL SELECT 'unsupported source', NULL, 0 FROM customer) GROUP BY 1, 2"""))
 def _(spark, d):
     month = month_payloads(spark, d).select(
         "id", F.lit("exchange_month").alias("source_name"), "symbol", F.lit("TW").alias("market"),
@@ -432,7 +428,7 @@ def _(spark, d):
 
 def dirty_rows(spark, d):
     """Order lines as unvalidated bar rows, several per (symbol, date)."""
-    k = F.col("ord.l_orderkey")
+    k = F.col("l_orderkey")
     t = line_ticks(spark, d)
     open_ = F.when(k % 101 == 0, F.lit(None)).when(k % 103 == 0, -F.col("px")).otherwise(F.col("px"))
     return t.select(
@@ -444,7 +440,7 @@ def dirty_rows(spark, d):
 _LAST = {"lst": f"""SELECT *, CASE WHEN l_orderkey % 101 = 0 THEN 'null' WHEN l_orderkey % 103 = 0 OR l_orderkey % 107 = 0
     THEN 'invalid' ELSE 'ok' END AS state FROM (
     SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS date, 100e0 + l_extendedprice / 9973e0 AS px, l_quantity, l_orderkey,
-      row_number() OVER (PARTITION BY p_brand, CAST(l_shipdate AS DATE) ORDER BY {', '.join(c + ' DESC' for c in LINE_ORDER)}) AS rk,
+      row_number() OVER (PARTITION BY p_brand, CAST(l_shipdate AS DATE) ORDER BY {LINE_ORDER_SQL} DESC) AS rk,
       count(*) OVER (PARTITION BY p_brand, CAST(l_shipdate AS DATE)) AS copies
     FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE rk = 1"""}
 

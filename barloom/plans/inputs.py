@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.operators.features import Feature, feature_set
+from barloom.operators.portfolio import topn_weights
 from barloom.sources.tables import daily_bars, table, universe
 
-_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
+LINE_ORDER_SQL = ("((l_orderkey * 8 + l_linenumber) * 4096 "
+                  "+ CAST(floor(l_extendedprice * 100e0 + 0.5e0) AS BIGINT) % 4096)")
 
 
 def _bars_sql(symbol: str) -> str:
     return f"""SELECT {symbol} AS symbol, CAST(l_shipdate AS DATE) AS date,
-      first(px ORDER BY {_ORDER}) AS open, max(px) AS high, min(px) AS low,
-      last(px ORDER BY {_ORDER}) AS close, CAST(sum(l_quantity) AS BIGINT) AS volume,
-      CASE WHEN first(l_linestatus ORDER BY {_ORDER}) = 'F' THEN 'exchange_daily'
+      first(px ORDER BY {LINE_ORDER_SQL}) AS open, max(px) AS high, min(px) AS low,
+      last(px ORDER BY {LINE_ORDER_SQL}) AS close, CAST(sum(l_quantity) AS BIGINT) AS volume,
+      CASE WHEN first(l_linestatus ORDER BY {LINE_ORDER_SQL}) = 'F' THEN 'exchange_daily'
            ELSE 'vendor_history' END AS source
     FROM (SELECT *, 100e0 + l_extendedprice / 9973e0 AS px
           FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2"""
@@ -119,10 +121,9 @@ def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_bars(spark, sf_dir).join(run_requests(spark, sf_dir), "symbol")
 
 
-def run_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barloom.operators.portfolio import topn_weights
+def run_weights(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     return topn_weights(run_scores(spark, sf_dir), threshold=F.col("threshold"),
-                        top_n=F.col("top_n"), probabilities="p", keys=("run_id",))
+                        top_n=F.col("top_n"), probabilities="p", keep=keep)
 
 
 TYPE_REQ = {

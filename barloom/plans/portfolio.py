@@ -13,6 +13,7 @@ from barloom.plans.inputs import (RUN_SCORES, WEIGHTS, brand_bars, run_requests,
                                   run_weights, sql)
 from barloom.sources.tables import table
 
+OHLC = ("open", "high", "low", "close")
 _KEY = "run_id, CAST(date AS VARCHAR) AS date, symbol"
 _GRID = WEIGHTS + " grid px"
 _EQ = _GRID + " pret eq"
@@ -127,7 +128,7 @@ _EXEC = """SELECT run_id, date, symbol, weight, weight - held AS delta, open, hi
     round(delta, 6) AS delta, round(price, 6) AS price FROM e WHERE delta <> 0""",
     e=_EXEC.format(buy="low")))
 def _(spark, d):
-    out = pf.execution_price(run_weights(spark, d), brand_bars(spark, d), market="TW")
+    out = pf.execution_price(run_weights(spark, d, OHLC), market="TW")
     return present(out.where("delta <> 0").select(
         "run_id", "date", "symbol", "weight", "delta", "price"))
 
@@ -138,7 +139,7 @@ def _(spark, d):
     FROM e WHERE open IS NOT NULL GROUP BY 1""", e=_EXEC.format(buy="low")))
 def _(spark, d):
     # prices of the TW matching model checked against the US rule
-    executed = pf.execution_price(run_weights(spark, d), brand_bars(spark, d), market="TW")
+    executed = pf.execution_price(run_weights(spark, d, OHLC), market="TW")
     return present(pf.execution_price_checks(executed, market="US"))
 
 
@@ -156,8 +157,8 @@ def _(spark, d):
 
 
 def run_returns(spark, d):
-    return pf.portfolio_returns(run_weights(spark, d), brand_bars(spark, d),
-                                return_target="open_to_open", fees=0.002, slippage=0.001)
+    return pf.portfolio_returns(run_weights(spark, d, ("open",)), return_target="open_to_open",
+                                fees=0.002, slippage=0.001)
 
 
 @query("portfolio_returns", sql(_GRID + " pret", """SELECT run_id, CAST(date AS VARCHAR) AS date,

@@ -8,28 +8,47 @@ shuffled.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 # The sources that count as official.
 OFFICIAL_SOURCES = ("exchange_month", "exchange_daily", "otc_daily")
 
 
+@functools.lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str) -> StructType:
+    return spark.read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table by name; its schema is inferred from the files once per session."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def line_price() -> Column:
     return F.lit(100.0) + F.col("l_extendedprice") / F.lit(9973.0)
 
 
-LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-              "l_extendedprice", "l_quantity")
+LINE_COLUMNS = ("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+
+
+def line_order() -> Column:
+    """Arrival order of a line as one long: order, line number, then cents.
+
+    A fixed-width key keeps first and last price in hash aggregation; a struct
+    would make Spark sort every line before combining.
+    """
+    cents = F.floor(F.col("l_extendedprice") * 100.0 + 0.5)
+    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4096 + cents % 4096
 
 
 def line_ticks(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> DataFrame:
     """Order lines as trades: (symbol, date, px, qty, official, ord)."""
     lines = table(spark, sf_dir, "lineitem").select(
-        *LINE_ORDER, "l_linestatus", "l_shipdate")
+        *LINE_COLUMNS, "l_partkey", "l_linestatus", "l_shipdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", symbol)
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col(symbol).alias("symbol"),
@@ -37,7 +56,7 @@ def line_ticks(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> Dat
         line_price().alias("px"),
         F.col("l_quantity").alias("qty"),
         (F.col("l_linestatus") == "F").alias("official"),
-        F.struct(*LINE_ORDER).alias("ord"))
+        F.col("l_orderkey"), line_order().alias("ord"))
 
 
 def daily_bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> DataFrame:
