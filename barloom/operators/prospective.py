@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barloom.functions.asof import asof_last
 from barloom.functions.columns import (MARKET_ZONE, count_true, finite, local_date,
                                        ratio_or_zero)
-from barloom.operators.diagnostics import linear_ic, rank_ic
+from barloom.operators.diagnostics import rank_ic
 from barloom.operators.portfolio import round_trip_net_return
 
 FORWARD = "forward_opinion"
@@ -193,8 +193,9 @@ def run_states(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
     return j.select("run_id", "cohort_id", "basis_date", "fees", "slippage", "issues",
                     status.alias("status"), "_gross", "_net", "_hole").select(
         "run_id", "cohort_id", "basis_date", "fees", "slippage", "status",
-        F.when(done, F.col("_gross")).alias("gross"),
-        F.when(done & ~F.col("_hole"), F.col("_net")).alias("net"),
+        F.when(done, F.coalesce("_gross", F.lit(0.0))).alias("gross"),
+        F.when(done & ~F.coalesce(F.col("_hole"), F.lit(False)),
+               F.coalesce("_net", F.lit(0.0))).alias("net"),
         (F.size("issues") == 0).alias("valid"))
 
 
@@ -217,11 +218,11 @@ def cohort_metrics(resolved: DataFrame) -> DataFrame:
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         F.avg(F.col("direction_hit").cast("double")).alias("direction_accuracy"),
         F.avg("brier").alias("brier"),
-        F.avg((F.col("position") > 0).cast("double")).alias("active_share"))
+        F.avg((F.col("position") > 0).cast("double")).alias("active_share"),
+        F.when(F.count(F.lit(1)) > 1, finite(F.corr("actual_return", "score"))).alias("linear_ic"))
     pairs = resolved.select("cohort_id", F.col("actual_return").alias("actual"),
                             F.col("score").alias("predicted"))
-    return (base.join(linear_ic(pairs, keys=["cohort_id"]), "cohort_id", "left")
-            .join(rank_ic(pairs, keys=["cohort_id"]), "cohort_id", "left"))
+    return base.join(rank_ic(pairs, keys=["cohort_id"]), "cohort_id", "left")
 
 
 def compound_daily_returns(points: DataFrame, *, value: str, weighted: bool,

@@ -9,7 +9,7 @@ from barloom.operators import factors as fa, splits as sp, universe as un
 from barloom.plans.catalog import query
 from barloom.plans.inputs import brand_bars, sql, universe_of
 from barloom.plans.tradability import BUNI, PROFILES_SQL, brand_life, corp_sql, life_sql
-from barloom.sources.tables import company_profiles, corporate_events, table
+from barloom.sources.tables import company_profiles, corporate_events, one_market, table
 
 _SRC = {**BUNI, "life": life_sql(25, 97), "corp": corp_sql(25, 7), "prof": PROFILES_SQL}
 _Z = "CAST(date AS VARCHAR) AS date"
@@ -140,7 +140,7 @@ FRAME_SQL = {
 
 
 def cluster_rows(spark, d):
-    bars = brand_bars(spark, d).withColumn("market", F.lit("TW")).select(
+    bars = brand_bars(spark, d).withColumn("market", one_market("symbol")).select(
         "market", "date", "symbol", "close", "volume")
     active = un.active_asof_fold(bars, profiles(spark, d), brand_life(spark, d))
     return fa.cluster_frame(bars, active, brand_events(spark, d))

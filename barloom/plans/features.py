@@ -9,7 +9,7 @@ from barloom.operators import features as ft, splits as sp
 from barloom.plans.catalog import query
 from barloom.plans.inputs import (SCORES, TYPE_REQ, brand_bars, scored_bars, sql, type_bars,
                                   type_requests)
-from barloom.sources.tables import table
+from barloom.sources.tables import one_market, table
 
 _S = "PARTITION BY symbol ORDER BY date"
 _OUT = "SELECT symbol, CAST(date AS VARCHAR) AS date, round(value, 6) AS value FROM v"
@@ -191,7 +191,7 @@ def _(spark, d):
     WHERE idx % 5 = 0"""))
 def _(spark, d):
     from barloom.functions.panel import panel
-    bars = brand_bars(spark, d).withColumn("market", F.lit("TW"))
+    bars = brand_bars(spark, d).withColumn("market", one_market("symbol"))
     cal = sp.trading_calendar(bars).where("idx % 5 = 0")
     cells = panel(bars.select("market", "symbol").distinct(), cal).select("symbol", "date")
     return present(ft.ffill_panel(cells, bars, ["close"]))
@@ -200,7 +200,7 @@ def _(spark, d):
 @query("trading_calendar", sql("bars cal",
     "SELECT 'TW' AS market, CAST(date AS VARCHAR) AS date, idx FROM cal"))
 def _(spark, d):
-    return present(sp.trading_calendar(brand_bars(spark, d).withColumn("market", F.lit("TW"))))
+    return present(sp.trading_calendar(brand_bars(spark, d).withColumn("market", one_market("symbol"))))
 
 
 @query("holdout_split", sql("bars", """SELECT symbol, CAST(date AS VARCHAR) AS date,
@@ -227,7 +227,7 @@ def _folds_sql(method, splits, purge):
 
 for _m, _k in (("holdout", 1), ("walk_forward", 4), ("expanding_window", 3), ("rolling_window", 4)):
     def _fold(spark, d, m=_m, k=_k):
-        cal = sp.trading_calendar(brand_bars(spark, d).withColumn("market", F.lit("TW")))
+        cal = sp.trading_calendar(brand_bars(spark, d).withColumn("market", one_market("symbol")))
         return present(sp.fold_assignment(cal, method=m, splits=k, test_size=0.1, purge=2))
     query("fold_assignment" + ("" if _m == "walk_forward" else f"_{_m}"),
           _folds_sql(_m, _k, 2))(_fold)

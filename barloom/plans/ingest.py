@@ -13,7 +13,7 @@ from barloom.operators import quality as ql
 from barloom.plans.catalog import query
 from barloom.plans.inputs import LINE_ORDER_SQL, brand_bars, sql, universe_of
 from barloom.sources import archive as ar, payloads as pl
-from barloom.sources.tables import line_ticks, table
+from barloom.sources.tables import line_ticks, one_market, table
 
 OFFICIAL = ("exchange_daily",)
 _BARS_OUT = """symbol, CAST(date AS VARCHAR) AS date, round({o}, 6) AS open, round(high, 6) AS high,
@@ -689,7 +689,7 @@ def _(spark, d):
     WHERE EXISTS (SELECT 1 FROM ms WHERE ms.symbol = seg.symbol AND ms.date > seg.s + 6))
 SELECT symbol, seg_start,"""))
 def _(spark, d):
-    bars = brand_bars(spark, d).withColumn("market", F.lit("TW"))
+    bars = brand_bars(spark, d).withColumn("market", one_market("symbol"))
     out = ql.minute_gap_segments(bars, bars.where("volume % 4 = 0"), window_start="1998-03-01",
                                  window_end="1998-03-30")
     return present(out.select("symbol", "seg_start", "seg_end"))

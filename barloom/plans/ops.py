@@ -12,7 +12,7 @@ from barloom.plans.inputs import brand_bars, sql, universe_of
 from barloom.plans.ingest import month_payloads
 from barloom.plans.tradability import BUNI, brand_life, life_sql
 from barloom.sources.payloads import parse_symbol_month_payload
-from barloom.sources.tables import table
+from barloom.sources.tables import one_market, table
 
 def orders(spark, d):
     return table(spark, d, "orders").withColumn("ts", F.to_timestamp("o_orderdate")).withColumn(
@@ -20,12 +20,12 @@ def orders(spark, d):
 
 
 def order_calendar(spark, d):
-    days = orders(spark, d).select(F.lit("TW").alias("market"), F.col("day").alias("date"))
+    days = orders(spark, d).select(one_market("o_orderkey").alias("market"), F.col("day").alias("date"))
     return trading_calendar(days)
 
 
 def bar_calendar(spark, d):
-    return trading_calendar(brand_bars(spark, d).withColumn("market", F.lit("TW")))
+    return trading_calendar(brand_bars(spark, d).withColumn("market", one_market("symbol")))
 
 
 # ---- ingest KPIs: a customer is a watchlist, an order a run, its lines attempts
@@ -57,7 +57,7 @@ _ATT = {"sl": "SELECT o_custkey AS w, CAST(o_orderdate AS DATE) AS date, min(o_o
     CROSS JOIN (VALUES ('first_attempt_success', 99), ('retry_adjusted_success', 99.5)) k(kpi, lim)) GROUP BY kpi""", **_ATT))
 def _(spark, d):
     w = table(spark, d, "customer").select(
-        F.col("c_custkey").alias("watchlist_id"), F.lit("TW").alias("market"),
+        F.col("c_custkey").alias("watchlist_id"), one_market("c_custkey").alias("market"),
         F.date_add(F.lit("2001-07-05").cast("date"), (F.col("c_custkey") % 60).cast("int")).alias("created_date"))
     return present(ops.kpi_ingest_success(w, slots(spark, d), attempts(spark, d), order_calendar(spark, d)))
 
@@ -87,8 +87,8 @@ def _(spark, d):
           min(effective_date) FILTER (effective_date BETWEEN first AND last AND event_type = 'listing') AS relist
         FROM uni u CROSS JOIN mo LEFT JOIN life USING (symbol) GROUP BY 1)) LEFT JOIN life USING (symbol) GROUP BY 1"""))
 def _(spark, d):
-    bars = brand_bars(spark, d).withColumn("market", F.lit("TW"))
-    w = universe_of(spark, d).select(F.lit("TW").alias("market"), "symbol")
+    bars = brand_bars(spark, d).withColumn("market", one_market("symbol"))
+    w = universe_of(spark, d).select(one_market("symbol").alias("market"), "symbol")
     return present(ops.kpi_symbol_completeness(w, trading_calendar(bars), brand_life(spark, d, 13), bars,
                                                reference="1999-03-20"))
 
@@ -226,7 +226,7 @@ def _(spark, d):
     FROM bars GROUP BY symbol, 2, month(date))""", cd="SELECT DISTINCT date FROM bars"))
 def _(spark, d):
     p = month_payloads(spark, d)
-    drill = p.select(F.concat("symbol", F.col("m").cast("string")).alias("drill_id"), F.lit("TW").alias("market"),
+    drill = p.select(F.concat("symbol", F.col("m").cast("string")).alias("drill_id"), one_market("symbol").alias("market"),
                      F.col("id").alias("raw_payload_id"))
     bars, failed = parse_symbol_month_payload(p)
     out = ops.recovery_drill_result(drill, bars, failed, bar_calendar(spark, d))
@@ -253,10 +253,10 @@ def _(spark, d):
     FROM sy s LEFT JOIN bars b USING (symbol) GROUP BY 1)""", cd="SELECT DISTINCT date FROM bars",
     sy="SELECT DISTINCT symbol FROM bars UNION ALL SELECT 'new' || symbol FROM (SELECT DISTINCT symbol FROM bars)"))
 def _(spark, d):
-    bars = brand_bars(spark, d).withColumn("market", F.lit("TW"))
+    bars = brand_bars(spark, d).withColumn("market", one_market("symbol"))
     names = universe_of(spark, d)
-    s = names.select(F.lit("TW").alias("market"), F.explode(F.array("symbol", F.concat(F.lit("new"), "symbol"))).alias("symbol"))
-    fetches = orders(spark, d).select(F.lit("TW").alias("market"), F.lit("x").alias("symbol"), F.col("ts").alias("fetch_ts"))
+    s = names.select(one_market("symbol").alias("market"), F.explode(F.array("symbol", F.concat(F.lit("new"), "symbol"))).alias("symbol"))
+    fetches = orders(spark, d).select(one_market("o_orderkey").alias("market"), F.lit("x").alias("symbol"), F.col("ts").alias("fetch_ts"))
     out = ops.symbol_readiness(s, bars, fetches, trading_calendar(bars), start="1999-01-01", end="1999-12-31")
     return present(out.select("symbol", "latest_date", "stale_days", "requested_days", "covered_days",
                               "missing_days", "status", "reasons"))

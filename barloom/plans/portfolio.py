@@ -11,7 +11,7 @@ from barloom.operators.splits import trading_calendar
 from barloom.plans.catalog import query
 from barloom.plans.inputs import (RUN_SCORES, WEIGHTS, brand_bars, run_requests, run_scores,
                                   run_weights, sql)
-from barloom.sources.tables import table
+from barloom.sources.tables import one_market, table
 
 OHLC = ("open", "high", "low", "close")
 _KEY = "run_id, CAST(date AS VARCHAR) AS date, symbol"
@@ -82,8 +82,8 @@ def _(spark, d):
 
 def _panel(spark, d):
     """The brand panel of a run: every requested symbol on every date."""
-    bars = brand_bars(spark, d).withColumn("market", F.lit("TW"))
-    symbols = run_requests(spark, d).select("run_id", "symbol", F.lit("TW").alias("market"))
+    bars = brand_bars(spark, d).withColumn("market", one_market("symbol"))
+    symbols = run_requests(spark, d).select("run_id", "symbol", one_market("symbol").alias("market"))
     cells = panel(symbols, trading_calendar(bars)).select("run_id", "symbol", "date")
     return cells.join(bars.select("symbol", "date", "close"), ["symbol", "date"], "left")
 

@@ -10,7 +10,7 @@ from barloom.operators.portfolio import topn_weights
 from barloom.operators.splits import trading_calendar
 from barloom.plans.catalog import query
 from barloom.plans.inputs import SCORES, brand_bars, scored_bars, sql
-from barloom.sources.tables import table
+from barloom.sources.tables import one_market, table
 
 OFFICIAL = ("exchange_daily",)
 _Z = "CAST(date AS VARCHAR) AS date"
@@ -41,7 +41,7 @@ _PRE = SCORES + " cal"
 
 def frozen_signals(spark, d):
     scored = scored_bars(spark, d).where("score IS NOT NULL")
-    cal = trading_calendar(brand_bars(spark, d).withColumn("market", F.lit("TW"))).where(
+    cal = trading_calendar(brand_bars(spark, d).withColumn("market", one_market("symbol"))).where(
         "idx % 20 = 0").drop("market")
     s = scored.join(cal, "date").withColumn("run_id", F.concat(F.lit("run-"), F.col("date").cast("string")))
     w = topn_weights(s, threshold=0.25, top_n=5).withColumnRenamed("weight", "weight_")

@@ -11,7 +11,7 @@ from barloom.operators.splits import trading_calendar
 from barloom.plans.catalog import query
 from barloom.plans.inputs import (TYPE_REQ, brand_bars, sql, type_bars, type_requests,
                                   type_universe, universe_of)
-from barloom.sources.tables import (company_profiles, corporate_events, lifecycle_events, table)
+from barloom.sources.tables import (company_profiles, corporate_events, lifecycle_events, one_market, table)
 
 OFFICIAL = ("exchange_daily",)
 AUDIT_SOURCES = ("exchange_daily", "otc_daily")
@@ -224,13 +224,13 @@ def ident_sql(body, **extra):
 
 
 def type_panel(spark, d):
-    bars = type_bars(spark, d).withColumn("market", F.lit("TW"))
+    bars = type_bars(spark, d).withColumn("market", one_market("symbol"))
     return bars, trading_calendar(bars)
 
 
 def type_identities(spark, d):
     bars, cal = type_panel(spark, d)
-    names = type_universe(spark, d).select(F.lit("TW").alias("market"), "symbol")
+    names = type_universe(spark, d).select(one_market("symbol").alias("market"), "symbol")
     return un.identity_asof(panel(names, cal),
                             un.identity_intervals(names, type_life(spark, d)))
 
@@ -338,7 +338,7 @@ _CELLS = {
 def daily_universe(spark, d):
     bars, cal = type_panel(spark, d)
     runs = type_requests(spark, d).select(
-        "run_id", F.lit("TW").alias("market"), "symbol",
+        "run_id", one_market("symbol").alias("market"), "symbol",
         F.when(F.col("run_id") >= "run-3", F.lit(120.0)).alias("aum"), F.lit(3).alias("top_n"))
     cells = tr.tradable_cells(runs, bars, cal, type_events(spark, d), type_life(spark, d),
                               limits=LIMITS)

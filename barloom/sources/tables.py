@@ -45,6 +45,15 @@ def line_order() -> Column:
     return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4096 + cents % 4096
 
 
+def one_market(c: str) -> Column:
+    """The market of a row, TW throughout the derived inputs.
+
+    Written over a column because a market is data: a constant would let the
+    optimizer turn every join on market into a cross join.
+    """
+    return F.when(F.length(F.col(c).cast("string")) > 0, "TW").otherwise("US")
+
+
 def line_ticks(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> DataFrame:
     """Order lines as trades: (symbol, date, px, qty, official, ord)."""
     lines = table(spark, sf_dir, "lineitem").select(
