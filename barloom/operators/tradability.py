@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barloom.functions.columns import count_true, ratio_or_zero
 from barloom.functions.panel import panel
 from barloom.operators.universe import event_clear, identity_asof, identity_intervals
+from barloom.sources.shared import cut_lineage
 
 # Screening policy.
 HISTORY_DAYS = 120
@@ -82,11 +83,12 @@ def tradable_cells(runs: DataFrame, bars: DataFrame, calendar: DataFrame, events
 
     ``runs``: (run_id, market, symbol, aum, top_n). Identity and event state are
     resolved once per (symbol, date) for all runs; bars are those of the
-    resolved symbol.
+    resolved symbol. The identity intervals, the small outcome of a recursion
+    that two branches read, are checkpointed.
     """
     names = runs.select("market", "symbol").distinct()
     asks = panel(names, calendar)
-    known = identity_asof(asks, identity_intervals(names, lifecycle))
+    known = identity_asof(asks, cut_lineage(identity_intervals(names, lifecycle)))
     known = event_clear(known, events, lifecycle)
     ready = readiness_panel(bars, calendar).select(
         "market", F.col("symbol").alias("resolved_symbol"), "date", "history", "completeness",

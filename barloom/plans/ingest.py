@@ -13,6 +13,7 @@ from barloom.operators import quality as ql
 from barloom.plans.catalog import query
 from barloom.plans.inputs import LINE_ORDER_SQL, brand_bars, sql, universe_of
 from barloom.sources import archive as ar, payloads as pl
+from barloom.sources.shared import shared_dir
 from barloom.sources.tables import line_ticks, one_market, table
 
 OFFICIAL = ("exchange_daily",)
@@ -226,7 +227,7 @@ def _(spark, d):
 def landed_archive(spark, d, shift=False):
     """Writes the entries as an archive in the shared folder; returns its path."""
     import uuid
-    path = f"{ar.shared_dir(spark)}/tick-archive-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tick-archive-{uuid.uuid4().hex}"
     entries = tick_entries(spark, d)
     if shift:
         wrong = (F.col("run_id") == "r2") & (F.dayofmonth("trading_date") % 5 == 0)

@@ -10,6 +10,7 @@ from barloom.operators.portfolio import topn_weights
 from barloom.operators.splits import trading_calendar
 from barloom.plans.catalog import query
 from barloom.plans.inputs import SCORES, brand_bars, scored_bars, sql
+from barloom.sources.shared import cut_lineage
 from barloom.sources.tables import one_market, table
 
 OFFICIAL = ("exchange_daily",)
@@ -75,7 +76,10 @@ def _(spark, d):
     round(corr(rr, rs), 6) AS rank_ic FROM (SELECT *, rank() OVER (PARTITION BY cohort_id ORDER BY r) AS rr,
       rank() OVER (PARTITION BY cohort_id ORDER BY score) AS rs FROM res) GROUP BY 1""", **_FROZEN))
 def _(spark, d):
-    return present(pr.cohort_metrics(outcomes(spark, d).where("status = 'resolved'")))
+    # several statistics read the resolved outcomes: look them up once
+    resolved = cut_lineage(outcomes(spark, d).where("status = 'resolved'").select(
+        "cohort_id", "basis_date", "actual_return", "score", "direction_hit", "brier", "position"))
+    return present(pr.cohort_metrics(resolved))
 
 
 @query("compound_daily_returns", sql(_PRE, """SELECT cohort_id, round(exp(sum(ln(1 + g))) - 1, 6) AS gross,

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import present
 from barloom.plans.catalog import query
 from barloom.plans.ingest import tick_entries
-from barloom.sources.archive import shared_dir, write_tick_archive
+from barloom.sources.archive import write_tick_archive
+from barloom.sources.shared import shared_dir
 from barloom.sources.tables import table
 from barloom.streaming import ticks
 

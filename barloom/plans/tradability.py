@@ -11,6 +11,7 @@ from barloom.operators.splits import trading_calendar
 from barloom.plans.catalog import query
 from barloom.plans.inputs import (TYPE_REQ, brand_bars, sql, type_bars, type_requests,
                                   type_universe, universe_of)
+from barloom.sources.shared import cut_lineage
 from barloom.sources.tables import (company_profiles, corporate_events, lifecycle_events, one_market, table)
 
 OFFICIAL = ("exchange_daily",)
@@ -232,7 +233,7 @@ def type_identities(spark, d):
     bars, cal = type_panel(spark, d)
     names = type_universe(spark, d).select(one_market("symbol").alias("market"), "symbol")
     return un.identity_asof(panel(names, cal),
-                            un.identity_intervals(names, type_life(spark, d)))
+                            cut_lineage(un.identity_intervals(names, type_life(spark, d))))
 
 
 @query("identity_asof", ident_sql("""SELECT symbol, CAST(date AS VARCHAR) AS date, resolved_symbol,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions.columns import ratio_or_zero
@@ -13,19 +11,6 @@ ENTRY = "fetch_ts timestamp, payload_body string"
 LAYOUT = ("market", "trading_date", "run_id")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder every executor can reach: the cluster's checkpoint folder.
-
-    Only a local session without one falls back to a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="spark-")
-
-
 def write_tick_archive(entries: DataFrame, path: str) -> None:
     """entries (market, trading_date, run_id, fetch_ts, payload_body) -> gz parts.
 
