@@ -8,7 +8,7 @@ from barloom.functions.columns import present
 from barloom.operators import diagnostics as dg, portfolio as pf, splits as sp
 from barloom.operators.features import Feature, feature_set, forward_return_label, training_frame
 from barloom.plans.catalog import query
-from barloom.plans.inputs import (RUN_SCORES, SCORES, TYPE_REQ, run_requests, scored_bars, sql,
+from barloom.plans.inputs import (RUN_SCORES, TYPE_REQ, run_requests, scored_bars, sql,
                                   type_bars, type_requests)
 from barloom.plans.portfolio import METRICS_SQL
 
