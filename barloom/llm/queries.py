@@ -27,3 +27,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.suffix_dedup import remove_repeats
     return remove_repeats(read(spark, sf_dir, "documents"))
+
+
+@query("op6_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.jaccard_join import near_duplicates
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op8_context_mixing")
+def context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.context_mixing import score_texts
+    return score_texts(read(spark, sf_dir, "documents"))
