@@ -39,3 +39,9 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.context_mixing import score_texts
     return score_texts(read(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_discriminant")
+def quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.quality import quality_scores
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
