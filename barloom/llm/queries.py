@@ -45,3 +45,14 @@ def context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.quality import quality_scores
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def _mixing_sql() -> str:
+    from barloom.llm.mixing import SQL
+    return SQL
+
+
+@query("op4_sainte_lague_mix", _mixing_sql())
+def sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.mixing import mix
+    return mix(read(spark, sf_dir, "documents"))
