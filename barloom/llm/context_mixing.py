@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.llm import buffers as bf
@@ -33,12 +34,13 @@ from barloom.llm.stored import stored
 SPAN = 6
 END = 255
 ORDERS = (1, 2, 3, 4, 5)
-SLOT_BITS = (16, 20, 21, 22, 22)
+SLOT_BITS = (16, 19, 20, 21, 21)
 LOCAL_BYTES = 12 << 20
 COMMON = 1e-6
 ROUNDS = 3
 RATE = 0.02
 BATCH = 512
+TRAINERS = 64
 LEVELS = 33
 PRIOR = 0.4
 _GRAM = np.uint64((1 << 48) - 1)
@@ -197,13 +199,23 @@ def _sum_bits(table: pa.Table) -> pa.Table:
 _LOG = np.log(np.arange(65536) + PRIOR).astype(np.float32)
 
 
+class Tables(list):
+    """The predictors' counts; they travel compressed, as most places of a small corpus are empty."""
+
+    def __reduce__(self):
+        return _tables, ([zstandard.compress(t.T.tobytes(), 1) for t in self],)
+
+
+def _tables(parts: list[bytes]) -> Tables:
+    return Tables(np.frombuffer(zstandard.decompress(p), np.uint16).reshape(2, -1).T.copy() for p in parts)
+
+
 class Model:
     """Tables of bit counts, mixing weights and the refining map."""
 
-    def __init__(self):
-        self.tables = [np.zeros((1 << b, 2), np.uint16) for b in SLOT_BITS]
-        self.weights = np.full((256 * (len(ORDERS) + 1), len(ORDERS)), 0.35, np.float32)
-        self.map = None
+    def __init__(self, tables: Tables, weights: np.ndarray | None = None, refining: np.ndarray | None = None):
+        self.tables, self.map = tables, refining
+        self.weights = np.full((256 * (len(ORDERS) + 1), len(ORDERS)), 0.35, np.float32) if weights is None else weights
 
     def logits(self, gram: np.ndarray, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs (predictor, string * 8 bits), gate and bit."""
@@ -249,15 +261,14 @@ class Model:
         return out
 
 
-def _learn(model):
+def _learn(tables, weights: np.ndarray):
     """One online pass over a task's strings: (gate weights times mass, mass) in one block."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, mass, any_ = None, None, False
         for batch in batches:
             for value in batch.column("block"):
                 if m is None:
-                    m = Model.__new__(Model)
-                    m.tables, m.weights, m.map = model.value.tables, model.value.weights.copy(), None
+                    m = Model(tables.value, weights.copy())
                     mass = np.zeros(len(m.weights))
                 gram, n = bf.unpack(value.as_buffer().to_pybytes())
                 order = np.random.default_rng(7).permutation(len(gram))
@@ -279,13 +290,13 @@ def _learn(model):
     return run
 
 
-def _observe(model):
+def _observe(tables, weights: np.ndarray):
     """Counts of bits and ones at each place of the refining map."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for value in batch.column("block"):
-                m = model.value
+                m = Model(tables.value, weights)
                 gram, n = bf.unpack(value.as_buffer().to_pybytes())
                 if total is None:
                     total = np.zeros((2, len(m.weights) * LEVELS))
@@ -303,42 +314,43 @@ def _observe(model):
     return run
 
 
-def train(strings: DataFrame) -> Model:
-    """The model from blocks of distinct strings with counts. The driver receives tables
-    of fixed size, and per round one set of weights from each task."""
+def train(strings: DataFrame) -> tuple[object, np.ndarray, np.ndarray]:
+    """(broadcast tables, weights, refining map) from blocks of distinct strings with counts.
+
+    The driver receives tables of fixed size, and per round one set of weights from each task.
+    """
     spark = strings.sparkSession
     buckets = bf.bucket_count(spark, 1)
-    model = Model()
-    tables = (strings.groupBy("bucket").applyInArrow(_bit_counts(buckets), BLOCKS)
-              .groupBy("bucket").applyInArrow(_sum_bits, BLOCKS).select("kind", "block"))
-    for row in tables.toLocalIterator():
+    tables = Tables(np.zeros((1 << b, 2), np.uint16) for b in SLOT_BITS)
+    rows = (strings.groupBy("bucket").applyInArrow(_bit_counts(buckets), BLOCKS)
+            .groupBy("bucket").applyInArrow(_sum_bits, BLOCKS).select("kind", "block"))
+    for row in rows.toLocalIterator():
         slot, zero, one = bf.unpack(bytes(row.block))
-        model.tables[row.kind][slot, 0], model.tables[row.kind][slot, 1] = zero, one
-    few = strings.coalesce(max(1, min(64, strings.rdd.getNumPartitions())))
+        tables[row.kind][slot, 0], tables[row.kind][slot, 1] = zero, one
+    model = Model(tables)
+    sent = spark.sparkContext.broadcast(tables)
+    few = strings.coalesce(TRAINERS)
     for _ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(model)
         top, below = 0.0, 0.0
-        for row in few.mapInArrow(_learn(sent), BLOCKS).select("block").collect():
+        for row in few.mapInArrow(_learn(sent, model.weights), BLOCKS).select("block").collect():
             w, mass = bf.unpack(bytes(row.block))
             top, below = top + w.reshape(model.weights.shape), below + mass
         if np.any(below):
             model.weights = np.where(below[:, None] > 0, top / np.maximum(below, 1e-9)[:, None], model.weights).astype(np.float32)
-    sent = spark.sparkContext.broadcast(model)
     seen, ones = np.zeros(len(model.weights) * LEVELS), np.zeros(len(model.weights) * LEVELS)
-    for row in few.mapInArrow(_observe(sent), BLOCKS).select("block").collect():
+    for row in few.mapInArrow(_observe(sent, model.weights), BLOCKS).select("block").collect():
         at, n, n1 = bf.unpack(bytes(row.block))
         seen[at] += n
         ones[at] += n1
     start = 1 / (1 + np.exp(-np.tile(np.linspace(-11, 11, LEVELS), len(model.weights))))
-    model.map = (ones + 16 * start) / (seen + 16)
-    return model
+    return sent, model.weights, (ones + 16 * start) / (seen + 16)
 
 
 # ---- scoring -----------------------------------------------------------------------------
 
-def _score(model, common, buckets: int):
+def _score(tables, weights: np.ndarray, refining: np.ndarray, common, buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (top, counts) = model.value, common.value
+        m, (top, counts) = Model(tables.value, weights, refining), common.value
         logs = np.log10(counts + 0.1)
         table_bits = 22
         for rows, data, off in bf.text_chunks(batches):
@@ -451,10 +463,10 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
     keys = top["key"].to_numpy().view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
     order = np.argsort(keys)
     common = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy()[order]))
-    model = spark.sparkContext.broadcast(train(strings))
+    model = train(strings)
 
     def scored(rows: DataFrame) -> DataFrame:
-        return (rows.mapInArrow(_score(model, common, buckets), BLOCKS).groupBy("bucket")
+        return (rows.mapInArrow(_score(*model, common, buckets), BLOCKS).groupBy("bucket")
                 .cogroup(vocabulary.groupBy("bucket")).applyInArrow(_look_up(buckets), BLOCKS)
                 .groupBy("bucket").applyInArrow(
                     _sum_up, "doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long"))

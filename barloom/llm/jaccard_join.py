@@ -7,12 +7,12 @@ either set under any fixed order of shingles, so only these prefixes are exchang
 1. Documents with equal prefixes and set sizes collapse into one group.
 2. Groups that share a prefix shingle are candidates. Filters on group pairs: set size,
    and what the common prefix shingles and the positions of the last one still allow.
-3. Surviving groups expand to their distinct sets, and sets are compared in full. Only
-   pairs in different components are compared: first one partner each, then the rest.
+3. Surviving groups expand to their distinct sets. Pairs whose parity sketches differ in
+   more bits than the sets may in shingles go; the others are compared in full, and only
+   while they are in different components: first one partner each, then the rest.
 
 The order puts shingles of very many documents last, so a passage that a third of all
-documents share is hardly ever in a prefix. Any order gives the same links; the set of
-frequent shingles has at most MOST_HEAVY members by its threshold. Lists of more than
+documents share is hardly ever in a prefix. Any order gives the same links. Lists of more than
 LIST groups (large families of near copies) are not paired within: all compare with the
 first member, for STARS rounds, and only what is still apart is paired.
 """
@@ -33,7 +33,7 @@ SIMILAR = 75
 HEAVY_SHARE = 1e-3
 MOST_HEAVY = 1 << 20
 LOCAL_BYTES = 16 << 20
-LOCAL_COUNT = 4
+LOCAL_COUNT = 2
 LIST = 64
 STARS = 3
 _BITS = np.uint64(52)
@@ -62,57 +62,73 @@ def set_prints(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (_sums(bf.mix(keys + np.uint64(0x51ED270B1)), at), _sums(bf.mix(keys ^ np.uint64(0x7F4A7C159E3779B9)), at))
 
 
-def _local_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local_counts(buckets: int):
     """Shingles met in LOCAL_COUNT or more distinct sets of one stretch of a task."""
-    held, seen, size, docs, total = [], set(), 0, 0, 0
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen, size = [], set(), 0
+
+        def flush():
+            keys = np.sort(np.concatenate(held))
+            g = bf.groups(keys)
+            count = np.diff(g)
+            often = count >= LOCAL_COUNT
+            keys, count = keys[g[:-1][often]], count[often].astype(np.uint32)
+            o, at = bf.by_bucket(bf.spread(keys, buckets), buckets)
+            used = np.flatnonzero(np.diff(at))
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "block": pa.array(
+                [bf.pack(keys[o[at[k]:at[k + 1]]], count[o[at[k]:at[k + 1]]]) for k in used], pa.binary())})
+
+        for _, data, off in bf.text_chunks(batches):
+            keys, at = shingle_sets(data, off)
+            keep = np.zeros(len(off) - 1, bool)
+            for i, p in enumerate(set_prints(keys, at)[0].tolist()):
+                if p not in seen:
+                    seen.add(p)
+                    keep[i] = True
+            held.append(keys[np.repeat(keep, np.diff(at))])
+            size += len(data)
+            if size >= LOCAL_BYTES:
+                yield flush()
+                held, seen, size = [], set(), 0
+        if held:
+            yield flush()
+    return run
 
-    def flush():
-        keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-        g = bf.groups(keys)
-        count = np.diff(g)
-        often = count >= LOCAL_COUNT
-        return pa.RecordBatch.from_pydict({
-            "key": pa.array(np.append(keys[g[:-1][often]].view(np.int64), -1)),
-            "n": pa.array(np.append(count[often], docs)), "m": pa.array(np.append(np.zeros(often.sum(), np.int64), total))})
 
-    for rows, data, off in bf.text_chunks(batches):
-        keys, at = shingle_sets(data, off)
-        prints = set_prints(keys, at)[0]
-        new = []
-        for i, p in enumerate(prints.tolist()):
-            if p not in seen:
-                seen.add(p)
-                new.append(i)
-        new = np.asarray(new, np.int64)
-        keep = np.zeros(len(off) - 1, bool)
-        keep[new] = True
-        held.append(keys[np.repeat(keep, np.diff(at))])
-        docs, total, size = docs + rows.num_rows, total + len(held[-1]), size + len(data)
-        if size >= LOCAL_BYTES:
-            yield flush()
-            held, seen, size, docs, total = [], set(), 0, 0, 0
-    if docs:
-        yield flush()
+def _total_counts(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        keys, count = bf.unpack_all(table["block"])
+        o = np.argsort(keys)
+        at = bf.groups(keys[o])
+        total = np.append(0, np.cumsum(count[o], dtype=np.int64))
+        total = total[at[1:]] - total[at[:-1]]
+        often = total >= least
+        return pa.table({"key": keys[o][at[:-1]][often].view(np.int64), "n": total[often]})
+    return run
 
 
-def heavy_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles to order last: those of an estimated HEAVY_SHARE of all documents or more.
+def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles to order last, ascending, and their places among themselves, rarer first.
 
-    At most MOST_HEAVY: the threshold is no lower than all shingles / MOST_HEAVY.
+    They are those of an estimated HEAVY_SHARE of all documents; the MOST_HEAVY commonest
+    of them at most, a bound on what is broadcast and no change to the result.
     """
-    counts = stored(docs.mapInArrow(_local_counts, "key long, n long, m long").groupBy("key")
-                    .agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "frequent-shingles")
-    total = counts.where("key = -1").first()
-    if total is None:
-        return np.zeros(0, np.uint64)
-    least = max(HEAVY_SHARE * total.n, total.m / MOST_HEAVY, LOCAL_COUNT + 1)
-    rows = counts.where((F.col("key") >= 0) & (F.col("n") >= F.lit(float(least)))).select("key").toArrow()
-    return np.sort(rows["key"].to_numpy()).astype(np.uint64)
+    buckets = bf.bucket_count(docs.sparkSession, 1)
+    least = max(HEAVY_SHARE * docs.count(), 2 * LOCAL_COUNT)
+    rows = (docs.mapInArrow(_local_counts(buckets), "bucket int, block binary").groupBy("bucket")
+            .applyInArrow(_total_counts(least), "key long, n long").orderBy(F.desc("n"), "key").limit(MOST_HEAVY).toArrow())
+    if not rows.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    keys, n = rows["key"].to_numpy().astype(np.uint64), rows["n"].to_numpy()
+    place = np.empty(len(keys), np.uint64)
+    place[np.lexsort((keys, n))] = np.arange(len(keys), dtype=np.uint64)
+    o = np.argsort(keys)
+    return keys[o], place[o]
 
 
 def _post(heavy, buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = heavy.value
+        last, rank = heavy.value
         for rows, data, off in bf.text_chunks(batches):
             ids = bf.longs(rows, "doc_id")
             keys, at = shingle_sets(data, off)
@@ -121,7 +137,7 @@ def _post(heavy, buckets: int):
             fa, fb = set_prints(keys, at)
             if len(last):
                 place = np.minimum(np.searchsorted(last, keys), len(last) - 1)
-                keys = np.where(last[place] == keys, keys | _HEAVY, keys)
+                keys = np.where(last[place] == keys, rank[place] | _HEAVY, keys)
                 order = np.lexsort((keys, owner)) if (keys & _HEAVY).any() else slice(None)
                 keys = keys[order]
             prefix = n - -(-SIMILAR * n // 100) + (n > 0)
@@ -215,21 +231,52 @@ def _may_link(a: Column, b: Column, common: Column) -> Column:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as 40-bit planes, which is plenty between two sets, and their parity sketches.
+
+    A sketch has one bit per residue, set when an odd number of shingles has it. Bits in
+    which two sketches differ are at most the shingles in which the sets differ.
+    """
     for rows, data, off in bf.text_chunks(batches):
         keys, at = shingle_sets(data, off)
-        yield pa.RecordBatch.from_pydict({"id": rows.column("doc_id"), "shingles": pa.array(
-            [keys[at[i]:at[i + 1]].tobytes() for i in range(len(off) - 1)], pa.binary())})
+        planes, sketches = [], []
+        for i in range(len(off) - 1):
+            k = keys[at[i]:at[i + 1]]
+            bits = 1 << max(6, (4 * len(k)).bit_length())
+            odd = np.bincount((k & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+            sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            planes.append((k >> np.uint64(12)).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes())
+        yield pa.RecordBatch.from_pydict({"id": rows.column("doc_id"), "n": pa.array(np.diff(at)), "sketch": pa.array(sketches, pa.binary()),
+                                          "shingles": pa.array(planes, pa.binary())})
+
+
+def _values(planes) -> np.ndarray:
+    out = np.zeros((len(planes) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(planes, np.uint8).reshape(5, -1).T
+    return out.view(np.uint64).reshape(-1)
+
+
+def _differ_little(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches allow a link."""
+    for batch in batches:
+        keep = []
+        for x, y, n, m in zip(*(batch.column(c) for c in ("x", "y")), *(batch.column(c).to_pylist() for c in ("nx", "ny")), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            small = min(len(x), len(y))
+            x, y = (np.bitwise_xor.reduce(v.reshape(-1, small), axis=0) for v in (x, y))
+            least = -(-SIMILAR * (n + m) // (100 + SIMILAR))
+            keep.append(int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * least)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
-        for x, y in zip(batch.column("sx"), batch.column("sy"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            x, y = _values(x.as_buffer()), _values(y.as_buffer())
             both = np.sort(np.concatenate([x, y]))
             common = int((both[1:] == both[:-1]).sum())
             linked.append(100 * common >= SIMILAR * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
+        yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -271,21 +318,24 @@ class _Links:
         pairs = self.root(self.root(pairs, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
         return pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti")
 
-    def compare(self, pairs: DataFrame) -> bool:
-        """Compares pairs in full; false if there were none."""
-        pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    def beside(self, pairs: DataFrame, column: str) -> DataFrame:
+        x = self.sets.select(F.col("id").alias("a"), F.col("n").alias("nx"), F.col(column).alias("x"))
+        y = self.sets.select(F.col("id").alias("b"), F.col("n").alias("ny"), F.col(column).alias("y"))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "x", "y")
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that may link by their sketches; written, as several steps read them."""
+        return stored(self.beside(pairs.select("a", "b").distinct(), "sketch").mapInArrow(_differ_little, "a long, b long"), "pairs")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Compares possible pairs in full and joins the components of those linked."""
         if pairs.isEmpty():
-            return False
-        x = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sx"))
-        y = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("sy"))
-        done = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "sx", "sy")
-                      .mapInArrow(_compare, "a long, b long, linked boolean"), "compared")
-        linked = done.where("linked").select("a", "b")
+            return
+        linked = stored(self.beside(pairs, "shingles").mapInArrow(_compare, "a long, b long"), "linked")
         self.tried = pairs if self.tried is None else self.tried.union(pairs)
         self.links = linked if self.links is None else self.links.union(linked)
         if not linked.isEmpty():
             self.roots = components(self.links)
-        return True
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -323,7 +373,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pairs, lists = stored(pairs.distinct(), "candidates"), stored(lists, "lists")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(lists.select("id")).distinct()
-    links = _Links(stored(keyed.join(wanted, "doc_id").mapInArrow(_sets, "id long, shingles binary"), "shingle-sets"))
+    links = _Links(stored(keyed.join(wanted, "doc_id").mapInArrow(_sets, "id long, n long, sketch binary, shingles binary"), "shingle-sets"))
     _walk(links, pairs, lists)
 
     classes = facts.join(sets.drop("g"), ["n", "c", "d"], "left").select("doc_id", "n", "id")
@@ -341,12 +391,13 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _walk(links: _Links, pairs: DataFrame, lists: DataFrame) -> None:
     """Compares one partner of each set and one leader of each list, then what is still apart."""
+    pairs = links.possible(pairs)
     for _ in range(STARS):
         leader = lists.groupBy("list").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("na"))
         led = lists.join(leader, "list").where("id <> a")
-        star = led.where(_alike("n", "na")).select("a", F.col("id").alias("b"))
+        star = links.possible(links.apart(led.where(_alike("n", "na")).select("a", F.col("id").alias("b"))))
         one = links.apart(pairs).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        links.compare(links.apart(one.union(star)))
+        links.compare(stored(one.union(star).distinct(), "round"))
         # the leader has met all the others; a list whose sets are all together is done
         rest = stored(links.root(led.select("list", "id", "n"), "id", "r"), "lists")
         open_ = rest.groupBy("list").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("list")
@@ -357,7 +408,7 @@ def _walk(links: _Links, pairs: DataFrame, lists: DataFrame) -> None:
            .select("list", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), "main"))
     met = (few.join(rooted, "list").where(_alike("n", "nx") & (F.col("r") != F.col("rx")) & ((F.col("r") == F.col("main")) | (F.col("x") < F.col("id"))))
            .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")))
-    links.compare(links.apart(pairs.union(met)))
+    links.compare(stored(links.apart(pairs.union(links.possible(links.apart(met)))).distinct(), "round"))
 
 
 def _alike(a: str, b: str) -> Column:

@@ -56,3 +56,21 @@ def _mixing_sql() -> str:
 def sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.mixing import mix
     return mix(read(spark, sf_dir, "documents"))
+
+
+@query("op3_sanitisation")
+def sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.sanitise import personal_data
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
+@query("op2_string_tiling")
+def string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.decontaminate import contaminated
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op5_main_text")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.main_text import main_text
+    return main_text(read(spark, sf_dir, "pages"))
