@@ -74,3 +74,15 @@ def string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.main_text import main_text
     return main_text(read(spark, sf_dir, "pages"))
+
+
+@query("op10_multi_index")
+def multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.multi_index import neighbours
+    return neighbours(read(spark, sf_dir, "embeddings"))
+
+
+@query("op1_licence_scan")
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.licences import scan
+    return scan(read(spark, sf_dir, "documents"))
