@@ -59,15 +59,23 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n = np.diff(off)
     begin = off[:-1] + SPAN * np.arange(len(n))
-    padded = np.zeros(len(data) + SPAN * len(n), np.uint64)
-    padded[np.repeat(begin + SPAN - 1 - off[:-1], n) + np.arange(len(data))] = data
+    padded = np.zeros(len(data) + SPAN * len(n), np.uint8)
+    inside = np.ones(len(padded), bool)
+    for j in range(SPAN - 1):
+        inside[begin + j] = False
+    inside[begin + SPAN - 1 + n] = False
+    padded[inside] = data
     padded[begin + SPAN - 1 + n] = END
     size = len(padded) - SPAN + 1
     out = np.zeros(size, np.uint64)
     for j in range(SPAN):
-        out = (out << np.uint64(8)) | padded[j:j + size]
-    take = np.repeat(begin - np.cumsum(n + 1) + n + 1, n + 1) + np.arange((n + 1).sum())
-    return out[take], np.concatenate([[0], np.cumsum(n + 1)])
+        out <<= np.uint64(8)
+        out |= padded[j:j + size]
+    # windows that reach into the next text
+    keep = np.ones(len(padded), bool)
+    for j in range(SPAN - 1):
+        keep[begin + n + 1 + j] = False
+    return out[keep[:size]], np.concatenate([[0], np.cumsum(n + 1)])
 
 
 def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -360,13 +368,16 @@ def _score(tables, weights: np.ndarray, refining: np.ndarray, common, buckets: i
             bits = m.bits(distinct)
             # one probe per byte; strings that share a place are looked up by search
             place = lambda g: ((g * _ODD[5]) >> np.uint64(64 - table_bits)).astype(np.int64)
-            owner, found = np.zeros(1 << table_bits, np.int32), place(distinct)
-            owner[found] = np.arange(len(distinct))
-            index = owner[place(gram)]
-            missed = np.flatnonzero(distinct[index] != gram)
-            index[missed] = np.searchsorted(distinct, gram[missed])
-            sums = np.append(0, np.cumsum(bits[index]))
-            score = -(sums[at[1:]] - sums[at[:-1]]) * np.log10(2)
+            owner, length = np.zeros(1 << table_bits, np.int32), np.empty(len(gram), np.float32)
+            owner[place(distinct)] = np.arange(len(distinct))
+            for s in range(0, len(gram), 1 << 19):
+                g = gram[s:s + (1 << 19)]
+                index = owner[place(g)]
+                missed = np.flatnonzero(distinct[index] != g)
+                index[missed] = np.searchsorted(distinct, g[missed])
+                length[s:s + len(g)] = bits[index]
+            score = -np.add.reduceat(length, at[:-1], dtype=np.float64) * np.log10(2)
+            del gram, owner, length
 
             words, w = tokens(data, off)
             owner_doc = np.repeat(np.arange(rows.num_rows), np.diff(w))

@@ -218,5 +218,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text leaks no item."""
     _, found = leaks(docs, benchmark)
-    keys = found.select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", F.xxhash64(bf.whole_text())).join(keys, "_key", "left_anti").select(docs.columns)
+    keys = found.select(F.col("key").alias("__llm_key")).distinct()
+    return docs.withColumn("__llm_key", F.xxhash64(bf.whole_text())).join(keys, "__llm_key", "left_anti").select(docs.columns)

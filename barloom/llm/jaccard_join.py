@@ -14,7 +14,7 @@ either set under any fixed order of shingles, so only these prefixes are exchang
 The order puts shingles of very many documents last, so a passage that a third of all
 documents share is hardly ever in a prefix. Any order gives the same links. Lists of more than
 LIST groups (large families of near copies) are not paired within: all compare with the
-first member, for STARS rounds, and only what is still apart is paired.
+first member, and what is still apart from the family meets it block by block in tasks.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ MOST_HEAVY = 1 << 20
 LOCAL_BYTES = 16 << 20
 LOCAL_COUNT = 2
 LIST = 64
-STARS = 3
+BLOCK = 512
 _BITS = np.uint64(52)
 _LOW = np.uint64((1 << 52) - 1)
 _HEAVY = np.uint64(1 << 52)
@@ -390,25 +390,82 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _walk(links: _Links, pairs: DataFrame, lists: DataFrame) -> None:
-    """Compares one partner of each set and one leader of each list, then what is still apart."""
+    """Compares one partner of each set and the leader of each list, then what is still apart."""
     pairs = links.possible(pairs)
-    for _ in range(STARS):
-        leader = lists.groupBy("list").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("na"))
-        led = lists.join(leader, "list").where("id <> a")
-        star = links.possible(links.apart(led.where(_alike("n", "na")).select("a", F.col("id").alias("b"))))
-        one = links.apart(pairs).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        links.compare(stored(one.union(star).distinct(), "round"))
-        # the leader has met all the others; a list whose sets are all together is done
-        rest = stored(links.root(led.select("list", "id", "n"), "id", "r"), "lists")
-        open_ = rest.groupBy("list").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("list")
-        lists = rest.join(open_, "list", "left_semi").select("list", "id", "n")
-    rooted = links.root(lists, "id", "r")
-    main = rooted.groupBy("list").agg(F.min("r").alias("main"))
-    few = (rooted.join(main, "list").where("r <> main")
-           .select("list", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), "main"))
-    met = (few.join(rooted, "list").where(_alike("n", "nx") & (F.col("r") != F.col("rx")) & ((F.col("r") == F.col("main")) | (F.col("x") < F.col("id"))))
-           .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")))
-    links.compare(stored(links.apart(pairs.union(links.possible(links.apart(met)))).distinct(), "round"))
+    leader = lists.groupBy("list").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("na"))
+    led = stored(lists.join(leader, "list").where("id <> a").select("list", "a", "na", "id", "n"), "led")
+    one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    star = links.possible(led.where(_alike("n", "na")).select("a", F.col("id").alias("b")))
+    links.compare(stored(one.union(star).distinct(), "round"))
+    rest = pairs
+    if not led.isEmpty():
+        family = components(led.select("a", F.col("id").alias("b")))
+        rest = rest.union(_families(links, family.select("id", F.col("root").alias("family"))))
+    links.compare(stored(links.apart(rest).distinct(), "round"))
+
+
+def _families(links: _Links, family: DataFrame) -> DataFrame:
+    """Pairs that may link among sets joined by long lists, found block against block.
+
+    Sets outside a family's main component meet all sets of the family, BLOCK by BLOCK,
+    inside a task; only pairs whose sketches allow a link come out.
+    """
+    members = links.root(family, "id", "root")
+    size = members.groupBy("family", "root").agg(F.count("*").alias("k")).groupBy("family").agg(
+        F.sum("k").alias("size"), F.max_by("root", "k").alias("main"))
+    members = stored(members.join(size.where("size > 1"), "family").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+                     .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("apart", F.col("root") != F.col("main"))
+                     .join(links.sets.select("id", "n", "sketch"), "id")
+                     .select("family", "block", "blocks", "apart", "id", "root", "n", "sketch"), "families")
+    packed = "family long, block int, blocks int, packed binary"
+    every = members.groupBy("family", "block").applyInArrow(_pack_members, packed)
+    some = members.where("apart").groupBy("family", "block").applyInArrow(_pack_members, packed)
+    some = some.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("packed").alias("few"))
+    return stored(every.join(some, ["family", "block"]).select("few", "packed").mapInArrow(_blocks_alike, "a long, b long").distinct(), "pairs")
+
+
+def _pack_members(table: pa.Table) -> pa.Table:
+    sketch = table["sketch"].combine_chunks()
+    sizes = np.diff(np.frombuffer(sketch.buffers()[1], np.int32, count=len(sketch) + 1, offset=4 * sketch.offset)).astype(np.int32)
+    value = bf.pack(*[table[c].to_numpy() for c in ("id", "root", "n")], sizes, np.frombuffer(b"".join(sketch.to_pylist()), np.uint8))
+    return pa.table({"family": table["family"][:1], "block": table["block"][:1], "blocks": table["blocks"][:1], "packed": pa.array([value], pa.binary())})
+
+
+def _sketch_classes(value: bytes) -> list[tuple[np.ndarray, ...]]:
+    """(ids, roots, sizes, sketches) by length of sketch."""
+    ids, roots, n, sizes, flat = bf.unpack(value)
+    begin = np.cumsum(sizes) - sizes
+    out = []
+    for size in np.unique(sizes):
+        x = np.flatnonzero(sizes == size)
+        out.append((ids[x], roots[x], n[x].astype(np.int64), flat[begin[x][:, None] + np.arange(size)].view(np.uint64)))
+    return out
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+
+def _blocks_alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for few, every in zip(batch.column("few").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            others = _sketch_classes(every)
+            for ids, roots, n, own in _sketch_classes(few):
+                for ids2, roots2, n2, theirs in others:
+                    words = min(own.shape[1], theirs.shape[1])
+                    if max(own.shape[1], theirs.shape[1]) > 2 * words:
+                        continue  # sizes too far apart
+                    x, y = _folded(own, words), _folded(theirs, words)
+                    for i in range(len(ids)):
+                        both = n[i] + n2
+                        fits = (100 * np.minimum(n[i], n2) >= SIMILAR * np.maximum(n[i], n2)) & (roots2 != roots[i])
+                        fits = np.flatnonzero(fits)
+                        differ = np.bitwise_count(y[fits] ^ x[i]).sum(axis=1, dtype=np.int64)
+                        ok = fits[differ <= both[fits] - 2 * -(-SIMILAR * both[fits] // (100 + SIMILAR))]
+                        out_a.append(np.minimum(ids[i], ids2[ok]))
+                        out_b.append(np.maximum(ids[i], ids2[ok]))
+        yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
 
 
 def _alike(a: str, b: str) -> Column:

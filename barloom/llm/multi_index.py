@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, functions as F
 from barloom.llm import buffers as bf
 
 SAMPLE = 20000
-ROWS_A_CELL = 64
+ROWS_A_CELL = 16
 MOST_CENTROIDS = 256
-SHARE = 0.6
-FEWEST = 4096
+SHARE = 0.7
+FEWEST = 8192
 CELL_ROWS = 8192
 ROUNDS = 12
 NEAREST = 10

@@ -182,13 +182,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _decide(model: Discriminant):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in bf.text_chunks(batches, "_text"):
+        for rows, data, off in bf.text_chunks(batches, "__llm_text"):
             keep = model.scores(features(data, off)) >= THRESHOLD
-            yield rows.filter(pa.array(keep)).drop_columns(["_text"])
+            yield rows.filter(pa.array(keep)).drop_columns(["__llm_text"])
     return run
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text scores THRESHOLD or more, all columns."""
     model = fit(measured(docs), labels)
-    return docs.withColumn("_text", bf.whole_text()).mapInArrow(_decide(model), docs.schema)
+    return docs.withColumn("__llm_text", bf.whole_text()).mapInArrow(_decide(model), docs.schema)

@@ -278,10 +278,10 @@ def clean(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def _replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, spans = batch.schema.get_field_index("text"), batch.column("_spans")
+        at, spans = batch.schema.get_field_index("text"), batch.column("__llm_spans")
         texts = [t if not p else clean(t, [(x["s"], x["k"], x["e"]) for x in p])
                  for t, p in zip(batch.column("text").to_pylist(), spans.to_pylist(), strict=True)]
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns(["_spans"])
+        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns(["__llm_spans"])
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
@@ -291,6 +291,6 @@ def sanitised(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(bf.whole_text())
     rows = docs.select("doc_id", "text")
     found = find(rows.select("doc_id", "text").withColumn("doc_id", key)).where("size(base) + size(terms) > 0")
-    spans = found.groupBy(F.col("doc_id").alias("_key")).agg(F.max(F.concat("base", "terms")).alias("_spans"))
-    joined = docs.withColumn("_key", key).join(spans, "_key", "left").drop("_key")
+    spans = found.groupBy(F.col("doc_id").alias("__llm_key")).agg(F.max(F.concat("base", "terms")).alias("__llm_spans"))
+    joined = docs.withColumn("__llm_key", key).join(spans, "__llm_key", "left").drop("__llm_key")
     return joined.mapInArrow(_replace, docs.schema)
