@@ -48,10 +48,10 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes words of, with ``size``, ``target`` (of the source) and ``taken``."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(buffers.whole_text()))
-    taken = (mix(docs.select(key.alias("doc_id"), "source", "text")).groupBy(F.col("doc_id").alias("_key"))
+    taken = (mix(docs.select(key.alias("doc_id"), "source", "text")).groupBy(F.col("doc_id").alias("__llm_key"))
              .agg(*[F.max(c).alias(c) for c in ("size", "target", "taken")]).where("taken > 0"))
     own = docs.drop("size", "target", "taken")
-    return own.withColumn("_key", key).join(taken, "_key").drop("_key")
+    return own.withColumn("__llm_key", key).join(taken, "__llm_key").drop("__llm_key")
 
 
 STAGES = [
