@@ -60,13 +60,19 @@ def topn_weights(scores: DataFrame, *, threshold: float | Column, top_n: int | C
 def hold_weights(scores: DataFrame, *, threshold: float, top_n: int,
                  probabilities: str | None = None, p_min: float = 0.5,
                  keys: Sequence[str] = RUN) -> DataFrame:
-    """Never-sell weights: everything selected so far, equally."""
+    """Never-sell weights: everything selected so far, equally, on every date of the run.
+
+    A held symbol has a row also on dates without one of its own, as it is not sold.
+    """
     picked = _selection(scores, threshold=threshold, top_n=top_n,
                         probabilities=probabilities, p_min=p_min, keys=keys)
-    first = F.min(F.when(F.col("_pick"), F.col("date"))).over(
-        Window.partitionBy(*keys, "symbol"))
-    held = picked.select(*keys, "date", "symbol",
-                         F.coalesce(first <= F.col("date"), F.lit(False)).alias("_held"))
+    keys = list(keys)
+    first = picked.where("_pick").groupBy(*keys, "symbol").agg(F.min("date").alias("_first"))
+    dates = picked.select(*keys, "date").distinct()
+    since = dates.join(first, keys).where(F.col("date") >= F.col("_first")).select(
+        *keys, "date", "symbol", F.lit(True).alias("_in"))
+    held = picked.select(*keys, "date", "symbol").join(since, [*keys, "date", "symbol"], "full").select(
+        *keys, "date", "symbol", F.coalesce("_in", F.lit(False)).alias("_held"))
     n = F.sum(F.col("_held").cast("int")).over(Window.partitionBy(*keys, "date"))
     return held.select(*keys, "date", "symbol", F.when(
         F.col("_held"), F.lit(1.0) / n).otherwise(F.lit(0.0)).alias("weight"))
@@ -266,10 +272,12 @@ def portfolio_returns(weights: DataFrame, prices: DataFrame | None = None, *, re
 
 
 def equity_curve(returns: DataFrame, *, keys: Sequence[str] = RUN) -> DataFrame:
-    """(keys, date, equity): compounded value; valid while every return > -1."""
+    """(keys, date, equity): compounded value, 0 from the first return of -1 or less on."""
     upto = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     growth = F.when(F.col("ret") > -1, F.log1p("ret"))
-    return returns.select(*keys, "date", F.exp(F.sum(growth).over(upto)).alias("equity"))
+    lost = F.coalesce(F.max(F.col("ret") <= -1).over(upto), F.lit(False))
+    return returns.select(*keys, "date", F.when(lost, F.lit(0.0)).otherwise(
+        F.exp(F.sum(growth).over(upto))).alias("equity"))
 
 
 def portfolio_metrics(curve: DataFrame, *, keys: Sequence[str] = RUN) -> DataFrame:

@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.columns import count_true
 
+# Columns and policy.
 PRICES = ("open", "high", "low", "close")
 PROFILE_FIELDS = ("market", "exchange", "board", "company_name", "isin_code",
                   "industry_category", "listing_date", "trading_status", "source_name",
                   "raw_payload_id", "archive_object_reference", "notes")
 COMPLETENESS_FIELDS = ("company_name", "isin_code", "industry_category", "listing_date",
                        "trading_status", "notes")
-
-# Policy.
 GAP_DAYS = 7
 SEGMENT_DAYS = 7
 COVERAGE_FLOOR = 0.95
@@ -28,10 +27,14 @@ MAX_ATTEMPTS = 3
 
 def keep_latest(rows: DataFrame, *, keys: Sequence[str], order: Sequence[str | Column],
                 copies: str | None = None) -> DataFrame:
-    """The row with the greatest ``order`` per key, and optionally its copies."""
+    """The row with the greatest ``order`` per key (nulls least), and optionally its copies.
+
+    The order is a struct even for one column: max_by passes over null orders, and a
+    key that has no other would lose its values.
+    """
     keys = list(keys)
     rest = [c for c in rows.columns if c not in keys]
-    key = order[0] if len(order) == 1 else F.struct(*order)
+    key = F.struct(*order)
     counted = [F.count(F.lit(1)).alias(copies)] if copies else []
     kept = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), key).alias("_r"), *counted)
     return kept.select(*keys, *[F.col("_r")[c].alias(c) for c in rest],

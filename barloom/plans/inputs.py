@@ -22,6 +22,10 @@ def _bars_sql(symbol: str) -> str:
           FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2"""
 
 
+EQUITY_SQL = """SELECT run_id, date, CASE WHEN max(CASE WHEN ret <= -1 THEN 1 ELSE 0 END) OVER w = 1 THEN 0e0
+      ELSE exp(sum(CASE WHEN ret > -1 THEN ln(1 + ret) END) OVER w) END AS equity
+    FROM {} WINDOW w AS (PARTITION BY run_id ORDER BY date)"""
+
 FRAGMENTS = {
     "bars": _bars_sql("p_brand"),
     "tbars": _bars_sql("p_type"),
@@ -64,8 +68,7 @@ FRAGMENTS = {
       FROM (SELECT run_id, date, abs(weight - held) AS d,
               coalesce(held * (open / lag(open) OVER (PARTITION BY run_id, symbol ORDER BY date) - 1), 0) AS g
             FROM px) GROUP BY 1, 2""",
-    "eq": """SELECT run_id, date, exp(sum(ln(1 + ret)) OVER (PARTITION BY run_id ORDER BY date)) AS equity
-      FROM pret""",
+    "eq": EQUITY_SQL.format("pret"),
 }
 
 
@@ -104,14 +107,18 @@ def scored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             .drop(z.column).join(universe_of(spark, sf_dir), "symbol"))
 
 
+def _run_slots(spark: SparkSession, sf_dir: str, names: DataFrame, parts: int) -> DataFrame:
+    """(symbol, position, r): each region's run r takes names whose position + r is no
+    multiple of ``parts``; the rest of the position is the join key."""
+    runs = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"), F.explode(F.filter(
+        F.sequence(F.lit(0), F.lit(parts - 1)),
+        lambda rest: (rest + F.col("r_regionkey")) % parts != 0)).alias("_rest"))
+    return names.withColumn("_rest", F.col("position") % parts).join(runs, "_rest").drop("_rest")
+
+
 def run_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, symbol, threshold, top_n): a run per region, four fifths of the universe."""
-    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"))
-    slots = universe_of(spark, sf_dir).select(
-        "symbol", F.explode(F.filter(
-            F.sequence(F.lit(0), F.lit(4)),
-            lambda r: (F.col("position") + r) % 5 != 0)).alias("r"))
-    return slots.join(regions, "r").select(
+    return _run_slots(spark, sf_dir, universe_of(spark, sf_dir), 5).select(
         F.concat(F.lit("run-"), "r").alias("run_id"), "symbol",
         (F.lit(0.25) + F.lit(0.25) * F.col("r")).alias("threshold"),
         (F.lit(3) + F.col("r")).alias("top_n"))
@@ -139,10 +146,5 @@ def type_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def type_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, symbol, position): a run per region over two thirds of the part types."""
-    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"))
-    slots = type_universe(spark, sf_dir).select(
-        "symbol", "position", F.explode(F.filter(
-            F.sequence(F.lit(0), F.lit(4)),
-            lambda r: (F.col("position") + r) % 3 != 0)).alias("r"))
-    return slots.join(regions, "r").select(
+    return _run_slots(spark, sf_dir, type_universe(spark, sf_dir), 3).select(
         F.concat(F.lit("run-"), "r").alias("run_id"), "symbol", "position")

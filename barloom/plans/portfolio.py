@@ -9,7 +9,7 @@ from barloom.functions.panel import panel
 from barloom.operators import portfolio as pf
 from barloom.operators.splits import trading_calendar
 from barloom.plans.catalog import query
-from barloom.plans.inputs import (RUN_SCORES, WEIGHTS, brand_bars, run_requests, run_scores,
+from barloom.plans.inputs import (EQUITY_SQL, RUN_SCORES, WEIGHTS, brand_bars, run_requests, run_scores,
                                   run_weights, sql)
 from barloom.sources.tables import one_market, table
 
@@ -24,13 +24,15 @@ def _(spark, d):
     return present(run_weights(spark, d))
 
 
-@query("hold_weights", sql(RUN_SCORES, f"""SELECT {_KEY}, round(CASE WHEN first <= date THEN 1e0 /
-      sum(CASE WHEN first <= date THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, date)
-      ELSE 0 END, 6) AS weight
-    FROM (SELECT *, min(CASE WHEN ok AND rk <= 2 THEN date END) OVER (PARTITION BY run_id, symbol) AS first
-      FROM (SELECT *, row_number() OVER (PARTITION BY run_id, date
+@query("hold_weights", sql(RUN_SCORES, f"""SELECT {_KEY}, round(CASE WHEN kept THEN 1e0 /
+      sum(CASE WHEN kept THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, date) ELSE 0 END, 6) AS weight
+    FROM (SELECT run_id, date, symbol, h.kept IS NOT NULL AS kept FROM rscored
+      FULL JOIN (SELECT run_id, date, symbol, true AS kept FROM (SELECT DISTINCT run_id, date FROM rscored)
+        JOIN buy USING (run_id) WHERE date >= first) h USING (run_id, date, symbol))""",
+    buy="""SELECT run_id, symbol, min(date) AS first FROM (SELECT *, row_number() OVER (PARTITION BY run_id, date
               ORDER BY ok DESC, score DESC NULLS LAST, position) AS rk
-            FROM (SELECT *, coalesce(score >= 1.5e0, false) AS ok FROM rscored)))"""))
+            FROM (SELECT *, coalesce(score >= 1.5e0, false) AS ok FROM rscored))
+      WHERE ok AND rk <= 2 GROUP BY 1, 2"""))
 def _(spark, d):
     return present(pf.hold_weights(run_scores(spark, d), threshold=1.5, top_n=2))
 
@@ -167,10 +169,17 @@ def _(spark, d):
     return present(run_returns(spark, d))
 
 
-@query("equity_curve", sql(_EQ, """SELECT run_id, CAST(date AS VARCHAR) AS date,
-    round(equity, 6) AS equity FROM eq"""))
+@query("equity_curve", sql(_GRID + " pret", """SELECT run_id, CAST(date AS VARCHAR) AS date,
+    round(equity, 6) AS equity FROM eq2""", lost="""SELECT run_id, date, ret FROM pret UNION ALL
+      SELECT 'lost', date, CASE WHEN month(date) = 6 AND day(date) % 9 = 8 THEN -1 ELSE ret END FROM pret WHERE run_id = 'run-0'""",
+    eq2=EQUITY_SQL.format("lost")))
 def _(spark, d):
-    return present(pf.equity_curve(run_returns(spark, d)))
+    # besides, the first run with days on which everything is lost
+    returns = run_returns(spark, d).select("run_id", "date", "ret")
+    gone = (F.month("date") == 6) & (F.dayofmonth("date") % 9 == 8)
+    lost = returns.where("run_id = 'run-0'").select(
+        F.lit("lost").alias("run_id"), "date", F.when(gone, F.lit(-1.0)).otherwise(F.col("ret")).alias("ret"))
+    return present(pf.equity_curve(returns.unionByName(lost)))
 
 
 METRICS_SQL = {

@@ -290,18 +290,19 @@ def _(spark, d):
     return pr.opinion_buckets(latest, policies(spark, d))
 
 
-@query("parameter_sensitivity", sql("", """SELECT run_id, count(*) FILTER (b) AS base, count(*) FILTER (s1) AS strict_threshold,
-    count(*) FILTER (s2) AS loose_threshold, count(*) FILTER (s3) AS top_n_minus_1, count(*) FILTER (s4) AS top_n_plus_1,
-    count(*) FILTER (b AND s1 AND s2 AND s3 AND s4) AS stable,
+@query("parameter_sensitivity", sql("", """SELECT run_id, count(*) FILTER (b) AS base, CASE WHEN count(s1) > 0 THEN count(*) FILTER (s1) END AS strict_threshold,
+    CASE WHEN count(s2) > 0 THEN count(*) FILTER (s2) END AS loose_threshold, CASE WHEN count(s3) > 0 THEN count(*) FILTER (s3) END AS top_n_minus_1,
+    CASE WHEN count(s4) > 0 THEN count(*) FILTER (s4) END AS top_n_plus_1,
+    CASE WHEN count(s1) + count(s4) > 0 THEN count(*) FILTER (b AND coalesce(s1, true) AND coalesce(s2, true) AND coalesce(s3, true) AND coalesce(s4, true)) ELSE 0 END AS stable,
     count(*) FILTER (s1 <> b OR s2 <> b OR s3 <> b OR s4 <> b) AS changed FROM (
-      SELECT *, position > 0 AS b, score >= 0.125 AS s1, score >= 0.075 AS s2, rk <= n - 1 AS s3, rk <= n + 1 AS s4 FROM (
-        SELECT * EXCLUDE (n), 3 AS n, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, symbol) AS rk FROM la
-        WHERE up_probability <= 1 AND run_id % 13 <> 0 AND run_id % 17 <> 0 AND run_id % 4 = 3)) GROUP BY 1""", **_SIG))
+      SELECT *, position > 0 AS b, CASE WHEN t > 0 THEN score >= t * 1.25e0 END AS s1, CASE WHEN t > 0 THEN score >= t * 0.75e0 END AS s2,
+        CASE WHEN n > 1 THEN rk <= n - 1 END AS s3, CASE WHEN n >= 1 THEN rk <= n + 1 END AS s4 FROM (
+        SELECT * EXCLUDE (n), CASE WHEN run_id % 13 <> 0 THEN 0.1e0 END AS t, CASE WHEN run_id % 17 <> 0 THEN run_id % 4 END AS n,
+          row_number() OVER (PARTITION BY run_id ORDER BY score DESC, symbol) AS rk FROM la
+        WHERE up_probability <= 1)) GROUP BY 1""", **_SIG))
 def _(spark, d):
     latest, _summary = snapshot(spark, d)
-    k = F.col("run_id")
-    chosen = policies(spark, d).where((k % 4 == 3) & (k % 13 != 0) & (k % 17 != 0))
-    return pr.parameter_sensitivity(latest, chosen)
+    return pr.parameter_sensitivity(latest, policies(spark, d))
 
 
 def noted_runs(spark, d):

@@ -5,10 +5,12 @@ Checkpoints and sinks live in a shared folder the caller names.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from barloom.operators.quality import keep_latest, upsert_minute_bars
+from barloom.operators.quality import keep_latest
 from barloom.sources.archive import ENTRY, LAYOUT
 from barloom.sources.payloads import snapshot_observations
 
@@ -32,45 +34,38 @@ def landed_ticks(spark: SparkSession, path: str, *, files_per_batch: int | None
         snapshot_observations("e.payload_body", "e.fetch_ts")))
 
 
+def _keep_batch(batch: DataFrame, number: int, sink: str, keys: Sequence[str]) -> None:
+    """Writes one micro-batch to a folder of its own; a retry writes the same folder anew."""
+    (batch.dropDuplicates(list(keys)) if keys else batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+
 def stream_tick_landing(spark: SparkSession, path: str, *, sink: str, checkpoint: str,
-                        delay: str = "1 day", files_per_batch: int | None = None
-                        ) -> StreamingQuery:
-    """Unique observations per (archive reference, symbol, time) to Parquet.
+                        files_per_batch: int | None = None) -> StreamingQuery:
+    """Lands observations, whatever their dates; ``landed`` reads them without copies.
 
-    State holds one entry per key until the watermark passes it; a copy that
-    arrives within ``delay`` is dropped.
+    There is no state and no watermark: archives of old dates are landed as they come.
     """
-    unique = (landed_ticks(spark, path, files_per_batch=files_per_batch)
-              .withWatermark("observation_ts", delay)
-              .dropDuplicatesWithinWatermark(list(TICK_KEY)))
-    return (unique.writeStream.format("parquet").option("path", sink)
-            .option("checkpointLocation", checkpoint).outputMode("append")
-            .trigger(availableNow=True).start())
-
+    ticks = landed_ticks(spark, path, files_per_batch=files_per_batch)
+    return (ticks.writeStream.foreachBatch(lambda batch, i: _keep_batch(batch, i, sink, TICK_KEY))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
-def merge_minute_batch(batch: DataFrame, table: str) -> None:
-    """Merges one micro-batch into the minute table, last write per key.
 
-    Only the trading dates of the batch are read and rewritten (dynamic partition
-    overwrite), and merging the same batch again changes nothing, so a retried
-    batch is safe.
-    """
-    spark = batch.sparkSession
-    fresh = keep_latest(batch, keys=MINUTE_KEY, order=["seq"])
-    try:
-        stored = spark.read.schema(batch.schema).parquet(table)
-        touched = fresh.select("trading_date").distinct()
-        stored = stored.join(F.broadcast(touched), "trading_date", "left_semi").select(fresh.columns)
-        merged = upsert_minute_bars(stored, fresh)
-    except Exception as exc:  # the first batch finds no table yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        merged = fresh
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("trading_date").parquet(table))
+def landed(spark: SparkSession, sink: str, keys: Sequence[str] = TICK_KEY,
+           order: Sequence[str] = ("batch",)) -> DataFrame:
+    """The rows of all batches, of each key the last one."""
+    return keep_latest(spark.read.parquet(sink), keys=keys, order=list(order)).drop("batch")
 
 
 def stream_minute_upsert(source: DataFrame, *, table: str, checkpoint: str) -> StreamingQuery:
-    """Streams minute bars (with ``seq``, their arrival order) into the table."""
-    return (source.writeStream.foreachBatch(lambda batch, _id: merge_minute_batch(batch, table))
+    """Streams minute bars (with ``seq``, their arrival order) into the table.
+
+    Batches are kept side by side and merged when read, so nothing that is stored is
+    overwritten and a lost driver costs the batch under way only.
+    """
+    return (source.writeStream.foreachBatch(lambda batch, i: _keep_batch(batch, i, table, ()))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def minute_table(spark: SparkSession, table: str) -> DataFrame:
+    """The merged minute bars: per key the last write."""
+    return landed(spark, table, MINUTE_KEY, ("batch", "seq"))

@@ -90,14 +90,9 @@ def test_weights_match_a_date_loop(spark, panel, sells):
     build = pf.topn_weights if sells else pf.hold_weights
     w = build(long(spark, scores, present, "score"), threshold=.3, top_n=3).toPandas()
     want = loop_weights(scores, present, .3, 3, sells)
-    if not sells:  # a held symbol without a row that date carries no weight row
-        want = want.where(present, 0.0)
     got = w.pivot(index="date", columns="symbol", values="weight").reindex(columns=want.columns).fillna(0.0)
-    if sells:
-        assert np.allclose(got.values, want.values)
-        assert set(np.round(w.groupby("date").weight.sum(), 12)) <= {0.0, 1.0}
-    else:
-        assert ((got.values > 0) == (want.values > 0)).all()
+    assert np.allclose(got.values, want.values)
+    assert set(np.round(w.groupby("date").weight.sum(), 12)) <= {0.0, 1.0}
 
 
 def test_sparse_weights_act_as_the_full_grid(spark, panel):
@@ -292,3 +287,16 @@ def test_peer_overlay_matches_pairs(spark):
     got = {r.symbol: (r.peers, r.warning) for r in out.collect()}
     assert got["a"] == (["b", "c"], False) and got["b"] == (["a", "c"], False) and got["f"] == (["a", "b"], False)
     assert got["z"] == ([], True)
+
+
+def test_a_total_loss_stays_lost(spark):
+    rows = [("r", i, x) for i, x in enumerate([0.0, -1.0, 0.1, -1.5])] + [("s", 0, 0.5), ("s", 1, None)]
+    curve = pf.equity_curve(spark.createDataFrame(rows, "run_id string, date int, ret double"))
+    got = {(r.run_id, r.date): r.equity for r in curve.collect()}
+    assert [got["r", i] for i in range(4)] == [1.0, 0.0, 0.0, 0.0] and got["s", 1] == pytest.approx(1.5)
+
+
+def test_null_arrival_order_keeps_the_row(spark):
+    from barloom.operators.quality import keep_latest
+    rows = spark.createDataFrame([("a", None, 1), ("b", None, 2), ("b", 5, 3)], "k string, o int, v int")
+    assert {r.k: r.v for r in keep_latest(rows, keys=["k"], order=["o"]).collect()} == {"a": 1, "b": 3}
