@@ -6,6 +6,7 @@ symbol lists as arrays (bounded by the listed universe).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,15 +21,38 @@ FORWARD = "forward_opinion"
 STRICT = "strict_v1"
 
 # The frozen recipe of a strict run, policy and phrases.
+_TREES = {"n_estimators": 200, "random_state": 42, "n_jobs": -1}
 STRICT_RECIPE = {
     "strict_target_mismatch": {"market": "TW", "return_target": "open_to_open", "horizon_days": 1},
     "strict_execution_route_mismatch": {"execution_route": "research_only"},
     "strict_runtime_recipe_mismatch": {"runtime_mode": "vnext_spec_mode",
                                        "default_bundle_version": "research_spec_v1"},
+    "strict_feature_recipe_mismatch": {"features": [
+        {"name": "ma", "window": 5, "source": "close", "shift": 1},
+        {"name": "rsi", "window": 14, "source": "close", "shift": 1}]},
+    "strict_model_recipe_mismatch": {
+        "model": {"type": "extra_trees", "params": _TREES},
+        "direction_model": {
+            "type": "extra_trees", "params": _TREES, "positive_return_threshold": 0.0,
+            "confirmation_probability_threshold": 0.5,
+            "calibration_policy_version": "chronological_tail_20pct_min20_class5_v1",
+            "confirmation_policy_version": "regression_threshold_direction_probability_v1"}},
     "strict_validation_recipe_mismatch": {"validation_method": "walk_forward",
                                           "validation_splits": 3, "validation_test_size": 0.2},
-    "strict_cost_or_baseline_recipe_mismatch": {"fees": 0.002, "slippage": 0.001},
+    "strict_cost_or_baseline_recipe_mismatch": {"fees": 0.002, "slippage": 0.001,
+                                                "baselines": ["buy_and_hold"]},
+    "strict_strategy_recipe_mismatch": {"strategy": {
+        "type": "research_v1", "threshold": None, "top_n": None, "allow_proactive_sells": True}},
+    "strict_extended_recipe_mismatch": {"extended": {
+        "portfolio_aum": None, "monitor_profile_id": None, "factor_catalog_version": None,
+        "scoring_factor_ids": [], "external_signal_policy_version": None,
+        "cluster_snapshot_version": None, "peer_policy_version": None,
+        "simulation_profile_id": None, "live_control_profile_id": None,
+        "manual_confirmed": False, "adaptive_mode": "off", "adaptive_profile_id": None,
+        "reward_definition_version": None, "state_definition_version": None,
+        "rollout_control_version": None}},
 }
+SINGLE_SYMBOL = "2330"
 RANGE_DAYS = 1096
 MIN_COVERAGE = 0.95
 STRICTER, LOOSER = 1.25, 0.75
@@ -89,19 +113,26 @@ def signal_outcome(signals: DataFrame, bars: DataFrame, official: Sequence[str])
 
 
 def _differs(expected: Mapping[str, object]) -> Column:
+    """Whether a column is another value; lists and mappings are columns of JSON text,
+    where the order of keys does not count and numbers do as they are written."""
     out = F.lit(False)
     for name, value in expected.items():
-        out = out | ~F.col(name).eqNullSafe(F.lit(value))
+        if isinstance(value, (dict, list)):
+            given = F.to_json(F.try_parse_json(F.col(name)))
+            out = out | ~given.eqNullSafe(F.to_json(F.parse_json(F.lit(json.dumps(value)))))
+        else:
+            out = out | ~F.col(name).eqNullSafe(F.lit(value))
     return out
 
 
 def strict_run_issues(runs: DataFrame, *, cohorts: Sequence[str], cohort: str | Column,
-                      all_active: str, recipe: Mapping[str, Mapping[str, object]] = STRICT_RECIPE
-                      ) -> DataFrame:
+                      all_active: str, single: str | None = None,
+                      recipe: Mapping[str, Mapping[str, object]] = STRICT_RECIPE) -> DataFrame:
     """``runs`` with ``issues``: the rules a frozen run breaks.
 
     Needs status, mode, cohort_id, basis_date, signal_frozen_at, range_start,
-    range_end, symbols, universe (arrays) and the columns of the recipe.
+    range_end, symbols, universe (arrays) and the columns of the recipe. A run of the
+    cohort ``single`` has SINGLE_SYMBOL alone as its symbols and its universe.
     """
     c = F.lit(cohort) if isinstance(cohort, str) else cohort
     strict = F.coalesce((F.col("mode") == STRICT) & (F.col("cohort_id") == c), F.lit(False))
@@ -119,6 +150,10 @@ def strict_run_issues(runs: DataFrame, *, cohorts: Sequence[str], cohort: str |
               | (F.array_sort(F.array_distinct(known)) != known)
               | (F.size(F.array_except(symbols, known)) > 0))
     covered = F.size(F.array_intersect(symbols, known))
+    alone = F.array(F.lit(SINGLE_SYMBOL))
+    crowded = (F.col("cohort_id").eqNullSafe(F.lit(single)) & F.lit(single is not None)
+               & ((symbols != alone) | (known != alone)))
+    broken = shape | F.coalesce(untidy, F.lit(True))
     thin = ((F.col("cohort_id") == all_active)
             & ((F.size(known) == 0) | (F.size(symbols) == 0)
                | (F.size(F.array_except(symbols, known)) > 0)
@@ -134,7 +169,8 @@ def strict_run_issues(runs: DataFrame, *, cohorts: Sequence[str], cohort: str |
         F.when(detailed & (frozen_day != basis), "signal_frozen_at_not_on_basis_date"),
         *[F.when(detailed & ~shape & _differs(e), name) for name, e in recipe.items()],
         F.when(detailed & ~shape & ~ranged, "strict_date_range_recipe_mismatch"),
-        F.when(detailed & (shape | F.coalesce(untidy, F.lit(True))), "invalid_universe_snapshot"),
+        F.when(detailed & broken, "invalid_universe_snapshot"),
+        F.when(detailed & ~broken & crowded, "strict_2330_universe_mismatch"),
         F.when(detailed & F.coalesce(thin, F.lit(False)), "strict_execution_coverage_mismatch"),
     ]
     return runs.withColumn("issues", F.array_compact(F.array(*rules)))

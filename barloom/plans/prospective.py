@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import present
@@ -114,15 +116,26 @@ def _(spark, d):
 
 
 def strict_runs(spark, d):
-    """One run per customer with mostly the frozen recipe, varied by its key."""
+    """One run per customer with mostly the frozen recipe, varied by its key.
+
+    A sixth of them belong to the one-symbol cohort, half of these with the right symbol.
+    """
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
+    recipe = {n: v for group in pr.STRICT_RECIPE.values() for n, v in group.items()}
+    alone = F.when(k % 12 == 7, F.array(F.lit(pr.SINGLE_SYMBOL)))
+
+    def text(name, every, other):
+        return F.when(k % every == 0, other).otherwise(json.dumps(recipe[name])).alias(name)
+
     basis = F.date_add(F.lit("1996-01-01").cast("date"), (k % 700).cast("int"))
     names = F.transform(F.sequence(F.lit(10), F.lit(49)), lambda i: F.concat(F.lit("S"), i))
     asked = (F.when(k % 23 == 0, F.slice(names, 1, 30)).when(k % 29 == 0, F.reverse(names))
              .when(k % 31 == 0, F.array(F.lit("zz"))).otherwise(F.slice(names, 1, 39)))
     return c.select(
-        k.alias("run_id"), F.when(k % 2 == 0, "all").otherwise("one").alias("cohort_id"),
+        k.alias("run_id"), F.when(k % 2 == 0, "all").when(k % 6 == 1, "solo").otherwise("one").alias("cohort_id"),
+        text("features", 37, "[]"), text("model", 41, "no json"), text("direction_model", 43, '{"type": "extra_trees"}'),
+        text("strategy", 47, None), text("baselines", 53, '["buy_and_hold", "momentum"]'), text("extended", 59, "{}"),
         F.when(k % 7 == 0, "failed").otherwise("succeeded").alias("status"),
         F.when(k % 11 == 0, None).otherwise("strict_v1").alias("mode"), basis.alias("basis_date"),
         F.when(k % 13 != 0, F.to_timestamp(basis) + F.expr("INTERVAL 6 HOURS")
@@ -137,7 +150,7 @@ def strict_runs(spark, d):
         F.lit("walk_forward").alias("validation_method"), F.lit(3).alias("validation_splits"),
         F.lit(0.2).alias("validation_test_size"),
         F.when(k % 8 == 0, 0.1).otherwise(0.002).alias("fees"), F.lit(0.001).alias("slippage"),
-        asked.alias("symbols"), names.alias("universe"))
+        F.coalesce(alone, asked).alias("symbols"), F.coalesce(alone, names).alias("universe"))
 
 
 _STRICT = """SELECT k AS run_id, cohort, basis, array_to_string(list_filter([
@@ -147,18 +160,25 @@ _STRICT = """SELECT k AS run_id, cohort, basis, array_to_string(list_filter([
     CASE WHEN s AND k % 13 <> 0 AND k % 17 = 0 THEN 'signal_frozen_at_not_on_basis_date' END,
     CASE WHEN s AND k % 5 = 0 THEN 'strict_target_mismatch' END,
     CASE WHEN s AND k % 9 = 0 THEN 'strict_execution_route_mismatch' END,
-    CASE WHEN s AND k % 8 = 0 THEN 'strict_cost_or_baseline_recipe_mismatch' END,
+    CASE WHEN s AND k % 37 = 0 THEN 'strict_feature_recipe_mismatch' END,
+    CASE WHEN s AND (k % 41 = 0 OR k % 43 = 0) THEN 'strict_model_recipe_mismatch' END,
+    CASE WHEN s AND (k % 8 = 0 OR k % 53 = 0) THEN 'strict_cost_or_baseline_recipe_mismatch' END,
+    CASE WHEN s AND k % 47 = 0 THEN 'strict_strategy_recipe_mismatch' END,
+    CASE WHEN s AND k % 59 = 0 THEN 'strict_extended_recipe_mismatch' END,
     CASE WHEN s AND k % 19 = 0 THEN 'strict_date_range_recipe_mismatch' END,
-    CASE WHEN s AND k % 23 <> 0 AND (k % 29 = 0 OR k % 31 = 0) THEN 'invalid_universe_snapshot' END,
+    CASE WHEN s AND inv THEN 'invalid_universe_snapshot' END,
+    CASE WHEN s AND k % 12 = 1 AND NOT inv THEN 'strict_2330_universe_mismatch' END,
     CASE WHEN s AND k % 2 = 0 AND (k % 23 = 0 OR (k % 29 <> 0 AND k % 31 = 0)) THEN 'strict_execution_coverage_mismatch' END
   ], lambda x: x IS NOT NULL), ',') AS issues
-  FROM (SELECT c_custkey AS k, c_custkey % 11 <> 0 AS s, CASE WHEN c_custkey % 2 = 0 THEN 'all' ELSE 'one' END AS cohort,
+  FROM (SELECT c_custkey AS k, c_custkey % 11 <> 0 AS s,
+    c_custkey % 12 <> 7 AND c_custkey % 23 <> 0 AND (c_custkey % 29 = 0 OR c_custkey % 31 = 0) AS inv,
+    CASE WHEN c_custkey % 2 = 0 THEN 'all' WHEN c_custkey % 6 = 1 THEN 'solo' ELSE 'one' END AS cohort,
     DATE '1996-01-01' + CAST(c_custkey % 700 AS INTEGER) AS basis FROM customer)"""
 
 
 def strict_checked(spark, d):
-    return pr.strict_run_issues(strict_runs(spark, d), cohorts=("all", "one"), cohort=F.col("cohort_id"),
-                                all_active="all")
+    return pr.strict_run_issues(strict_runs(spark, d), cohorts=("all", "one", "solo"), cohort=F.col("cohort_id"),
+                                all_active="all", single="solo")
 
 
 @query("strict_run_issues", sql("", "SELECT run_id, issues FROM si", si=_STRICT))
