@@ -15,7 +15,7 @@ def panel(symbols: DataFrame, calendar: DataFrame) -> DataFrame:
     """
     packed = calendar.groupBy("market").agg(
         F.sort_array(F.collect_list(F.struct("idx", "date"))).alias("_days"))
-    return (symbols.join(F.broadcast(packed), "market")
+    return (symbols.join(packed, "market")
             .select(*symbols.columns, F.explode("_days").alias("_d"))
             .select(*symbols.columns, F.col("_d.date").alias("date"),
                     F.col("_d.idx").alias("idx")))

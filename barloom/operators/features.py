@@ -11,7 +11,7 @@ All features of one call share a single shuffle and sort on the series key.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -73,30 +73,40 @@ def feature_lookback(features: Iterable[Feature]) -> int:
 
 
 def _ema_columns(df: DataFrame, specs: Sequence[Feature], series: Sequence[str],
-                 first: Column) -> DataFrame:
-    """Recursive EMA as running sums: within a block of rows the recursion is a
-    sum of x * q**-j rescaled by q**j; one block earlier is all that still has
-    weight, since q**block underflows against it."""
+                 first: Mapping[str, Column]) -> DataFrame:
+    """Recursive EMA as running sums of weighted observations.
+
+    The first observation is the seed. After g rows the older mean weighs q**g against
+    1 - q of the new observation, so rows without one only age it. The product of the
+    older means' shares is kept as a running logarithm; sums restart in blocks of 550
+    of it, and one block earlier is all that still has weight.
+    """
+    order = Window.partitionBy(*series).orderBy("date")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     for f in specs:
-        q, block = _decay(f.window), _ema_block(f.window)
+        q = _decay(f.window)
         x = F.col(f.source).cast("double")
         if q <= 0:
-            df = df.withColumn(f"_{f.column}", x)
+            df = df.withColumn(f"_{f.column}", F.last(x, ignorenulls=True).over(upto))
             continue
-        j = F.col("_i") % block
-        term = F.when(first, x).otherwise(x * (1.0 - q)) * F.pow(F.lit(q), -j)
+        aged = F.pow(F.lit(q), F.col("_i") - F.col("_o"))
+        share = F.when(F.col("_o").isNotNull(), aged / (aged + (1.0 - q)))
+        term = F.when(first[f.source], x).when(F.col("_o").isNull(), x * (1.0 - q)).otherwise(
+            x * (1.0 - q) / (aged + (1.0 - q)))
         in_block = Window.partitionBy(*series, "_b").orderBy("date").rowsBetween(
             Window.unboundedPreceding, 0)
-        before = Window.partitionBy(*series).orderBy("date").rowsBetween(
-            Window.unboundedPreceding, -1)
-        df = (df.withColumn("_b", F.floor(F.col("_i") / block))
-              .withColumn("_e", F.sum(term).over(in_block) * F.pow(F.lit(q), j))
-              .withColumn("_p", F.last(F.when(j == block - 1, F.col("_e")),
+        df = (df.withColumn("_o", F.last(F.when(x.isNotNull(), F.col("_i")), ignorenulls=True).over(before))
+              .withColumn("_l", F.coalesce(F.sum(F.when(x.isNotNull(), F.ln(share))).over(upto), F.lit(0.0)))
+              .withColumn("_b", F.floor(F.col("_l") / -550.0)))
+        inside = F.col("_l") + F.col("_b") * 550.0
+        df = (df.withColumn("_e", F.sum(term * F.exp(-inside)).over(in_block) * F.exp(inside))
+              .withColumn("_n", F.lead("_b").over(order))
+              .withColumn("_p", F.last(F.when(F.col("_n") != F.col("_b"), F.struct("_e", "_l")),
                                        ignorenulls=True).over(before))
-              .withColumn(f"_{f.column}",
-                          F.col("_e") + F.coalesce(F.col("_p") * F.pow(F.lit(q), j + 1),
-                                                   F.lit(0.0)))
-              .drop("_b", "_e", "_p"))
+              .withColumn(f"_{f.column}", F.coalesce(F.col("_e"), F.when(F.col("_p").isNotNull(), F.lit(0.0)))
+                          + F.coalesce(F.col("_p._e") * F.exp(F.col("_l") - F.col("_p._l")), F.lit(0.0)))
+              .drop("_o", "_l", "_b", "_e", "_n", "_p"))
     return df
 
 
@@ -114,7 +124,11 @@ def feature_set(bars: DataFrame, features: Sequence[Feature], *,
     kept = [c for c in dict.fromkeys([*keep, *sources]) if c not in keys and c != "date"]
     df = bars.select(*keys, "date", *kept)
     series, own = keys, None
+    seeds = {}
     if chunk_rows:
+        for n, s in enumerate(sorted({f.source for f in specs if f.name == "ema"})):
+            start = df.where(F.col(s).isNotNull()).groupBy(*keys).agg(F.min("date").alias(f"_s{n}"))
+            df, seeds[s] = df.join(start, keys, "left"), F.col("date") == F.col(f"_s{n}")
         context = feature_lookback(specs)
         df = positions(df, keys=keys, order=["date"], slice_by=F.trunc("date", "month"),
                        name="_pos")
@@ -138,7 +152,7 @@ def feature_set(bars: DataFrame, features: Sequence[Feature], *,
     if steps:
         df = df.select("*", *steps)
     if emas:
-        first = (F.col("_pos") == 0) if chunk_rows else (F.col("_i") == 0)
+        first = seeds if chunk_rows else {f.source: F.col("_o").isNull() for f in emas}
         df = _ema_columns(df, emas, series, first)
 
     def value(f: Feature) -> Column:
@@ -147,7 +161,7 @@ def feature_set(bars: DataFrame, features: Sequence[Feature], *,
         if f.name == "ma":
             return F.when(full, F.avg(x).over(tail(w)))
         if f.name == "ema":
-            seen = F.count(x).over(tail(w)) == w
+            seen = F.count(x).over(order.rowsBetween(Window.unboundedPreceding, 0)) >= w
             return F.when(seen, F.col(f"_{f.column}"))
         if f.name == "roc":
             return change(x, F.lag(x, w).over(order))

@@ -138,7 +138,7 @@ def cluster_snapshot(frame: DataFrame, columns: Sequence[str], *, clusters: int)
     stats = frame.groupBy("market", "date").agg(
         *[F.avg(c).alias(f"_m_{c}") for c in columns],
         *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-    z = frame.join(F.broadcast(stats), ["market", "date"]).select(
+    z = frame.join(stats, ["market", "date"]).select(
         "market", "date", "symbol", *[
             F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"),
                                     F.when(F.col(f"_s_{c}") != 0, F.col(f"_s_{c}"))), F.lit(0.0))

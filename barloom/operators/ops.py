@@ -64,7 +64,7 @@ def kpi_ingest_success(watchlists: DataFrame, runs: DataFrame, attempts: DataFra
     watchlist_id, date); ``attempts``: (run_id, attempt_number, status).
     """
     days = latest_days(calendar, KPI_TRADING_DAYS)
-    slots = watchlists.join(F.broadcast(days), "market").select(
+    slots = watchlists.join(days, "market").select(
         "market", "watchlist_id", "created_date", F.explode("days").alias("date")).where(
         F.col("created_date") <= F.col("date"))
     won = F.col("status") == "succeeded"
@@ -92,15 +92,15 @@ def kpi_symbol_completeness(watchlists: DataFrame, calendar: DataFrame, lifecycl
     month = calendar.where(F.col("date") <= ref).groupBy("market").agg(F.max("date").alias("_last"))
     month = month.select("market", F.col("_last").alias("month_end"),
                          F.trunc("_last", "month").alias("month_start"))
-    names = watchlists.select("market", "symbol").distinct().join(F.broadcast(month), "market")
+    names = watchlists.select("market", "symbol").distinct().join(month, "market")
     window = active_window_in_month(names, lifecycle)
     window = window.where("active_start IS NOT NULL").join(
         names.select("market", "symbol", "month_start", "month_end"), "symbol")
-    days = (calendar.join(F.broadcast(month), "market")
+    days = (calendar.join(month, "market")
             .where((F.col("date") >= F.col("month_start"))
                    & (F.col("date") <= F.last_day("month_start")))
             .groupBy("market").agg(F.collect_list("date").alias("_days")))
-    expected = window.join(F.broadcast(days), "market").withColumn("_want", F.size(F.filter(
+    expected = window.join(days, "market").withColumn("_want", F.size(F.filter(
         "_days", lambda x: x.between(F.col("active_start"), F.col("active_end")))))
     have = bars.select("market", "symbol", "date").join(
         expected.select("market", "symbol", "active_start", "active_end"), ["market", "symbol"])
@@ -126,7 +126,7 @@ def completed_day_delta(rows: DataFrame, calendar: DataFrame, *, day: str, name:
     cols = rows.columns
     found = asof_last(rows, calendar.select("market", F.col("date").alias("_d"), F.col("idx").alias("_idx")),
                       keys=["market"], left_at=day, right_at="_d", values=["_idx"])
-    return found.join(F.broadcast(sizes), "market", "left").select(*cols, F.when(
+    return found.join(sizes, "market", "left").select(*cols, F.when(
         F.col(day).isNotNull(),
         F.coalesce("_n", F.lit(0)) - F.coalesce(F.col("_idx") + 1, F.lit(0))).alias(name))
 
@@ -317,7 +317,7 @@ def tick_window_join(runs: DataFrame, objects: DataFrame, restores: DataFrame, *
     """
     good = runs.where((F.col("market") == market) & (F.col("status") == status))
     dates = good.select("trading_date").distinct().orderBy(F.col("trading_date").desc()).limit(window)
-    kept = good.join(F.broadcast(dates), "trading_date", "left_semi").select(
+    kept = good.join(dates, "trading_date", "left_semi").select(
         "run_id", "trading_date", F.col("completed_at").alias("run_completed_at"),
         F.col("created_at").alias("run_created_at"))
     objs = objects.join(kept, "run_id")
@@ -518,7 +518,7 @@ def order_control_ratios(orders: DataFrame, events: DataFrame, checks: DataFrame
     keys = list(keys)
     last = _latest_rows(orders.where(F.col("route") == route), window, keys, "order_id")
     last = last.select("order_id", *keys, "status", "manual_confirmation")
-    mine = F.broadcast(last.select("order_id"))
+    mine = last.select("order_id")
 
     def saw(kind: str) -> Column:
         return F.max(F.col("event_type") == kind)

@@ -198,7 +198,7 @@ def dedupe_company_profiles(profiles: DataFrame, *, arrival: str, slice_rows: in
                             ) -> tuple[DataFrame, DataFrame]:
     """(kept profiles, report): most complete per (exchange, symbol).
 
-    Ties go to the greater canonical JSON. Conflicts and overwrites compare each
+    Ties go to the greater canonical JSON, characters beyond ASCII escaped. Conflicts and overwrites compare each
     copy with the best one that arrived before it: a running maximum per slice
     of arrivals, plus the maximum of earlier slices.
     """
@@ -207,8 +207,8 @@ def dedupe_company_profiles(profiles: DataFrame, *, arrival: str, slice_rows: in
     score = sum((F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", 1).otherwise(0)
                  for c in COMPLETENESS_FIELDS), F.lit(0))
     ranked = profiles.withColumn("_k", F.struct(
-        score.alias("score"), F.to_json(F.struct(*sorted(payload)),
-                                        {"ignoreNullFields": "false"}).alias("json")))
+        score.alias("score"), F.to_json(F.struct(*sorted(payload)), {
+            "ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}).alias("json")))
     kept = keep_latest(ranked, keys=keys, order=["_k"]).drop("_k", arrival)
     s = ranked.select(*keys, arrival, "_k", F.floor(F.col(arrival) / slice_rows).alias("_s"))
     best = s.groupBy(*keys, "_s").agg(F.max("_k").alias("_m"))

@@ -81,5 +81,5 @@ def _(spark, d):
 def _(spark, d):
     rows = cluster_rows(spark, d)
     last = rows.agg(F.max("date").alias("date"))
-    one = rows.join(F.broadcast(last), "date", "left_semi")
+    one = rows.join(last, "date", "left_semi")
     return present(ml.cluster_snapshot(one, ["close", "volume", "event_count_30d"], clusters=3))

@@ -300,3 +300,26 @@ def test_null_arrival_order_keeps_the_row(spark):
     from barloom.operators.quality import keep_latest
     rows = spark.createDataFrame([("a", None, 1), ("b", None, 2), ("b", 5, 3)], "k string, o int, v int")
     assert {r.k: r.v for r in keep_latest(rows, keys=["k"], order=["o"]).collect()} == {"a": 1, "b": 3}
+
+
+def test_ema_seeds_at_the_first_value_and_ages_over_gaps(spark):
+    import pandas as pd
+    from barloom.operators import features as ft
+    x = [None, 2.0, 3.0, 4.0, None, None, 5.0, 6.0] + [float(i % 7) if i % 5 else None for i in range(900)]
+    dates = pd.date_range("2000-01-01", periods=len(x))
+    rows = [("a", d.date(), v) for d, v in zip(dates, x)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double")
+    want = pd.Series(x, dtype=float).ewm(span=3, adjust=False, min_periods=3).mean()
+    got = ft.feature_ema(bars, window=3).toPandas().sort_values("date")
+    got = got[[c for c in got.columns if c not in ("symbol", "date", "close")][-1]].astype(float)
+    assert np.allclose(got.values, want.values, equal_nan=True)
+
+
+def test_profile_ties_compare_escaped_text(spark):
+    from barloom.operators.quality import COMPLETENESS_FIELDS, dedupe_company_profiles
+    names = ["z", "\u00e9", "\u53f0"]
+    rows = [tuple([n if c == "company_name" else "x" for c in COMPLETENESS_FIELDS] + ["E", "1", i]) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in COMPLETENESS_FIELDS) + ", exchange string, symbol string, seq int")
+    kept, _ = dedupe_company_profiles(df, arrival="seq")
+    want = max(names, key=lambda n: n.encode("ascii", "backslashreplace"))
+    assert kept.first().company_name == want
