@@ -241,12 +241,17 @@ def identity_asof(asks: DataFrame, intervals: DataFrame) -> DataFrame:
                      values=IDENTITY)
 
 
-def blocking_intervals(events: DataFrame, lifecycle: DataFrame) -> DataFrame:
+def blocking_intervals(events: DataFrame, lifecycle: DataFrame, end: str | Column | None = None
+                       ) -> DataFrame:
     """(symbol, b_from, b_to): as-of dates on which an event blocks its symbol.
 
+    Events published after ``end`` (a date, or a date column of the events) are not known.
     The first confirming lifecycle date at or after each event comes from a
     reverse running minimum over the union of both, not from a range join.
     """
+    if end is not None:
+        until = F.lit(end).cast("date") if isinstance(end, str) else end
+        events = events.where(F.to_date("publication_ts") <= until)
     day = F.coalesce(F.col("effective_date"), F.to_date("publication_ts"))
     ev = events.select("symbol", day.alias("at"), F.col("event_type").alias("ev"))
     tc = lifecycle.where("event_type = 'ticker_change'").groupBy("symbol", "effective_date").agg(
@@ -280,12 +285,13 @@ def blocking_intervals(events: DataFrame, lifecycle: DataFrame) -> DataFrame:
     return direct.unionByName(blank)
 
 
-def event_clear(identities: DataFrame, events: DataFrame, lifecycle: DataFrame) -> DataFrame:
+def event_clear(identities: DataFrame, events: DataFrame, lifecycle: DataFrame,
+                end: str | Column | None = None) -> DataFrame:
     """``identities`` (symbol, date, symbol_path, unresolved, ...) with ``clear``.
 
-    Every symbol on the identity path must be free of blocking events.
+    ``end`` is the last publication date that counts, as of a run's end. Every symbol on the identity path must be free of blocking events.
     """
-    opened = interval_counts(blocking_intervals(events, lifecycle), keys=["symbol"],
+    opened = interval_counts(blocking_intervals(events, lifecycle, end), keys=["symbol"],
                              start="b_from", end="b_to").withColumnRenamed("symbol", "_s")
     path = identities.select("symbol", "date", F.explode(F.array_distinct("symbol_path"))
                              .alias("_s")).distinct()

@@ -263,9 +263,13 @@ _CLEAR = {
 }
 
 
-@query("event_clear", ident_sql("SELECT symbol, CAST(date AS VARCHAR) AS date, clear FROM clr", **_CLEAR))
+EVENTS_END = "1995-06-30"
+
+
+@query("event_clear", ident_sql("SELECT symbol, CAST(date AS VARCHAR) AS date, clear FROM clr", **(_CLEAR | {
+    "ev": f"{_CLEAR['ev']} WHERE CAST(publication_ts AS DATE) <= DATE '{EVENTS_END}'"})))
 def _(spark, d):
-    out = un.event_clear(type_identities(spark, d), type_events(spark, d), type_life(spark, d))
+    out = un.event_clear(type_identities(spark, d), type_events(spark, d), type_life(spark, d), EVENTS_END)
     return present(out.select("symbol", "date", "clear"))
 
 

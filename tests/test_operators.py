@@ -323,3 +323,13 @@ def test_profile_ties_compare_escaped_text(spark):
     kept, _ = dedupe_company_profiles(df, arrival="seq")
     want = max(names, key=lambda n: n.encode("ascii", "backslashreplace"))
     assert kept.first().company_name == want
+
+
+def test_events_published_after_the_end_do_not_block(spark):
+    from barloom.operators import universe as un
+    events = spark.sql("SELECT 'A' symbol, 'merger' event_type, timestamp'2024-06-01' publication_ts, date'2024-01-01' effective_date")
+    life = spark.sql("SELECT 1 id, 'B' symbol, 'listing' event_type, date'2020-01-01' effective_date, cast(null as string) reference_symbol")
+    asks = spark.sql("SELECT 'A' symbol, date'2024-02-01' date, array('A') symbol_path, false unresolved")
+    assert un.event_clear(asks, events, life, "2024-03-01").first().clear
+    assert not un.event_clear(asks, events, life, "2024-06-01").first().clear
+    assert not un.event_clear(asks, events, life).first().clear
