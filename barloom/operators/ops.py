@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.asof import asof_last
 from barloom.functions.columns import count_true, hours_between, ratio
-from barloom.functions.prefix import exact_percentiles
 from barloom.operators.quality import MAX_ATTEMPTS
 from barloom.operators.universe import active_window_in_month
 
@@ -108,7 +107,7 @@ def kpi_symbol_completeness(watchlists: DataFrame, calendar: DataFrame, lifecycl
         "market", "symbol").agg(F.countDistinct("date").alias("_have"))
     j = expected.where("_want > 0").join(have, ["market", "symbol"], "left").select(
         "market", "symbol", ratio(F.coalesce("_have", F.lit(0)), F.col("_want")).alias("share"))
-    pct = exact_percentiles(j, keys=["market"], value="share", quantiles={"p50": 0.5, "p05": 0.05})
+    pct = _percentiles(j, keys=["market"], value="share", quantiles={"p50": 0.5, "p05": 0.05})
     g = j.groupBy("market").agg(count_true(F.col("share") >= SYMBOL_PASS).alias("passing"))
     out = g.join(pct, "market").withColumn("passing_ratio", ratio("passing", "n"))
     return out.select(
@@ -117,16 +116,26 @@ def kpi_symbol_completeness(watchlists: DataFrame, calendar: DataFrame, lifecycl
         _pass(F.col("passing_ratio") >= SYMBOL_PASS).alias("status"))
 
 
+def _percentiles(rows: DataFrame, *, keys: Sequence[str], value: str,
+                 quantiles: Mapping[str, float]) -> DataFrame:
+    """(keys, n, one column per quantile) of values that are few per key: one per symbol,
+    replay or day, so an aggregation buffer can hold them."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.percentile(value, p).alias(q) for q, p in quantiles.items()])
+
+
 def completed_day_delta(rows: DataFrame, calendar: DataFrame, *, day: str, name: str) -> DataFrame:
     """Adds the number of market dates after ``day`` (NULL day gives NULL).
 
-    Adds by an as-of lookup of the calendar position; ``calendar`` has idx.
+    The rows' distinct days, few however many rows share one, look up their calendar
+    position; rows take it by an equi join. ``calendar`` has idx.
     """
     sizes = calendar.groupBy("market").agg(F.count(F.lit(1)).alias("_n"))
     cols = rows.columns
-    found = asof_last(rows, calendar.select("market", F.col("date").alias("_d"), F.col("idx").alias("_idx")),
+    days = rows.where(F.col(day).isNotNull()).select("market", day).distinct()
+    found = asof_last(days, calendar.select("market", F.col("date").alias("_d"), F.col("idx").alias("_idx")),
                       keys=["market"], left_at=day, right_at="_d", values=["_idx"])
-    return found.join(sizes, "market", "left").select(*cols, F.when(
+    return rows.join(found, ["market", day], "left").join(sizes, "market", "left").select(*cols, F.when(
         F.col(day).isNotNull(),
         F.coalesce("_n", F.lit(0)) - F.coalesce(F.col("_idx") + 1, F.lit(0))).alias(name))
 
@@ -152,7 +161,7 @@ def kpi_replay_latency(replays: DataFrame, drills: DataFrame, *, reference) -> D
                         & (F.to_date("created_at") >= floor)).select(
             "market", hours_between("completed_at", "started_at").alias("hours"))
 
-    p = exact_percentiles(hours(replays).unionByName(hours(drills)), keys=["market"],
+    p = _percentiles(hours(replays).unionByName(hours(drills)), keys=["market"],
                           value="hours", quantiles={"value": 0.95})
     return p.select("market", F.col("n").alias("samples"), "value",
                     _pass(F.col("value") < REPLAY_HOURS).alias("status"))
@@ -372,7 +381,7 @@ def tick_kpis(objects: DataFrame, windows: DataFrame) -> DataFrame:
     values = windows.select(F.inline(F.array(
         F.struct(F.lit("restore_minutes_p95").alias("kpi"), (F.col("elapsed_seconds") / 60.0).alias("v")),
         F.struct(F.lit("throughput_p50").alias("kpi"), F.col("gb_per_minute").alias("v")))))
-    pct = exact_percentiles(values, keys=["kpi"], value="v", quantiles={"p50": 0.5, "p95": 0.95})
+    pct = _percentiles(values, keys=["kpi"], value="v", quantiles={"p50": 0.5, "p95": 0.95})
     slow = F.col("kpi") == "restore_minutes_p95"
     value = F.when(slow, F.col("p95")).otherwise(F.col("p50"))
     return compression.unionByName(pct.select(
