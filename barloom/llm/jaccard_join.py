@@ -19,6 +19,7 @@ first member, and what is still apart from the family meets it block by block in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,12 +31,12 @@ from barloom.llm.stored import stored
 
 WIDTH = 5
 SIMILAR = 75
-HEAVY_SHARE = 1e-3
 MOST_HEAVY = 1 << 20
 LOCAL_BYTES = 16 << 20
 LOCAL_COUNT = 2
 LIST = 64
 BLOCK = 512
+BAND = math.log(100 / SIMILAR) * 1.000001
 _BITS = np.uint64(52)
 _LOW = np.uint64((1 << 52) - 1)
 _HEAVY = np.uint64(1 << 52)
@@ -110,11 +111,11 @@ def _total_counts(least: float):
 def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles to order last, ascending, and their places among themselves, rarer first.
 
-    They are those of an estimated HEAVY_SHARE of all documents; the MOST_HEAVY commonest
-    of them at most, a bound on what is broadcast and no change to the result.
+    They are those whose lists would be long, by an estimate from counts within tasks; the
+    MOST_HEAVY commonest at most, a bound on what is broadcast and no change to the result.
     """
     buckets = bf.bucket_count(docs.sparkSession, 1)
-    least = max(HEAVY_SHARE * docs.count(), 2 * LOCAL_COUNT)
+    least = max(LIST // 2, 2 * LOCAL_COUNT)
     rows = (docs.mapInArrow(_local_counts(buckets), "bucket int, block binary").groupBy("bucket")
             .applyInArrow(_total_counts(least), "key long, n long").orderBy(F.desc("n"), "key").limit(MOST_HEAVY).toArrow())
     if not rows.num_rows:
@@ -410,25 +411,28 @@ def _families(links: _Links, family: DataFrame) -> DataFrame:
     Sets outside a family's main component meet all sets of the family, BLOCK by BLOCK,
     inside a task; only pairs whose sketches allow a link come out.
     """
+    band = F.floor(F.ln("n") / BAND).cast("int")
     members = links.root(family, "id", "root")
-    size = members.groupBy("family", "root").agg(F.count("*").alias("k")).groupBy("family").agg(
-        F.sum("k").alias("size"), F.max_by("root", "k").alias("main"))
-    members = stored(members.join(size.where("size > 1"), "family").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-                     .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("apart", F.col("root") != F.col("main"))
-                     .join(links.sets.select("id", "n", "sketch"), "id")
-                     .select("family", "block", "blocks", "apart", "id", "root", "n", "sketch"), "families")
-    packed = "family long, block int, blocks int, packed binary"
-    every = members.groupBy("family", "block").applyInArrow(_pack_members, packed)
-    some = members.where("apart").groupBy("family", "block").applyInArrow(_pack_members, packed)
-    some = some.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("packed").alias("few"))
-    return stored(every.join(some, ["family", "block"]).select("few", "packed").mapInArrow(_blocks_alike, "a long, b long").distinct(), "pairs")
+    main = members.groupBy("family", "root").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("root", "k").alias("main"))
+    members = stored(members.join(main, "family").join(links.sets.select("id", "n", "sketch"), "id")
+                     .select("family", band.alias("band"), (F.col("root") != F.col("main")).alias("apart"), "id", "root", "n", "sketch"), "families")
+    sizes = members.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    packed, group = "family long, band int, block int, packed binary", ["family", "band", "block"]
+    every = placed.groupBy(group).applyInArrow(_pack_members, packed)
+    some = placed.where("apart").groupBy(group).applyInArrow(_pack_members, packed)
+    # sets that may link are of one band of sizes or of neighbouring ones
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    some = (some.select("family", near, F.col("packed").alias("few")).join(sizes, ["family", "band"])
+            .select("family", "band", "few", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
+    return stored(every.join(some, group).select("few", "packed").mapInArrow(_blocks_alike, "a long, b long").distinct(), "pairs")
 
 
 def _pack_members(table: pa.Table) -> pa.Table:
     sketch = table["sketch"].combine_chunks()
     sizes = np.diff(np.frombuffer(sketch.buffers()[1], np.int32, count=len(sketch) + 1, offset=4 * sketch.offset)).astype(np.int32)
     value = bf.pack(*[table[c].to_numpy() for c in ("id", "root", "n")], sizes, np.frombuffer(b"".join(sketch.to_pylist()), np.uint8))
-    return pa.table({"family": table["family"][:1], "block": table["block"][:1], "blocks": table["blocks"][:1], "packed": pa.array([value], pa.binary())})
+    return pa.table({**{c: table[c][:1] for c in ("family", "band", "block")}, "packed": pa.array([value], pa.binary())})
 
 
 def _sketch_classes(value: bytes) -> list[tuple[np.ndarray, ...]]:
@@ -470,3 +474,18 @@ def _blocks_alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _alike(a: str, b: str) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(SIMILAR) * F.greatest(a, b)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1),
+    lambda i: array_to_string(w[i:i + 4], ' '))) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+link AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT y, root FROM r JOIN link ON x = id WHERE root < y)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(root)::BIGINT AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.id = w.doc_id GROUP BY ALL
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,17 +20,21 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def sql_of(module: str) -> str:
+    return importlib.import_module(f"barloom.llm.{module}").SQL
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-@query("op9_suffix_dedup")
+@query("op9_suffix_dedup", sql_of("suffix_dedup"))
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.suffix_dedup import remove_repeats
     return remove_repeats(read(spark, sf_dir, "documents"))
 
 
-@query("op6_jaccard_join")
+@query("op6_jaccard_join", sql_of("jaccard_join"))
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.jaccard_join import near_duplicates
     return near_duplicates(read(spark, sf_dir, "documents"))
@@ -47,12 +52,7 @@ def quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-def _mixing_sql() -> str:
-    from barloom.llm.mixing import SQL
-    return SQL
-
-
-@query("op4_sainte_lague_mix", _mixing_sql())
+@query("op4_sainte_lague_mix", sql_of("mixing"))
 def sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.mixing import mix
     return mix(read(spark, sf_dir, "documents"))

@@ -314,3 +314,20 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bf.whole_text()).join(spans, "doc_id", "left")
     kept = ", kept string" if keep_text else ""
     return joined.mapInArrow(_cut_out(keep_text), f"doc_id long, {RESULT}{kept}")
+
+
+SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+win AS (SELECT doc_id, unnest(range(0, len(hx) // 2 - 99)) AS i,
+  unnest(list_transform(range(0, len(hx) // 2 - 99), lambda k: md5_number(substr(hx, 2 * k + 1, 200)))) AS h FROM t),
+dup AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS rn FROM win) WHERE rn > 1),
+isl AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (
+  SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM dup)),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM isl GROUP BY doc_id, island),
+gap AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM run),
+cut AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS runs, max(b) AS last,
+          string_agg(substr(hx, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM gap JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(hx) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN hx ELSE head || substr(hx, 2 * last + 1) END)) AS kept_sha256
+FROM t LEFT JOIN cut USING (doc_id)
+"""
