@@ -324,6 +324,11 @@ class _Links:
         y = self.sets.select(F.col("id").alias("b"), F.col("n").alias("ny"), F.col(column).alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "x", "y")
 
+    def keep_only(self, ids: DataFrame) -> None:
+        """Leaves the sets that later comparisons may ask for; most candidates are gone by now."""
+        ids = ids.toDF("id").distinct().hint("merge")
+        self.sets = stored(self.sets.join(ids, "id", "left_semi"), "shingle-sets")
+
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs that may link by their sketches; written, as several steps read them."""
         return stored(self.beside(pairs.select("a", "b").distinct(), "sketch").mapInArrow(_differ_little, "a long, b long"), "pairs")
@@ -374,7 +379,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pairs, lists = stored(pairs.distinct(), "candidates"), stored(lists, "lists")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(lists.select("id")).distinct()
-    links = _Links(stored(keyed.join(wanted, "doc_id").mapInArrow(_sets, "id long, n long, sketch binary, shingles binary"), "shingle-sets"))
+    # a sort-merge join at every size: the ids grow with the texts
+    links = _Links(stored(keyed.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets, "id long, n long, sketch binary, shingles binary"), "shingle-sets"))
     _walk(links, pairs, lists)
 
     classes = facts.join(sets.drop("g"), ["n", "c", "d"], "left").select("doc_id", "n", "id")
@@ -397,6 +403,7 @@ def _walk(links: _Links, pairs: DataFrame, lists: DataFrame) -> None:
     led = stored(lists.join(leader, "list").where("id <> a").select("list", "a", "na", "id", "n"), "led")
     one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     star = links.possible(led.where(_alike("n", "na")).select("a", F.col("id").alias("b")))
+    links.keep_only(pairs.select("a").union(pairs.select("b")).union(led.select("a")).union(led.select("id")))
     links.compare(stored(one.union(star).distinct(), "round"))
     rest = pairs
     if not led.isEmpty():

@@ -292,5 +292,5 @@ def sanitised(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     found = find(rows.select("doc_id", "text").withColumn("doc_id", key)).where("size(base) + size(terms) > 0")
     spans = found.groupBy(F.col("doc_id").alias("__llm_key")).agg(F.max(F.concat("base", "terms")).alias("__llm_spans"))
-    joined = docs.withColumn("__llm_key", key).join(spans, "__llm_key", "left").drop("__llm_key")
+    joined = docs.withColumn("__llm_key", key).join(spans.hint("merge"), "__llm_key", "left").drop("__llm_key")
     return joined.mapInArrow(_replace, docs.schema)
