@@ -10,7 +10,7 @@ from barloom.operators.diagnostics import direction_label
 from barloom.operators.features import forward_return_label, training_frame
 from barloom.plans.catalog import query
 from barloom.plans.factors import cluster_rows
-from barloom.plans.features import feature_frame
+from barloom.plans.features import _TRAIN, feature_frame
 from barloom.plans.inputs import run_requests, sql, universe_of
 
 FEATURES = ["ma_5", "ma_20_open", "roc_10", "zscore_20", "volatility_10_high"]
@@ -33,6 +33,19 @@ def _(spark, d):
     return present(scored.select("symbol", "date", "target", "predicted"))
 
 
+@query("fit_scores_trees_checks", sql("bars", """SELECT symbol, CAST(date AS VARCHAR) AS date, round(target, 6) AS target,
+    true AS within_training_range FROM (SELECT *, CAST(floor(n * (1 - 0.2e0)) AS BIGINT) AS s FROM (
+      SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM tf))
+    WHERE s - 1 > 0 AND s < n AND i >= s""", **_TRAIN))
+def _(spark, d):
+    # a forest's prediction is a mean of training targets
+    frame = _held_out(spark, d)
+    scored, _model = ml.fit_scores_trees(frame, FEATURES, trees=QUERY_TREES, position="position")
+    train = frame.where("role = 'train'").agg(F.min("target").alias("lo"), F.max("target").alias("hi")).first()
+    return present(scored.select("symbol", "date", "target", F.coalesce(
+        F.col("predicted").between(train.lo - 1e-12, train.hi + 1e-12), F.lit(False)).alias("within_training_range")))
+
+
 @query("fit_scores_trees_boosted")
 def _(spark, d):
     scored, _model = ml.fit_scores_trees(_held_out(spark, d), FEATURES, family="boosted", trees=5,
@@ -47,6 +60,15 @@ def _(spark, d):
     return present(ml.feature_importance(fitted, [*FEATURES, "position"], spark))
 
 
+@query("feature_importance_checks", """SELECT CAST(6 AS BIGINT) AS features, 1e0 AS total, true AS ordered
+  FROM (SELECT count(*) FROM part)""")
+def _(spark, d):
+    _scored, model = ml.fit_scores_trees(_held_out(spark, d), FEATURES, trees=QUERY_TREES, position="position")
+    out = ml.feature_importance([model], [*FEATURES, "position"], spark)
+    return out.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+                   F.min((F.col("importance") >= 0) & (F.col("importance") <= 1)).alias("ordered"))
+
+
 @query("fit_direction_calibrated")
 def _(spark, d):
     frame = direction_label(_held_out(spark, d))
