@@ -22,6 +22,7 @@ from barloom.llm.stored import stored
 FEATURES = ("words", "word_bytes", "word_bytes_spread", "capitals", "symbols", "marks", "bare_words", "repeats",
             "distinct", "digits", "stops", "line_words", "repeated_lines", "top_word")
 THRESHOLD = 0.7
+CHUNK_BYTES = 1 << 20
 TO_POOLED = 0.1
 TO_DIAGONAL = 0.02
 FLOOR = 1e-2
@@ -82,7 +83,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, off in bf.text_chunks(batches):
+    for rows, data, off in bf.text_chunks(batches, limit=CHUNK_BYTES):
         x = features(data, off).reshape(-1)
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(
             pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * len(FEATURES)), pa.array(x))], ["doc_id", "x"])
@@ -182,13 +183,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _decide(model: Discriminant):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in bf.text_chunks(batches, "__llm_text"):
-            keep = model.scores(features(data, off)) >= THRESHOLD
-            yield rows.filter(pa.array(keep)).drop_columns(["__llm_text"])
+        # a null text has no bytes in a batch; small chunks, as whole rows are held beside them
+        for rows, data, off in bf.text_chunks(batches, limit=CHUNK_BYTES):
+            yield rows.filter(pa.array(model.scores(features(data, off)) >= THRESHOLD))
     return run
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text scores THRESHOLD or more, all columns."""
     model = fit(measured(docs), labels)
-    return docs.withColumn("__llm_text", bf.whole_text()).mapInArrow(_decide(model), docs.schema)
+    return docs.mapInArrow(_decide(model), docs.schema)
