@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 19
 CHUNK_ROWS = 4096
 SPACES = b" \t\n\x0b\x0c\r"
 

@@ -36,6 +36,7 @@ END = 255
 ORDERS = (1, 2, 3, 4, 5)
 SLOT_BITS = (16, 19, 20, 21, 21)
 LOCAL_BYTES = 12 << 20
+SCORE_BYTES = 4 << 20
 COMMON = 1e-6
 ROUNDS = 3
 RATE = 0.02
@@ -361,7 +362,8 @@ def _score(tables, weights: np.ndarray, refining: np.ndarray, common, buckets: i
         m, (top, counts) = Model(tables.value, weights, refining), common.value
         logs = np.log10(counts + 0.1)
         table_bits = 22
-        for rows, data, off in bf.text_chunks(batches):
+        # large chunks, as each distinct string of one is coded once
+        for rows, data, off in bf.text_chunks(batches, limit=SCORE_BYTES):
             ids = bf.longs(rows, "doc_id")
             gram, at = grams(data, off)
             distinct = counted(gram)[0]

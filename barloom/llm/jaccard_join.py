@@ -32,7 +32,7 @@ from barloom.llm.stored import stored
 WIDTH = 5
 SIMILAR = 75
 MOST_HEAVY = 1 << 20
-LOCAL_BYTES = 16 << 20
+LOCAL_BYTES = 8 << 20
 LOCAL_COUNT = 2
 LIST = 64
 BLOCK = 512
