@@ -7,7 +7,9 @@ stand. Running Karp-Rabin matching marks the longest unmarked match again and ag
 Only words inside shared runs of LEAST words can be in a tile. A bit set of fixed size
 over the items' runs tells which documents have any; of these only the words in such
 runs, never texts, are joined with the items through the runs themselves. A pair needs
-COVER * n / LEAST shared runs to reach its threshold. Equal texts count as one.
+COVER * n / LEAST of the item's runs, repeats counted, to reach its threshold. An item
+below LEAST words is one run of all its words, and leaks where these stand in a row.
+Equal texts count as one.
 """
 
 from __future__ import annotations
@@ -102,14 +104,13 @@ def greedy_tiles(item_tokens: list[int], doc_tokens: list[int], least: int = LEA
 
 # ---- candidates --------------------------------------------------------------------------
 
-def _runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, words before each text, run hashes and the first word of each run."""
-    hashes, at = bf.words(data, off)
-    runs, owner = bf.shingles(hashes, at, LEAST)
-    full = (np.diff(at) >= LEAST)[owner]
-    n = np.bincount(owner, minlength=len(off) - 1)
+def _runs(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and the first word of each run of ``width`` words."""
+    runs, owner = bf.shingles(hashes, at, width)
+    full = (np.diff(at) >= width)[owner]
+    n = np.bincount(owner, minlength=len(at) - 1)
     first = at[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    return hashes, at, runs[full], first[full]
+    return runs[full], first[full]
 
 
 def _lists(values: np.ndarray, at: np.ndarray, kind) -> pa.Array:
@@ -118,7 +119,16 @@ def _lists(values: np.ndarray, at: np.ndarray, kind) -> pa.Array:
 
 def _items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, off in bf.text_chunks(batches):
-        hashes, at, runs, first = _runs(data, off)
+        hashes, at = bf.words(data, off)
+        size, parts = np.diff(at), []
+        for width in range(1, LEAST + 1):
+            runs, first = _runs(hashes, at, width)
+            n = size[np.searchsorted(at, first, side="right") - 1]
+            mine = n == width if width < LEAST else n >= LEAST
+            parts.append((runs[mine], first[mine]))
+        runs, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+        o = np.argsort(first, kind="stable")
+        runs, first = runs[o], first[o]
         yield pa.RecordBatch.from_arrays([
             rows.column("item"), rows.column("item_id"), _lists(hashes.view(np.int64), at, pa.int64()),
             _lists(runs.view(np.int64), np.searchsorted(first, at), pa.int64())], ["item", "item_id", "words", "runs"])
@@ -136,21 +146,27 @@ def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"at": pa.array(np.flatnonzero(bits)), "bits": pa.array(bits[bits > 0].astype(np.int32))})
 
 
-def _hits(marked):
+def _hits(marked, widths: list[int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         np.bitwise_or.at(bits, marked.value[0], marked.value[1])
         for rows, data, off in bf.text_chunks(batches):
-            hashes, at, runs, first = _runs(data, off)
-            p = _place(runs)
-            hit = (bits[p >> 3] >> (p & 7)) & 1 > 0
-            runs, first = runs[hit], first[hit]
+            hashes, at = bf.words(data, off)
+            # the words inside hit runs, in place
+            cover, parts = np.zeros(len(hashes) + 1, np.int64), []
+            for width in widths:
+                runs, first = _runs(hashes, at, width)
+                p = _place(runs)
+                hit = (bits[p >> 3] >> (p & 7)) & 1 > 0
+                runs, first = runs[hit], first[hit]
+                np.add.at(cover, first, 1)
+                np.add.at(cover, first + width, -1)
+                parts.append((runs, first))
+            runs, first = (np.concatenate(x) for x in zip(*parts, strict=True))
             if not len(runs):
                 continue
-            # the words inside hit runs, in place
-            cover = np.zeros(len(hashes) + 1, np.int64)
-            np.add.at(cover, first, 1)
-            np.add.at(cover, first + LEAST, -1)
+            o = np.argsort(first, kind="stable")
+            runs, first = runs[o], first[o]
             inside = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
             n_runs, n_words = np.searchsorted(first, at), np.searchsorted(inside, at)
             some = pa.array(np.diff(n_runs) > 0)
@@ -172,7 +188,7 @@ def _tile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     doc.append(-1)  # words apart are no run; no hash is -1 below
                 doc.append(w & _MOD)
                 last = p
-            tiles = greedy_tiles([w & _MOD for w in item], doc)
+            tiles = greedy_tiles([w & _MOD for w in item], doc, min(LEAST, len(item)))
             covered.append(sum(t[2] for t in tiles))
             count.append(len(tiles))
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("item"), pa.array(covered, pa.int64()), pa.array(count, pa.int64())],
@@ -189,11 +205,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     filter_ = items.select("runs").coalesce(16).mapInArrow(_mark, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     marked = spark.sparkContext.broadcast((filter_["at"].to_numpy(), filter_["bits"].to_numpy().astype(np.uint8)))
     rows = docs.select(F.xxhash64(bf.whole_text()).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), bf.whole_text())
-    hits = stored(rows.mapInArrow(_hits(marked), "key long, doc_id long, runs array<long>, places array<long>, words array<long>"), "hits")
+    short = items.select(F.size("words").alias("n")).where(f"n > 0 AND n < {LEAST}").distinct().collect()
+    hits = stored(rows.mapInArrow(_hits(marked, sorted({LEAST, *(r.n for r in short)})), "key long, doc_id long, runs array<long>, places array<long>, words array<long>"), "hits")
     texts = hits.groupBy("key").agg(*[F.first(c).alias(c) for c in ("runs", "places", "words")])
     size = items.select("item", "item_id", F.size("words").cast("long").alias("n_words"))
     shared = (texts.select("key", F.explode(F.array_distinct("runs")).alias("run"))
-              .join(items.select("item", F.explode(F.array_distinct("runs")).alias("run")), "run").groupBy("key", "item").agg(F.count("*").alias("n_shared"))
+              .join(items.select("item", F.explode("runs").alias("run")).groupBy("item", "run").agg(F.count("*").alias("n")), "run")
+              .groupBy("key", "item").agg(F.sum("n").alias("n_shared"))
               .join(size, "item").where(F.col("n_shared") * LEAST >= F.col("n_words") * COVER).select("key", "item", "item_id", "n_words"))
     pairs = (shared.join(texts.select("key", "places", "words"), "key")
              .join(items.select("item", F.col("words").alias("item_words")), "item"))
@@ -206,8 +224,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Leaks only: doc_id, item_id, n_words, n_covered, coverage, n_tiles.
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are
-    ignored. Null, empty and texts below LEAST words leak nothing and are leaked by
-    nothing. Items of equal text count once, under their smallest item_id. Each row of
+    ignored. Null and empty texts leak nothing and are leaked by nothing; an item below
+    LEAST words leaks where all its words stand in a row. Items of equal text count once, under their smallest item_id. Each row of
     ``docs`` with such a text has its rows in the result, rows without doc_id too, under
     a null one. Empty tables give no rows.
     """

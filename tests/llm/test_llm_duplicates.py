@@ -163,3 +163,15 @@ def test_leaks_of_messy_rows(spark):
     assert kept.columns == messy(spark).columns and kept.count() == 13 - 5
     none = items.limit(0)
     assert decontaminate.contaminated(messy(spark), none).count() == 0 and decontaminate.clean_of(messy(spark, []), items).count() == 0
+
+
+def test_leaks_of_repetitive_and_short_items(spark):
+    rng = random.Random(4)
+    phrase, other = prose(rng, 10), prose(rng, 10)
+    items = [(1, " ".join([phrase] * 10)), (2, "Alpha beta gamma"), (3, "delta"), (4, "one two three four"), (5, "beta beta")]
+    docs = [(1, f"{prose(rng, 30)} {items[0][1]} {prose(rng, 30)}"), (2, f"{other} alpha BETA gamma {other}"), (3, "alpha beta"), (4, "alpha beta x gamma"),
+            (5, "delta"), (6, f"{phrase} {other} one two three {other} four"), (7, "one two three four"), (8, " ".join([phrase] * 5))]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_words, r.n_covered, r.n_tiles) for r in decontaminate.contaminated(a, b).collect()}
+    assert got == {(1, 1): (100, 100, 1), (2, 2): (3, 3, 1), (5, 3): (1, 1, 1), (7, 4): (4, 4, 1)}
+    assert {r.doc_id for r in decontaminate.clean_of(a, b).collect()} == {3, 4, 6, 8}
