@@ -7,17 +7,23 @@ n(v, t) holding t within WINDOW words of v, the information t discloses about v
     PMI(v; t) = log2(n(v, t) * D / (n(v) * n(t)))
 out of IC(v) = log2(D / n(v)). From RISK of IC(v) on a term is generalised (to its shape:
 number, name or word), from all of it on it is removed, where v and t were seen together
-in at least SUPPORT documents, as rarer company is no evidence.
+in at least SUPPORT documents, as rarer company is no evidence. Such a term goes wherever
+it stands, in documents without the value too, as it tells of the value there as well;
+of several values' verdicts on a term the strictest counts.
 
-Two passes over the texts: values with their neighbours (few rows), and the document
-counts of all words, summed per stretch of a task before the exchange.
+Three passes over the texts: values with their neighbours (few rows), the document counts
+of all words, summed per stretch of a task before the exchange, and the places of terms:
+a bit set of fixed size tells which words may be one, and only these are joined with them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,7 @@ WINDOW = 8
 SUPPORT = 3
 RISK = 0.85
 LOCAL_BYTES = 16 << 20
+FILTER_BITS = 26
 
 # The patterns of the base spans. An address is found from its @.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -43,7 +50,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 FOUND = ("rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<s:int,k:int,e:int>>, "
-         "near array<struct<v:long,t:long,s:int,e:int>>")
+         "hits array<struct<t:long,s:int,e:int>>")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -107,70 +114,136 @@ def _trim(text: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
-def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Words within WINDOW words of each value, other than values themselves."""
-    out, busy = [], [(s, e) for s, _, e in spans]
+def _free(spans: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a stretch of the text has no part in any of the sorted spans."""
+    starts, reach = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return not k or reach[k - 1] <= a
+    return free
+
+
+def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(value, term, start, end) of the words within WINDOW words of each value, other than values themselves."""
+    starts, ends, free, near = array("q"), array("q"), _free(spans), []
+    for m in WORD.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
     for span in spans:
         v, (s, _, e) = _value(text, span), span
-        # a stretch of text that surely holds WINDOW ordinary words; longer words shorten the window
-        lo, hi = max(0, s - 40 * WINDOW), min(len(text), e + 40 * WINDOW)
-        while lo > 0 and not text[lo - 1].isspace():
-            lo -= 1
-        before = [m.span() for m in WORD.finditer(text, lo, s)][-WINDOW:]
-        after = [m.span() for m in WORD.finditer(text, e, hi)][:WINDOW]
+        i, j = bisect_left(starts, s), bisect_right(ends, e)
+        before = [(starts[x], min(ends[x], s)) for x in range(max(0, i - WINDOW), i)]
+        after = [(max(starts[x], e), ends[x]) for x in range(j, min(j + WINDOW, len(ends)))]
         for a, b in before + after:
             a, b = _trim(text, a, b)
-            if b - a >= 3 and not any(x < b and a < y for x, y in busy):
-                out.append({"v": v, "t": _term(text[a:b]), "s": a, "e": b})
-    return out
+            if b > a and free(a, b):
+                near.append((v, a, b))
+    terms = _terms([text[a:b] for _, a, b in near])
+    return [(v, t, a, b) for (v, a, b), t in zip(near, terms, strict=True)]
 
 
-def _term(word: str) -> int:
-    word = word.encode("utf-8", "surrogatepass")
-    data = np.frombuffer(word, np.uint8)
-    return int(bf.range_hashes(bf.LOWER[data], np.array([0]), np.array([len(data)])).view(np.int64)[0])
+def _terms(words: list[str]) -> list[int]:
+    words = [w.encode("utf-8", "surrogatepass") for w in words]
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    return bf.range_hashes(bf.LOWER[data], np.append(0, ends)[:-1], ends).view(np.int64).tolist()
 
 
 _MAYBE = np.zeros(256, bool)
 _MAYBE[[ord(c) for c in "@0123456789"]] = True
 
 
-def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS],
-                        ("base", pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))),
-                        ("near", pa.list_(pa.struct([("v", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])))])
+def _spans_of(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
+    """(text, base spans) of each text of a chunk; texts that cannot have any are not looked at."""
+    some = np.append(0, np.cumsum(_MAYBE[data]))
+    some = some[off[1:]] > some[off[:-1]]
+    texts = rows.column("text")
+    for i, maybe in enumerate(some.tolist()):
+        text = texts[i].as_py() if maybe else ""
+        yield text, base_spans(text)
+
+
+def _find_near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("v", pa.int64()), ("t", pa.int64())]))
     for rows, data, off in bf.text_chunks(batches):
-        some = np.append(0, np.cumsum(_MAYBE[data]))
-        some = some[off[1:]] > some[off[:-1]]
-        base, near, texts = [], [], rows.column("text")
-        for i, maybe in enumerate(some.tolist()):
-            text = texts[i].as_py() if maybe else ""
-            spans = base_spans(text)
-            base.append([{"s": s, "k": k, "e": e} for s, k, e in spans])
-            near.append(neighbours(text, spans) if spans else [])
-        counts = [[sum(x["k"] == k for x in b) for b in base] for k in range(4)]
-        yield pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts],
-                                          pa.array(base, schema.field("base").type), pa.array(near, schema.field("near").type)], schema=schema)
+        near = [[{"v": v, "t": t} for v, t in {x[:2] for x in neighbours(text, spans)}] if spans else [] for text, spans in _spans_of(rows, data, off)]
+        yield pa.RecordBatch.from_arrays([rows.column("rid"), pa.array(near, kind)], ["rid", "near"])
 
 
 _EDGE = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 
 
-def document_terms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Hashes of the distinct words of each text of a chunk, without ASCII marks around them."""
+def text_terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text, start and end (bytes) of each word of a chunk, without ASCII marks around it."""
     starts, ends, at = bf.word_bounds(data, off)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     solid = np.flatnonzero(_EDGE[data])
     first = np.searchsorted(solid, starts)
     last = np.searchsorted(solid, ends) - 1
     keep = first <= last
-    owner = np.repeat(np.arange(len(off) - 1), np.diff(at))[keep].astype(np.uint64)
-    keys = bf.range_hashes(bf.LOWER[data], solid[first[keep]], solid[last[keep]] + 1)
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(at))[keep]
+    starts, ends = solid[first[keep]], solid[last[keep]] + 1
+    return bf.range_hashes(bf.LOWER[data], starts, ends), owner, starts, ends
+
+
+def document_terms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Hashes of the distinct words of each text of a chunk, without ASCII marks around them."""
+    keys, owner, _, _ = text_terms(data, off)
     o = np.lexsort((keys, owner))
     return keys[o][bf.groups(owner[o], keys[o])[:-1]]
 
 
+def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each term in the bit set."""
+    return (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for batch in batches:
+        for p in _bits(bf.longs(batch, "t").view(np.uint64)):
+            np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
+    yield pa.RecordBatch.from_pydict({"at": pa.array(np.flatnonzero(bits)), "bits": pa.array(bits[bits > 0].astype(np.int32))})
+
+
+def _find(marked):
+    """Base spans, and the places of words that may be risky terms."""
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS],
+                        ("base", pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))),
+                        ("hits", pa.list_(pa.struct([("t", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        np.bitwise_or.at(bits, marked.value[0], marked.value[1])
+
+        def maybe(keys: np.ndarray) -> np.ndarray:
+            p, q = _bits(keys)
+            return (bits[p >> 3] >> (p & 7)) & (bits[q >> 3] >> (q & 7)) & 1 > 0
+
+        for rows, data, off in bf.text_chunks(batches):
+            keys, owner, starts, ends = text_terms(data, off)
+            hit = maybe(keys)
+            keys, owner, starts, ends = keys[hit].view(np.int64), owner[hit], starts[hit], ends[hit]
+            # places are code points
+            points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+            starts, ends = (points[x] - points[off[owner]] for x in (starts, ends))
+            at = np.searchsorted(owner, np.arange(len(off)))
+            base, hits = [], []
+            for i, (text, spans) in enumerate(_spans_of(rows, data, off)):
+                found = list(zip(*(x[at[i]:at[i + 1]].tolist() for x in (keys, starts, ends)), strict=True))
+                if spans:
+                    # words cut by values are terms too
+                    free, near = _free(spans), neighbours(text, spans)
+                    likely = maybe(np.array([x[1] for x in near], np.int64).view(np.uint64)).tolist()
+                    found = {x for x in found if free(x[1], x[2])} | {x[1:] for x, y in zip(near, likely, strict=True) if y}
+                base.append([{"s": s, "k": k, "e": e} for s, k, e in spans])
+                hits.append([{"t": t, "s": s, "e": e} for t, s, e in found])
+            counts = [[sum(x["k"] == k for x in b) for b in base] for k in range(4)]
+            yield pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts],
+                                              pa.array(base, schema.field("base").type), pa.array(hits, schema.field("hits").type)], schema=schema)
+    return run
+
+
 def _count_terms(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -216,28 +289,33 @@ def _take_counts(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per row: rid, doc_id, counts, base spans, and ``terms``: disclosing words near values."""
+    """Per row: rid, doc_id, counts, base spans, and ``terms``: the places of disclosing words."""
     spark = docs.sparkSession
     buckets = bf.bucket_count(spark, 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bf.whole_text())
-    found = stored(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(_find, FOUND), "values")
-    near = found.select("rid", F.explode("near").alias("x")).select("rid", "x.*")
+    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    company = stored(numbered.select("rid", "text").mapInArrow(_find_near, "rid long, near array<struct<v:long,t:long>>"), "near")
+    near = company.select("rid", F.explode("near").alias("x")).select("rid", "x.*")
     pairs = near.select("rid", "v", "t").distinct().groupBy("v", "t").agg(F.count("*").alias("nvt")).where(f"nvt >= {SUPPORT}")
     values = near.select("rid", "v").distinct().groupBy("v").agg(F.count("*").alias("nv"))
     pairs = stored(pairs.join(values, "v"), "company")
     terms = pairs.select("t").distinct().mapInArrow(_bucket_of(buckets), "t long, bucket int")
     counts = rows.select("text").mapInArrow(_count_terms(buckets), "bucket int, block binary")
     known = terms.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_take_counts, "t long, nt long")
-    total = F.lit(float(max(1, found.count())))
+    total = F.lit(float(max(1, company.count())))
     pmi = F.log2(F.col("nvt") * total / (F.col("nv") * F.greatest("nt", "nvt")))
     ic = F.log2(total / F.col("nv"))
     risky = (pairs.join(known, "t").withColumn("pmi", pmi).withColumn("ic", ic)
              .where((F.col("ic") > 0) & (F.col("pmi") >= RISK * F.col("ic")))
-             .select("v", "t", F.when(F.col("pmi") >= F.col("ic"), 5).otherwise(4).alias("k")))
-    spans = (near.join(risky, ["v", "t"]).groupBy("rid", "s", "e").agg(F.max("k").alias("k")).groupBy("rid")
+             .groupBy("t").agg(F.max(F.when(F.col("pmi") >= F.col("ic"), 5).otherwise(4)).alias("k")))
+    risky = stored(risky, "terms")
+    filter_ = risky.select("t").coalesce(16).mapInArrow(_mark, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    marked = spark.sparkContext.broadcast((filter_["at"].to_numpy(), filter_["bits"].to_numpy().astype(np.uint8)))
+    found = stored(numbered.mapInArrow(_find(marked), FOUND), "values")
+    spans = (found.select("rid", F.explode("hits").alias("x")).select("rid", "x.*").join(risky, "t").groupBy("rid")
              .agg(F.collect_list(F.struct("s", "k", "e")).alias("terms")))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    return found.drop("near").join(spans, "rid", "left").withColumn("terms", F.coalesce("terms", none))
+    return found.drop("hits").join(spans, "rid", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def _written(spans: str):

@@ -143,6 +143,24 @@ def test_terms_that_reveal_a_value(spark):
     assert clean[0] == "please ask  about it or write to [email] number 0 of the list" and clean[100] == rows[5][1]
 
 
+def test_terms_go_wherever_they_stand(spark):
+    rest = " and so on with the list" * 4
+    rows = [(i, f"please ask zanzibar about it or write to kim@example.com number {i} of the list{rest} é Zanzibar{', li' if i == 0 else ''}", "s") for i in range(5)]
+    rows += [(10 + i, f"li writes to lee@example.com of the list {i}", "s") for i in range(5)]
+    rows += [(20, f"the list of ZANZIBAR{rest}", "s")]
+    rows += [(30 + i, f"call +1 555 010 9999 {'x' * 200} {'y' * 200} yokohama{i % 2} now", "s") for i in range(10)]
+    rows += [(100 + i, f"please write about the list or ask {i} of it to number the rest and call so on now with writes", "s") for i in range(60)]
+    got = {r.doc_id: r for r in sanitise.personal_data(messy(spark, rows)).collect()}
+
+    def spans(i):
+        text = rows[[r[0] for r in rows].index(i)][1]
+        return [text[int(s):int(e)] for k, s, e in (x.split(":") for x in got[i].spans.split(",") if x) if k.startswith("term")]
+    assert spans(0) == ["zanzibar", "Zanzibar", "li"] and spans(20) == ["ZANZIBAR"] and spans(10) == ["li"]
+    assert {"yokohama0"} < set(spans(30)) and got[100].spans == ""
+    clean = {r.doc_id: r.text for r in sanitise.sanitised(messy(spark, rows)).collect()}
+    assert not any("zanzibar" in t.lower() for t in clean.values()) and "yokohama" not in clean[30] + clean[31]
+
+
 def test_personal_data_of_messy_rows(spark):
     rows = [(1, "x@y.zz", "a"), (1, "x@y.zz", "a"), (None, "x@y.zz", None), (2, None, "a"), (3, "", "a"), (4, "x@y.zz " * 3000, "a")]
     got = sorted(((r.doc_id or 0), r.n_email) for r in sanitise.personal_data(messy(spark, rows)).collect())
