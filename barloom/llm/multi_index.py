@@ -5,6 +5,9 @@ nearest centroids. A query walks the pairs in the order of the summed distances
 halves, with a heap over the two sorted lists, until the cells passed hold SHARE of all
 rows (FEWEST at least), and all entries of those cells are ranked by true distance.
 
+Equal rows of one id are made one before anything is counted or filed, as copies would
+fill cells and ranks in place of other rows.
+
 Codebooks are fitted on a hash sample of SAMPLE rows at most; every row is indexed.
 Cells and query blocks go to buckets; a cell of more than CELL_ROWS rows is split over
 several. A bucket keeps each query's nearest, and these meet in the query's own bucket,
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm import buffers as bf
+from barloom.llm.stored import stored
 
 SAMPLE = 20000
 ROWS_A_CELL = 16
@@ -203,9 +207,6 @@ def _rank(buckets: int):
 
 def _merge(table: pa.Table) -> pa.Table:
     query, found, score = bf.unpack_all(table["block"])
-    o = np.lexsort((found, query))  # a row repeated under one id counts once
-    same = np.append(False, (query[o][1:] == query[o][:-1]) & (found[o][1:] == found[o][:-1]) & (score[o][1:] == score[o][:-1]))
-    query, found, score = (a[o][~same] for a in (query, found, score))
     keep = _keep_nearest(query, found, score)
     query, found, score = query[keep], found[keep], score[keep]
     at = bf.groups(query)
@@ -230,10 +231,12 @@ def neighbours(vectors: DataFrame) -> DataFrame:
     ``vectors`` needs vec_id and embedding; other columns are ignored. Rows that are not
     ``usable`` take no part. With no more than FEWEST rows all are looked at. Equal
     distances go to the smaller vec_id; rows that share a query's vec_id are the query's
-    own; equal rows of one vec_id count once. An empty table gives no rows.
+    own; equal rows of one vec_id count once, different rows each. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
+    if not rows.groupBy("vec_id").count().where("count > 1").isEmpty():
+        rows = stored(rows.distinct(), "vectors")
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

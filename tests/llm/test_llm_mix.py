@@ -78,6 +78,19 @@ def test_small_tables_are_searched_in_full(spark):
     assert all(np.isclose(a[1], b[1], rtol=1e-12) for q in got for a, b in zip(got[q], want[q], strict=True))
 
 
+def test_copies_displace_no_neighbours(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    near = (1000, [x + 1e-3 for x in rows[0][1]])
+    other = (1001, [x + 1 for x in rows[100][1]]), (1001, [x - 1 for x in rows[100][1]])  # of one id and distance, yet different rows
+    want = plain_nearest([*rows, near, *other])
+    df = spark.createDataFrame([*rows, *rows, *[near] * 9000, *other], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in sorted(multi_index.neighbours(df).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in x] for q, x in want.items()} and all(len(x) == 10 for x in got.values())
+
+
 def test_recall_of_the_walk(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "FEWEST", 10)
     monkeypatch.setattr(multi_index, "CELL_ROWS", 50)
