@@ -14,7 +14,6 @@ from barloom.plans.features import _TRAIN, feature_frame
 from barloom.plans.inputs import run_requests, sql, universe_of
 
 FEATURES = ["ma_5", "ma_20_open", "roc_10", "zscore_20", "volatility_10_high"]
-QUERY_TREES = 20
 
 
 def _frame(spark, d):
@@ -28,8 +27,7 @@ def _held_out(spark, d):
 
 @query("fit_scores_trees")
 def _(spark, d):
-    scored, _model = ml.fit_scores_trees(_held_out(spark, d), FEATURES, trees=QUERY_TREES,
-                                         position="position")
+    scored, _model = ml.fit_scores_trees(_held_out(spark, d), FEATURES, position="position")
     return present(scored.select("symbol", "date", "target", "predicted"))
 
 
@@ -40,7 +38,7 @@ def _(spark, d):
 def _(spark, d):
     # a forest's prediction is a mean of training targets
     frame = _held_out(spark, d)
-    scored, _model = ml.fit_scores_trees(frame, FEATURES, trees=QUERY_TREES, position="position")
+    scored, _model = ml.fit_scores_trees(frame, FEATURES, position="position")
     train = frame.where("role = 'train'").agg(F.min("target").alias("lo"), F.max("target").alias("hi")).first()
     return present(scored.select("symbol", "date", "target", F.coalesce(
         F.col("predicted").between(train.lo - 1e-12, train.hi + 1e-12), F.lit(False)).alias("within_training_range")))
@@ -48,22 +46,22 @@ def _(spark, d):
 
 @query("fit_scores_trees_boosted")
 def _(spark, d):
-    scored, _model = ml.fit_scores_trees(_held_out(spark, d), FEATURES, family="boosted", trees=5,
-                                         depth=3, position="position")
+    scored, _model = ml.fit_scores_trees(_held_out(spark, d), FEATURES, family="boosted", position="position")
     return present(scored.select("symbol", "date", "target", "predicted"))
 
 
 @query("feature_importance")
 def _(spark, d):
-    frame = _held_out(spark, d)
-    fitted = [ml.fit_scores_trees(frame, FEATURES, trees=n, position="position")[1] for n in (5, 10)]
+    frame = _frame(spark, d)
+    fitted = [ml.fit_scores_trees(sp.holdout_split(frame, test_size=size, purge=1), FEATURES, position="position")[1]
+              for size in (0.2, 0.4)]
     return present(ml.feature_importance(fitted, [*FEATURES, "position"], spark))
 
 
 @query("feature_importance_checks", """SELECT CAST(6 AS BIGINT) AS features, 1e0 AS total, true AS ordered
   FROM (SELECT count(*) FROM part)""")
 def _(spark, d):
-    _scored, model = ml.fit_scores_trees(_held_out(spark, d), FEATURES, trees=QUERY_TREES, position="position")
+    _scored, model = ml.fit_scores_trees(_held_out(spark, d), FEATURES, position="position")
     out = ml.feature_importance([model], [*FEATURES, "position"], spark)
     return out.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 6).alias("total"),
                    F.min((F.col("importance") >= 0) & (F.col("importance") <= 1)).alias("ordered"))
@@ -75,7 +73,7 @@ def _(spark, d):
     train = sp.calibration_split(frame.where("role = 'train'"), label="up", keys=["symbol"], purge=1)
     parts = train.where("part IN ('base', 'calibration')").drop("reason").unionByName(
         frame.where("role = 'test'").withColumn("part", F.lit("score")))
-    out = ml.fit_direction_calibrated(parts, FEATURES, trees=QUERY_TREES, position="position")
+    out = ml.fit_direction_calibrated(parts, FEATURES, position="position")
     return present(out.select("symbol", "date", "up", "probability"))
 
 
@@ -95,7 +93,7 @@ def _(spark, d):
     brands = universe_of(spark, d).select("symbol")
     req = brands.select(F.col("symbol").alias("run_id"), "symbol").unionByName(
         brands.select(F.lit("all").alias("run_id"), "symbol"))
-    scores, _gate = ml.forward_scores(_frame(spark, d), frame, req, FEATURES, trees=QUERY_TREES)
+    scores, _gate = ml.forward_scores(_frame(spark, d), frame, req, FEATURES)
     return present(scores)
 
 
