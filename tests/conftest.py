@@ -6,9 +6,8 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
-
-SMALL = "/root/testdata/sf0.001"
+HERE = Path(__file__).resolve().parent
+sys.path[:0] = [str(ROOT), str(ROOT / "tools"), str(HERE)]
 
 
 @pytest.fixture(scope="session")
@@ -29,6 +28,7 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def con():
     from check_oracle import TABLES
+    from small_data import SMALL
     c = duckdb.connect()
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")

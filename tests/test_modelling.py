@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry
 import pytest
-from conftest import SMALL
+from small_data import SMALL
 
 from barloom.operators import models as ml
 

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare
-from conftest import SMALL
+from small_data import SMALL
 
 FAMILIES = """feature_set feature_ema training_frame attach_peer_features fold_assignment holdout_split
 calibration_split topn_weights hold_weights baseline_ma_cross execution_price portfolio_metrics rank_ic
