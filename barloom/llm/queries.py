@@ -86,3 +86,9 @@ def multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.licences import scan
     return scan(read(spark, sf_dir, "documents"))
+
+
+@query("op13_metric_range_join", sql_of("metric_join"))
+def metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.metric_join import near_vectors
+    return near_vectors(read(spark, sf_dir, "embeddings"))
