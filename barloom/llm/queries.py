@@ -92,3 +92,9 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.metric_join import near_vectors
     return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_structure_repair", sql_of("conversations"))
+def structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.conversations import damage_and_repair
+    return damage_and_repair(read(spark, sf_dir, "conversations"))
