@@ -80,9 +80,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (no white space, within a text), and words before each text."""
-    word = IS_WORD[data]
+def word_bounds(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (no white space unless ``is_word`` says otherwise, within a
+    text), and words before each text."""
+    word = is_word[data]
     start, end = word.copy(), word.copy()
     start[1:] &= ~word[:-1]
     end[:-1] &= ~word[1:]

@@ -98,3 +98,9 @@ def metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.conversations import damage_and_repair
     return damage_and_repair(read(spark, sf_dir, "conversations"))
+
+
+@query("op11_fp_tree_search", sql_of("lexical_tree"))
+def fp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.lexical_tree import best_documents
+    return best_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
