@@ -1,4 +1,4 @@
-"""Queries that fit trees do so at the operators' defaults."""
+"""Queries that fit pooled trees do so at the operators' defaults."""
 
 import __spark_entry__ as entry
 import pytest
@@ -19,8 +19,7 @@ def _classifier(**params):
     raise Asked(params["numTrees"], params["maxDepth"])
 
 
-@pytest.mark.parametrize("name", ["fit_scores_trees", "fit_scores_trees_checks", "fit_scores_trees_boosted", "feature_importance",
-                                  "feature_importance_checks", "fit_direction_calibrated", "forward_scores"])
+@pytest.mark.parametrize("name", ["fit_scores_trees_pooled", "fit_direction_pooled", "forward_scores"])
 def test_queries_fit_all_trees(spark, monkeypatch, name):
     monkeypatch.setattr(ml, "_regressor", _regressor)
     monkeypatch.setattr(ml, "RandomForestClassifier", _classifier)
