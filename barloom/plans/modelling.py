@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import present
 from barloom.operators import group_models as gm, models as ml, runs as rn, splits as sp
+from barloom.operators.clusters import cluster_snapshots, snapshots_sql
 from barloom.operators.diagnostics import direction_label
 from barloom.operators.features import Feature, feature_set, forward_return_label, training_frame
 from barloom.plans.catalog import query
-from barloom.plans.factors import cluster_rows
+from barloom.plans.factors import FRAME_SQL, _SRC, cluster_rows
 from barloom.plans.features import _TRAIN, feature_frame
 from barloom.plans.inputs import TYPE_REQ, run_requests, sql, type_bars, type_requests, universe_of
 
@@ -279,9 +280,18 @@ def _(spark, d):
     return present(_validated(spark, d)[0])
 
 
-@query("cluster_snapshot")
+CLUSTERED = ["close", "volume", "event_count_30d"]
+
+
+@query("cluster_snapshot", sql("bars", """SELECT 'TW' AS market, CAST(date AS VARCHAR) AS date, symbol, cluster, round(distance, 6) AS distance
+    FROM snap""", **_SRC, **FRAME_SQL, wide="SELECT * FROM fr WHERE date IN (SELECT date FROM fr GROUP BY 1 HAVING count(*) >= 2)",
+    **snapshots_sql("wide", CLUSTERED, clusters=3)))
+def _(spark, d):
+    return present(cluster_snapshots(cluster_rows(spark, d), CLUSTERED, clusters=3))
+
+
+@query("cluster_snapshot_pooled")
 def _(spark, d):
     rows = cluster_rows(spark, d)
-    last = rows.agg(F.max("date").alias("date"))
-    one = rows.join(last, "date", "left_semi")
-    return present(ml.cluster_snapshot(one, ["close", "volume", "event_count_30d"], clusters=3))
+    one = rows.join(rows.agg(F.max("date").alias("date")), "date", "left_semi")
+    return present(ml.cluster_snapshot(one, CLUSTERED, clusters=3))
