@@ -8,6 +8,7 @@ of small records cost Spark a few thousand rows.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import struct
 from collections.abc import Iterable, Iterator
@@ -61,8 +62,11 @@ _BYTE_CODES = _table(11, 256)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes that words are hashed from at once; a longer text goes in parts.
+HASHED_BYTES = 1 << 18
+
+
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def powers(base: int) -> np.ndarray:
         a = np.full(n, base, np.uint64)
         a[0] = 1
@@ -70,6 +74,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(_BASE), powers(pow(_BASE, -1, 2 ** 64))
 
 
+@functools.lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _made_powers(HASHED_BYTES)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse; only a table of fixed size is kept."""
+    return _kept_powers() if n <= HASHED_BYTES else _made_powers(n)
+
+
+def lean_memory() -> None:
+    """Gives freed arrays of a worker back to the system, where its libraries allow that.
+
+    Workers live on between tasks and stages; without this each keeps its largest working
+    set for good.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass  # another allocator
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bits of 64-bit keys stirred, so that any part of them is uniform."""
     x = x ^ (x >> np.uint64(30))
@@ -99,8 +128,13 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """A 64-bit hash of each byte range, equal for equal bytes wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(12, int(len(data)).bit_length())
-    power, inverse = _powers(size)
+    if len(data) > HASHED_BYTES:
+        first, last = int(starts.min()), int(ends.max())
+        if last - first > HASHED_BYTES and len(starts) > 1:
+            half = len(starts) // 2
+            return np.concatenate([range_hashes(data, starts[:half], ends[:half]), range_hashes(data, starts[half:], ends[half:])])
+        data, starts, ends = data[first:last], starts - first, ends - first
+    power, inverse = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_CODES[data] * power[:len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from barloom.llm import buffers as bf
 from barloom.llm.stored import stored
 
+bf.lean_memory()  # in every worker that runs these tasks
+
 LEAST = 5
 COVER = 0.6
 FILTER_BITS = 26
@@ -207,6 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.xxhash64(bf.whole_text()).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), bf.whole_text())
     short = items.select(F.size("words").alias("n")).where(f"n > 0 AND n < {LEAST}").distinct().collect()
     hits = stored(rows.mapInArrow(_hits(marked, sorted({LEAST, *(r.n for r in short)})), "key long, doc_id long, runs array<long>, places array<long>, words array<long>"), "hits")
+    marked.unpersist()
     texts = hits.groupBy("key").agg(*[F.first(c).alias(c) for c in ("runs", "places", "words")])
     size = items.select("item", "item_id", F.size("words").cast("long").alias("n_words"))
     shared = (texts.select("key", F.explode(F.array_distinct("runs")).alias("run"))

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from barloom.llm import buffers as bf
 from barloom.llm.stored import stored
 
+bf.lean_memory()  # in every worker that runs these tasks
+
 WIDTH = 5
 SIMILAR = 75
 MOST_HEAVY = 1 << 20
@@ -360,6 +362,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = bf.bucket_count(spark, 1)
     found = stored(keyed.mapInArrow(_post(heavy, buckets), "bucket int, block binary")
                    .groupBy("bucket").applyInArrow(_candidates, FOUND), "prefixes")
+    heavy.unpersist()
 
     facts = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "c", "d", F.col("e").alias("g"))
     sets = facts.where("n > 0").groupBy("n", "c", "d").agg(F.min("doc_id").alias("id"), F.min("g").alias("g"))

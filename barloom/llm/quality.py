@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from barloom.llm import buffers as bf
 from barloom.llm.stored import stored
 
+bf.lean_memory()  # in every worker that runs these tasks
+
 FEATURES = ("words", "word_bytes", "word_bytes_spread", "capitals", "symbols", "marks", "bare_words", "repeats",
             "distinct", "digits", "stops", "line_words", "repeated_lines", "top_word")
 THRESHOLD = 0.7

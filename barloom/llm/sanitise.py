@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from barloom.llm import buffers as bf
 from barloom.llm.stored import stored
 
+bf.lean_memory()  # in every worker that runs these tasks
+
 KINDS = ("email", "ip", "card", "phone")
 TERMS = ("term_general", "term_removed")
 WINDOW = 8
@@ -206,6 +208,14 @@ def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"at": pa.array(np.flatnonzero(bits)), "bits": pa.array(bits[bits > 0].astype(np.int32))})
 
 
+def _structs(parts: list[np.ndarray], kind: pa.ListType) -> pa.ListArray:
+    """One list of structs for each array of rows."""
+    flat = np.concatenate(parts)
+    fields = [pa.array(np.ascontiguousarray(flat[:, i]), f.type, safe=False) for i, f in enumerate(kind.value_type)]
+    at = np.cumsum([0, *[len(x) for x in parts]])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind.value_type)), type=kind)
+
+
 def _find(marked):
     """Base spans, and the places of words that may be risky terms."""
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS],
@@ -228,19 +238,20 @@ def _find(marked):
             points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
             starts, ends = (points[x] - points[off[owner]] for x in (starts, ends))
             at = np.searchsorted(owner, np.arange(len(off)))
-            base, hits = [], []
+            base, hits = [], []  # per text: rows of (s, k, e) and of (t, s, e)
             for i, (text, spans) in enumerate(_spans_of(rows, data, off)):
-                found = list(zip(*(x[at[i]:at[i + 1]].tolist() for x in (keys, starts, ends)), strict=True))
+                found = np.stack([x[at[i]:at[i + 1]] for x in (keys, starts, ends)], axis=1)
                 if spans:
                     # words cut by values are terms too
                     free, near = _free(spans), neighbours(text, spans)
                     likely = maybe(np.array([x[1] for x in near], np.int64).view(np.uint64)).tolist()
-                    found = {x for x in found if free(x[1], x[2])} | {x[1:] for x, y in zip(near, likely, strict=True) if y}
-                base.append([{"s": s, "k": k, "e": e} for s, k, e in spans])
-                hits.append([{"t": t, "s": s, "e": e} for t, s, e in found])
-            counts = [[sum(x["k"] == k for x in b) for b in base] for k in range(4)]
+                    some = {tuple(x) for x in found.tolist() if free(x[1], x[2])} | {x[1:] for x, y in zip(near, likely, strict=True) if y}
+                    found = np.array(sorted(some), np.int64).reshape(-1, 3)
+                base.append(np.array(spans, np.int32).reshape(-1, 3))
+                hits.append(found)
+            counts = [[int((b[:, 1] == k).sum()) for b in base] for k in range(4)]
             yield pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts],
-                                              pa.array(base, schema.field("base").type), pa.array(hits, schema.field("hits").type)], schema=schema)
+                                              _structs(base, schema.field("base").type), _structs(hits, schema.field("hits").type)], schema=schema)
     return run
 
 
@@ -296,7 +307,8 @@ def find(docs: DataFrame) -> DataFrame:
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     company = stored(numbered.select("rid", "text").mapInArrow(_find_near, "rid long, near array<struct<v:long,t:long>>"), "near")
     near = company.select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    pairs = near.select("rid", "v", "t").distinct().groupBy("v", "t").agg(F.count("*").alias("nvt")).where(f"nvt >= {SUPPORT}")
+    # a row's pairs are distinct already
+    pairs = near.groupBy("v", "t").agg(F.count("*").alias("nvt")).where(f"nvt >= {SUPPORT}")
     values = near.select("rid", "v").distinct().groupBy("v").agg(F.count("*").alias("nv"))
     pairs = stored(pairs.join(values, "v"), "company")
     terms = pairs.select("t").distinct().mapInArrow(_bucket_of(buckets), "t long, bucket int")
@@ -312,6 +324,7 @@ def find(docs: DataFrame) -> DataFrame:
     filter_ = risky.select("t").coalesce(16).mapInArrow(_mark, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     marked = spark.sparkContext.broadcast((filter_["at"].to_numpy(), filter_["bits"].to_numpy().astype(np.uint8)))
     found = stored(numbered.mapInArrow(_find(marked), FOUND), "values")
+    marked.unpersist()
     spans = (found.select("rid", F.explode("hits").alias("x")).select("rid", "x.*").join(risky, "t").groupBy("rid")
              .agg(F.collect_list(F.struct("s", "k", "e")).alias("terms")))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
