@@ -32,6 +32,8 @@ def _(spark, d):
         write_tick_archive(part, f"{base}/in")
         ticks.stream_tick_landing(spark, f"{base}/in", sink=f"{base}/out",
                                   checkpoint=f"{base}/checkpoint").awaitTermination()
+    # a stream whose checkpoint is lost lands all once more
+    ticks.stream_tick_landing(spark, f"{base}/in", sink=f"{base}/out", checkpoint=f"{base}/checkpoint-2").awaitTermination()
     rows = ticks.landed(spark, f"{base}/out")
     return present(rows.select("symbol", "trading_date",
                                F.unix_millis("observation_ts").alias("millis")))
@@ -47,11 +49,11 @@ def _(spark, d):
         F.to_date("ts").alias("trading_date"), F.lit("TW").alias("market"),
         F.col("user_id").cast("string").alias("symbol"), F.to_timestamp("ts").alias("bar_ts"),
         F.col("value").alias("close"), F.col("event_id").alias("seq"))
+    # two sources, each with batches of its own from 0 on; the second corrects and adds
     first = rows.where("seq % 3 <> 0 OR seq % 2 = 0")
     second = rows.where("seq % 3 = 0").withColumn("close", F.col("close") + 5)
-    for part in (first, second):  # two deliveries, the second corrects and adds
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    ticks.stream_minute_upsert(stream, table=f"{base}/table",
-                               checkpoint=f"{base}/checkpoint").awaitTermination()
+    for i, part in enumerate((first, second)):
+        part.coalesce(1).write.parquet(f"{base}/in-{i}")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in-{i}")
+        ticks.stream_minute_upsert(stream, table=f"{base}/table", checkpoint=f"{base}/checkpoint-{i}").awaitTermination()
     return present(ticks.minute_table(spark, f"{base}/table").select("seq", "symbol", "close"))
