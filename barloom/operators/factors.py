@@ -150,22 +150,22 @@ def factor_usability(panel: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame
 def cluster_frame(bars: DataFrame, active: DataFrame, events: DataFrame) -> DataFrame:
     """(market, date, symbol, close, volume, event_count_30d) of active symbols.
 
-    ``active``: (symbol, date, active). Events count once effective and while
+    ``active``: (market, symbol, date, active). Events count once effective and while
     their publication is at most 30 days old. Dates with fewer than two symbols
     give no rows.
     """
-    cells = bars.join(active.where("active").select("symbol", "date"), ["symbol", "date"])
+    cells = bars.join(active.where("active").select("market", "symbol", "date"), ["market", "symbol", "date"])
     # An event counts on dates in [effective, publication + 30].
     spans = events.where("effective_date IS NOT NULL").select(
-        "symbol", F.col("effective_date").alias("_from"),
+        "market", "symbol", F.col("effective_date").alias("_from"),
         F.date_add(F.to_date("publication_ts"), EVENT_DAYS + 1).alias("_to")).where("_to > _from")
-    steps = spans.select("symbol", F.explode(F.array(
+    steps = spans.select("market", "symbol", F.explode(F.array(
         F.struct(F.col("_from").alias("date"), F.lit(1).alias("step")),
         F.struct(F.col("_to").alias("date"), F.lit(-1).alias("step")))).alias("s")
-    ).groupBy("symbol", F.col("s.date").alias("date")).agg(F.sum("s.step").alias("_step"))
-    both = cells.select("symbol", "date", F.struct(*bars.columns).alias("_b")).unionByName(
+    ).groupBy("market", "symbol", F.col("s.date").alias("date")).agg(F.sum("s.step").alias("_step"))
+    both = cells.select("market", "symbol", "date", F.struct(*bars.columns).alias("_b")).unionByName(
         steps, allowMissingColumns=True)
-    upto = Window.partitionBy("symbol").orderBy("date").rangeBetween(
+    upto = Window.partitionBy("market", "symbol").orderBy("date").rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
     counted = both.withColumn("_n", F.coalesce(F.sum("_step").over(upto), F.lit(0)))
     rows = counted.where(F.col("_b").isNotNull()).select(

@@ -94,7 +94,7 @@ def kpi_symbol_completeness(watchlists: DataFrame, calendar: DataFrame, lifecycl
     names = watchlists.select("market", "symbol").distinct().join(month, "market")
     window = active_window_in_month(names, lifecycle)
     window = window.where("active_start IS NOT NULL").join(
-        names.select("market", "symbol", "month_start", "month_end"), "symbol")
+        names.select("market", "symbol", "month_start", "month_end"), ["market", "symbol"])
     days = (calendar.join(month, "market")
             .where((F.col("date") >= F.col("month_start"))
                    & (F.col("date") <= F.last_day("month_start")))

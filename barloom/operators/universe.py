@@ -27,6 +27,9 @@ _FOREVER = "9999-12-31"
 _DAWN = "0001-01-01"
 
 
+#: What names a listing: markets may share symbols.
+LISTED = ["market", "symbol"]
+
 def declares_no_data(body: str | Column) -> Column:
     """True on a no-data text, or stat ok with every table empty and counted 0."""
     b = F.col(body) if isinstance(body, str) else body
@@ -119,31 +122,31 @@ def archive_symbols_asof(profiles: DataFrame, lifecycle: DataFrame, bars: DataFr
 
 
 def active_asof_fold(asks: DataFrame, profiles: DataFrame, lifecycle: DataFrame) -> DataFrame:
-    """(symbol, date, active): folded from inactive; no events means active.
+    """(market, symbol, date, active): folded from inactive; no events means active.
 
     Listing turns on, delisting off, a ticker change counts as an event but
     changes nothing. Before the listing date a symbol is inactive.
     """
     marks = lifecycle.select(
-        "symbol", "effective_date", "id",
+        *LISTED, "effective_date", "id",
         F.when(F.col("event_type").isin(*STATE_EVENTS),
                F.col("event_type").isin(*ACTIVE_EVENTS)).alias("_on"))
-    any_event = asof_last(asks.select("symbol", "date"), marks.withColumn("_any", F.lit(True)),
-                          keys=["symbol"], left_at="date", right_at="effective_date",
+    any_event = asof_last(asks.select(*LISTED, "date"), marks.withColumn("_any", F.lit(True)),
+                          keys=LISTED, left_at="date", right_at="effective_date",
                           values=["_any"])
-    state = asof_last(any_event, marks.where("_on IS NOT NULL"), keys=["symbol"],
+    state = asof_last(any_event, marks.where("_on IS NOT NULL"), keys=LISTED,
                       left_at="date", right_at="effective_date", values=["_on"],
                       right_tie=["id"])
-    joined = state.join(profiles.select("symbol", "listing_date"), "symbol", "left")
+    joined = state.join(profiles.select(*LISTED, "listing_date"), LISTED, "left")
     early = F.coalesce(F.col("date") < F.col("listing_date"), F.lit(False))
-    return joined.select("symbol", "date", (
+    return joined.select(*LISTED, "date", (
         ~early & (F.col("_any").isNull() | F.coalesce(F.col("_on"), F.lit(False)))
     ).alias("active"))
 
 
 def active_window_in_month(symbols: DataFrame, lifecycle: DataFrame, *, month_start=None,
                            month_end=None) -> DataFrame:
-    """(symbol, active_start, active_end); both NULL when never active.
+    """(market, symbol, active_start, active_end); both NULL when never active.
 
     Active unless the last state event before the month was a delisting. The
     month is given, or two columns of ``symbols``.
@@ -153,67 +156,67 @@ def active_window_in_month(symbols: DataFrame, lifecycle: DataFrame, *, month_st
                    .withColumn("month_end", F.lit(month_end).cast("date")))
     first, last = F.col("month_start"), F.col("month_end")
     when, kind = F.col("effective_date"), F.col("event_type")
-    own = symbols.select("symbol", "month_start", "month_end")
+    own = symbols.select(*LISTED, "month_start", "month_end")
     ours = lifecycle.where(kind.isin(*STATE_EVENTS)).select(
-        "symbol", "effective_date", "event_type", "id").join(own, "symbol").where(when <= last)
-    facts = ours.groupBy("symbol").agg(
+        *LISTED, "effective_date", "event_type", "id").join(own, LISTED).where(when <= last)
+    facts = ours.groupBy(*LISTED).agg(
         F.max_by("event_type", F.when(when < first, F.struct("effective_date", "id"))).alias("_prior"),
         F.min(F.when((when >= first) & kind.isin(*ACTIVE_EVENTS), when)).alias("_relist"))
-    starts = own.join(facts, "symbol", "left").withColumn(
+    starts = own.join(facts, LISTED, "left").withColumn(
         "active_start", F.when(F.coalesce(F.col("_prior") == "delisting", F.lit(False)),
                                F.col("_relist")).otherwise(first))
-    ends = ours.where((when >= first) & (kind == "delisting")).select("symbol", when.alias("_end"))
-    g = (starts.join(ends, "symbol", "left").groupBy("symbol").agg(
+    ends = ours.where((when >= first) & (kind == "delisting")).select(*LISTED, when.alias("_end"))
+    g = (starts.join(ends, LISTED, "left").groupBy(*LISTED).agg(
         F.first("active_start").alias("active_start"), F.first("month_end").alias("_last"),
         F.min(F.when(F.col("_end") >= F.col("active_start"), F.col("_end"))).alias("_end")))
     end = F.coalesce(F.date_sub("_end", 1), F.col("_last"))
     ok = F.col("active_start").isNotNull() & (end >= F.col("active_start"))
-    return g.select("symbol", F.when(ok, F.col("active_start")).alias("active_start"),
+    return g.select(*LISTED, F.when(ok, F.col("active_start")).alias("active_start"),
                     F.when(ok, end).alias("active_end"))
 
 
 def _identity_states(symbols: DataFrame, lifecycle: DataFrame) -> DataFrame:
-    """(symbol, s_from, s_to, kind, successor): which event is in force when."""
-    latest = lifecycle.groupBy("symbol", "effective_date").agg(
+    """(market, symbol, s_from, s_to, kind, successor): which event is in force when."""
+    latest = lifecycle.groupBy(*LISTED, "effective_date").agg(
         F.max_by(F.struct("event_type", "reference_symbol"), F.col("id")).alias("e"))
-    nxt = F.lead("effective_date").over(Window.partitionBy("symbol").orderBy("effective_date"))
+    nxt = F.lead("effective_date").over(Window.partitionBy(*LISTED).orderBy("effective_date"))
     events = latest.select(
-        "symbol", F.col("effective_date").alias("s_from"),
+        *LISTED, F.col("effective_date").alias("s_from"),
         F.coalesce(nxt, F.lit(_FOREVER).cast("date")).alias("s_to"),
         F.col("e.event_type").alias("kind"),
         F.when(F.trim("e.reference_symbol") != "", F.trim("e.reference_symbol")).alias("successor"))
-    names = (symbols.select("symbol").unionByName(lifecycle.select("symbol"))
+    names = (symbols.select(*LISTED).unionByName(lifecycle.select(*LISTED))
              .unionByName(lifecycle.where(F.trim("reference_symbol") != "")
-                          .select(F.trim("reference_symbol").alias("symbol"))).distinct())
-    firsts = lifecycle.groupBy("symbol").agg(F.min("effective_date").alias("_f"))
-    before = names.join(firsts, "symbol", "left").select(
-        "symbol", F.lit(_DAWN).cast("date").alias("s_from"),
+                          .select("market", F.trim("reference_symbol").alias("symbol"))).distinct())
+    firsts = lifecycle.groupBy(*LISTED).agg(F.min("effective_date").alias("_f"))
+    before = names.join(firsts, LISTED, "left").select(
+        *LISTED, F.lit(_DAWN).cast("date").alias("s_from"),
         F.coalesce("_f", F.lit(_FOREVER).cast("date")).alias("s_to"),
         F.lit("none").alias("kind"), F.lit(None).cast("string").alias("successor"))
     return before.unionByName(events)
 
 
 def identity_intervals(symbols: DataFrame, lifecycle: DataFrame) -> DataFrame:
-    """(symbol, valid_from, valid_to, resolved_symbol, symbol_path,
+    """(market, symbol, valid_from, valid_to, resolved_symbol, symbol_path,
     lifecycle_active, unresolved): the identity of a symbol between changes.
 
-    Ticker changes are followed by a recursive query over validity intervals, so
+    Ticker changes, always within a market, are followed by a recursive query over validity intervals, so
     the work grows with lifecycle changes and not with symbols x dates. A cycle
     or a missing successor is unresolved. Chains deeper than the recursion limit
     of the session fail the query; none is cut short.
     """
     spark = symbols.sparkSession
     states = _identity_states(symbols, lifecycle)
-    roots = symbols.select("symbol").distinct()
+    roots = symbols.select(*LISTED).distinct()
     text = """
-      WITH RECURSIVE walk(symbol, current, v_from, v_to, path, kind, successor) AS (
-        SELECT r.symbol, r.symbol, s.s_from, s.s_to, array(r.symbol), s.kind, s.successor
-        FROM {roots} r JOIN {states} s ON s.symbol = r.symbol
+      WITH RECURSIVE walk(market, symbol, current, v_from, v_to, path, kind, successor) AS (
+        SELECT r.market, r.symbol, r.symbol, s.s_from, s.s_to, array(r.symbol), s.kind, s.successor
+        FROM {roots} r JOIN {states} s ON s.market = r.market AND s.symbol = r.symbol
         UNION ALL
-        SELECT w.symbol, w.successor, greatest(w.v_from, s.s_from), least(w.v_to, s.s_to),
+        SELECT w.market, w.symbol, w.successor, greatest(w.v_from, s.s_from), least(w.v_to, s.s_to),
                array_append(w.path, w.successor), s.kind, s.successor
         FROM walk w JOIN {states} s
-          ON s.symbol = w.successor AND s.s_from < w.v_to AND s.s_to > w.v_from
+          ON s.market = w.market AND s.symbol = w.successor AND s.s_from < w.v_to AND s.s_to > w.v_from
         WHERE w.kind = 'ticker_change' AND w.successor IS NOT NULL
           AND NOT array_contains(w.path, w.successor))
       SELECT * FROM walk"""
@@ -224,7 +227,7 @@ def identity_intervals(symbols: DataFrame, lifecycle: DataFrame) -> DataFrame:
     lost = change & F.col("successor").isNull()
     final = walk.where(~change | cycle | lost)
     return final.select(
-        "symbol", F.col("v_from").alias("valid_from"), F.col("v_to").alias("valid_to"),
+        *LISTED, F.col("v_from").alias("valid_from"), F.col("v_to").alias("valid_to"),
         F.when(cycle, F.col("successor")).otherwise(F.col("current")).alias("resolved_symbol"),
         F.when(cycle, F.array_append("path", F.col("successor"))).otherwise(F.col("path"))
         .alias("symbol_path"),
@@ -236,14 +239,14 @@ IDENTITY = ("resolved_symbol", "symbol_path", "lifecycle_active", "unresolved")
 
 
 def identity_asof(asks: DataFrame, intervals: DataFrame) -> DataFrame:
-    """``asks`` (symbol, date, ...) with the identity in force on the date."""
-    return asof_last(asks, intervals, keys=["symbol"], left_at="date", right_at="valid_from",
+    """``asks`` (market, symbol, date, ...) with the identity in force on the date."""
+    return asof_last(asks, intervals, keys=LISTED, left_at="date", right_at="valid_from",
                      values=IDENTITY)
 
 
 def blocking_intervals(events: DataFrame, lifecycle: DataFrame, end: str | Column | None = None
                        ) -> DataFrame:
-    """(symbol, b_from, b_to): as-of dates on which an event blocks its symbol.
+    """(market, symbol, b_from, b_to): as-of dates on which an event blocks its symbol.
 
     Events published after ``end`` (a date, or a date column of the events) are not known.
     The first confirming lifecycle date at or after each event comes from a
@@ -253,14 +256,14 @@ def blocking_intervals(events: DataFrame, lifecycle: DataFrame, end: str | Colum
         until = F.lit(end).cast("date") if isinstance(end, str) else end
         events = events.where(F.to_date("publication_ts") <= until)
     day = F.coalesce(F.col("effective_date"), F.to_date("publication_ts"))
-    ev = events.select("symbol", day.alias("at"), F.col("event_type").alias("ev"))
-    tc = lifecycle.where("event_type = 'ticker_change'").groupBy("symbol", "effective_date").agg(
+    ev = events.select(*LISTED, day.alias("at"), F.col("event_type").alias("ev"))
+    tc = lifecycle.where("event_type = 'ticker_change'").groupBy(*LISTED, "effective_date").agg(
         F.max_by("reference_symbol", F.col("id")).alias("_ref"))
-    life = lifecycle.groupBy("symbol", F.col("effective_date").alias("at")).agg(
+    life = lifecycle.groupBy(*LISTED, F.col("effective_date").alias("at")).agg(
         F.max(F.col("event_type").isin(*TERMINAL_EVENTS)).alias("is_del"),
         F.max(F.col("event_type").isin(*STATE_EVENTS)).alias("is_state"),
         F.max(F.col("event_type") == "ticker_change").alias("is_tc"))
-    onward = Window.partitionBy("symbol").orderBy("at").rangeBetween(
+    onward = Window.partitionBy(*LISTED).orderBy("at").rangeBetween(
         Window.currentRow, Window.unboundedFollowing)
     both = ev.unionByName(life, allowMissingColumns=True)
     at = F.col("at")
@@ -268,38 +271,38 @@ def blocking_intervals(events: DataFrame, lifecycle: DataFrame, end: str | Colum
     def first(flag: str) -> Column:
         return F.min(F.when(F.col(flag), at)).over(onward)
 
-    ahead = both.select("symbol", "at", "ev", first("is_del").alias("_del"),
+    ahead = both.select(*LISTED, "at", "ev", first("is_del").alias("_del"),
                         first("is_state").alias("_state"), first("is_tc").alias("_tc"))
     until = (F.when(F.col("ev") == "delisting", F.col("_del"))
              .when(F.col("ev") == "listing_status_change", F.col("_state"))
              .when(F.col("ev") == "ticker_change", F.col("_tc")))
     direct = ahead.where(F.col("ev").isNotNull() & ~F.col("ev").isin(*NEUTRAL_EVENTS)).select(
-        "symbol", at.alias("b_from"), until.alias("b_to"))
+        *LISTED, at.alias("b_from"), until.alias("b_to"))
     # A confirmed ticker change blocks again while the latest one names no successor.
-    asked = ev.where("ev = 'ticker_change'").groupBy("symbol").agg(F.min("at").alias("_since"))
-    nxt = F.lead("effective_date").over(Window.partitionBy("symbol").orderBy("effective_date"))
+    asked = ev.where("ev = 'ticker_change'").groupBy(*LISTED).agg(F.min("at").alias("_since"))
+    nxt = F.lead("effective_date").over(Window.partitionBy(*LISTED).orderBy("effective_date"))
     blank = (tc.withColumn("b_to", nxt)
              .where(F.coalesce(F.trim("_ref"), F.lit("")) == "")
-             .join(asked, "symbol").where(F.col("_since") <= F.col("effective_date"))
-             .select("symbol", F.col("effective_date").alias("b_from"), "b_to"))
+             .join(asked, LISTED).where(F.col("_since") <= F.col("effective_date"))
+             .select(*LISTED, F.col("effective_date").alias("b_from"), "b_to"))
     return direct.unionByName(blank)
 
 
 def event_clear(identities: DataFrame, events: DataFrame, lifecycle: DataFrame,
                 end: str | Column | None = None) -> DataFrame:
-    """``identities`` (symbol, date, symbol_path, unresolved, ...) with ``clear``.
+    """``identities`` (market, symbol, date, symbol_path, unresolved, ...) with ``clear``.
 
     ``end`` is the last publication date that counts, as of a run's end. Every symbol on the identity path must be free of blocking events.
     """
-    opened = interval_counts(blocking_intervals(events, lifecycle, end), keys=["symbol"],
+    opened = interval_counts(blocking_intervals(events, lifecycle, end), keys=LISTED,
                              start="b_from", end="b_to").withColumnRenamed("symbol", "_s")
-    path = identities.select("symbol", "date", F.explode(F.array_distinct("symbol_path"))
+    path = identities.select(*LISTED, "date", F.explode(F.array_distinct("symbol_path"))
                              .alias("_s")).distinct()
-    state = asof_last(path, opened, keys=["_s"], left_at="date", right_at="at",
+    state = asof_last(path, opened, keys=["market", "_s"], left_at="date", right_at="at",
                       values=["open"])
-    blocked = state.groupBy("symbol", "date").agg(
+    blocked = state.groupBy(*LISTED, "date").agg(
         (F.max(F.coalesce("open", F.lit(0))) > 0).alias("_blocked"))
-    return (identities.join(blocked, ["symbol", "date"], "left")
+    return (identities.join(blocked, [*LISTED, "date"], "left")
             .withColumn("clear", ~F.col("unresolved")
                         & ~F.coalesce(F.col("_blocked"), F.lit(False)))
             .drop("_blocked"))

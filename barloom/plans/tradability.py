@@ -172,8 +172,8 @@ def _(spark, d):
     **BUNI, life=life_sql(25, 97), prof=PROFILES_SQL))
 def _(spark, d):
     return present(un.active_asof_fold(
-        brand_bars(spark, d), company_profiles(spark, d, universe_of(spark, d)),
-        brand_life(spark, d)))
+        brand_bars(spark, d).withColumn("market", one_market("symbol")), company_profiles(spark, d, universe_of(spark, d)),
+        brand_life(spark, d)).drop("market"))
 
 
 @query("active_window_in_month", sql("", """SELECT symbol,
@@ -189,8 +189,8 @@ def _(spark, d):
     LEFT JOIN life USING (symbol) GROUP BY 1)""", **BUNI, life=life_sql(25, 13)))
 def _(spark, d):
     return present(un.active_window_in_month(
-        universe_of(spark, d), brand_life(spark, d, 13), month_start="1999-03-01",
-        month_end="1999-03-31"))
+        universe_of(spark, d).withColumn("market", one_market("symbol")), brand_life(spark, d, 13), month_start="1999-03-01",
+        month_end="1999-03-31").drop("market"))
 
 
 # Identity on every market date of the part types, by a walk per date.

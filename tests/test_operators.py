@@ -171,8 +171,8 @@ def test_point_in_time_universe(spark):
         (1, "1111", "TW", "listing", day("2020-01-01"), None), (2, "1111", "TW", "delisting", day("2024-06-01"), None),
         (3, "9999", "TW", "listing", day("2020-01-01"), None), (4, "9999", "TW", "delisting", day("2023-06-01"), None)],
         "id long, symbol string, market string, event_type string, effective_date date, reference_symbol string")
-    profiles = spark.createDataFrame([("2330", day("1994-09-05")), ("8888", day("2025-01-01"))], "symbol string, listing_date date")
-    asks = spark.createDataFrame([(s, day("2024-01-02")) for s in ("1111", "2330", "8888", "9999")], "symbol string, date date")
+    profiles = spark.createDataFrame([("TW", "2330", day("1994-09-05")), ("TW", "8888", day("2025-01-01"))], "market string, symbol string, listing_date date")
+    asks = spark.createDataFrame([("TW", s, day("2024-01-02")) for s in ("1111", "2330", "8888", "9999")], "market string, symbol string, date date")
     out = un.active_asof_fold(asks, profiles, life).where("active").orderBy("symbol")
     assert [r.symbol for r in out.collect()] == ["1111", "2330"]
 
@@ -185,8 +185,8 @@ def test_identity_follows_changes_and_flags_cycles(spark):
         (1, "A", "TW", "ticker_change", day("2024-01-10"), "B"), (2, "B", "TW", "ticker_change", day("2024-01-20"), "C"),
         (3, "C", "TW", "ticker_change", day("2024-01-30"), "A"), (4, "D", "TW", "ticker_change", day("2024-01-05"), " "),
         (5, "E", "TW", "delisting", day("2024-01-15"), None)], LIFE)
-    names = spark.createDataFrame([(s,) for s in "ADEZ"], "symbol string")
-    asks = spark.createDataFrame([(s, day(f"2024-01-{d}")) for s in "ADEZ" for d in ("01", "12", "25", "31")], "symbol string, date date")
+    names = spark.createDataFrame([("TW", s) for s in "ADEZ"], "market string, symbol string")
+    asks = spark.createDataFrame([("TW", s, day(f"2024-01-{d}")) for s in "ADEZ" for d in ("01", "12", "25", "31")], "market string, symbol string, date date")
     rows = un.identity_asof(asks, un.identity_intervals(names, life)).collect()
     got = {(r.symbol, r.date.day): (r.resolved_symbol, r.lifecycle_active, r.unresolved, "".join(r.symbol_path)) for r in rows}
     assert got["A", 1] == ("A", True, False, "A") and got["A", 12] == ("B", True, False, "AB")
@@ -327,9 +327,38 @@ def test_profile_ties_compare_escaped_text(spark):
 
 def test_events_published_after_the_end_do_not_block(spark):
     from barloom.operators import universe as un
-    events = spark.sql("SELECT 'A' symbol, 'merger' event_type, timestamp'2024-06-01' publication_ts, date'2024-01-01' effective_date")
-    life = spark.sql("SELECT 1 id, 'B' symbol, 'listing' event_type, date'2020-01-01' effective_date, cast(null as string) reference_symbol")
-    asks = spark.sql("SELECT 'A' symbol, date'2024-02-01' date, array('A') symbol_path, false unresolved")
+    events = spark.sql("SELECT 'TW' market, 'A' symbol, 'merger' event_type, timestamp'2024-06-01' publication_ts, date'2024-01-01' effective_date")
+    life = spark.sql("SELECT 1 id, 'TW' market, 'B' symbol, 'listing' event_type, date'2020-01-01' effective_date, cast(null as string) reference_symbol")
+    asks = spark.sql("SELECT 'TW' market, 'A' symbol, date'2024-02-01' date, array('A') symbol_path, false unresolved")
     assert un.event_clear(asks, events, life, "2024-03-01").first().clear
     assert not un.event_clear(asks, events, life, "2024-06-01").first().clear
     assert not un.event_clear(asks, events, life).first().clear
+
+
+def test_markets_that_share_symbols_stay_apart(spark):
+    life = spark.createDataFrame([
+        (1, "A", "US", "delisting", day("2024-01-10"), None), (2, "B", "US", "ticker_change", day("2024-01-05"), "A"),
+        (3, "B", "TW", "listing", day("2024-01-20"), None)], LIFE)
+    pairs = [(m, s) for m in ("TW", "US") for s in "AB"]
+    names = spark.createDataFrame(pairs, "market string, symbol string")
+    asks = spark.createDataFrame([(m, s, day("2024-01-25")) for m, s in pairs], "market string, symbol string, date date")
+    window = {(r.market, r.symbol): (r.active_start, r.active_end) for r in
+              un.active_window_in_month(names, life, month_start="2024-02-01", month_end="2024-02-29").collect()}
+    month = (day("2024-02-01"), day("2024-02-29"))
+    assert window == {("TW", "A"): month, ("TW", "B"): month, ("US", "A"): (None, None), ("US", "B"): month}
+    known = un.identity_asof(asks, un.identity_intervals(names, life))
+    got = {(r.market, r.symbol): ("".join(r.symbol_path), r.lifecycle_active) for r in known.collect()}
+    assert got == {("TW", "A"): ("A", True), ("TW", "B"): ("B", True), ("US", "A"): ("A", False), ("US", "B"): ("BA", False)}
+    events = spark.createDataFrame([(1, "A", "US", "merger", dt.datetime(2024, 1, 1), day("2024-01-01"))],
+                                   "id long, symbol string, market string, event_type string, publication_ts timestamp, effective_date date")
+    clear = {(r.market, r.symbol): r.clear for r in un.event_clear(known, events, life).collect()}
+    assert clear == {("TW", "A"): True, ("TW", "B"): True, ("US", "A"): False, ("US", "B"): False}
+    profiles = spark.createDataFrame([("US", "B", day("2025-01-01"))], "market string, symbol string, listing_date date")
+    active = {(r.market, r.symbol): r.active for r in un.active_asof_fold(asks, profiles, life).collect()}
+    assert active == {("TW", "A"): True, ("TW", "B"): True, ("US", "A"): False, ("US", "B"): False}
+    bars = asks.withColumn("close", F.lit(1.0)).withColumn("volume", F.lit(1.0))
+    on = bars.select("market", "symbol", "date", F.lit(True).alias("active"))
+    counts = {(r.market, r.symbol): r.event_count_30d for r in fa.cluster_frame(bars, on, events).collect()}
+    assert counts == {("TW", "A"): 0.0, ("TW", "B"): 0.0, ("US", "A"): 1.0, ("US", "B"): 0.0}
+    kpi = ops.kpi_symbol_completeness(names, sp.trading_calendar(bars), life, bars, reference="2024-01-31").collect()
+    assert {(r.market, r.symbols, r.passing) for r in kpi} == {("TW", 2, 2), ("US", 1, 1)}
