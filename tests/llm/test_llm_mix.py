@@ -68,14 +68,55 @@ def plain_nearest(rows, k=10):
     return out
 
 
-def test_small_tables_are_searched_in_full(spark):
+def found(df):
+    out = {}
+    for r in sorted(multi_index.neighbours(df).collect(), key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+def recall(got, want):
+    return sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+
+
+def test_tables_without_structure(spark):
     v = spark.read.parquet(f"{SMALL}/embeddings.parquet")
-    want = plain_nearest(v.select("vec_id", "embedding").collect())
-    got = {}
-    for r in sorted(multi_index.neighbours(v).collect(), key=lambda r: (r.query_id, r.rank)):
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    rows = {r.vec_id: np.array(r.embedding, float) for r in v.collect()}
+    want, got = plain_nearest(list(rows.items())), found(v)
+    assert recall(got, want) >= 0.9
+    for q, near in got.items():
+        assert near == sorted(near, key=lambda x: (x[1], x[0])) and len(near) == 10
+        assert all(np.isclose(s, np.sqrt(((rows[q] - rows[i]) ** 2).sum()), rtol=1e-12) for i, s in near)
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_offset_costs_no_neighbour(spark, offset):
+    rng = np.random.default_rng(9)
+    groups = rng.normal(scale=0.3, size=(20, 6))
+    rows = [(i, [float(x) for x in offset + groups[i % 20] + rng.normal(scale=0.01, size=6)]) for i in range(3000)]
+    got, want = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)), plain_nearest(rows)
     assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
-    assert all(np.isclose(a[1], b[1], rtol=1e-12) for q in got for a, b in zip(got[q], want[q], strict=True))
+
+
+def test_groups_need_few_of_the_rows():
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(200, 16))[:, None] + rng.normal(scale=0.05, size=(200, 100, 16))).reshape(-1, 16)
+    books = [multi_index.codebook(x[:, :8], 32, 1), multi_index.codebook(x[:, 8:], 32, 2), np.zeros(16)]
+    cell = multi_index._cells(x, books)
+    counts = np.bincount(cell, minlength=32 * 32)
+    radii = np.zeros((32 * 32, 2))
+    for k, (half, book) in enumerate(multi_index._halves(x, books)):
+        np.maximum.at(radii[:, k], cell, np.sqrt(((half - book[cell // 32 if k == 0 else cell % 32]) ** 2).sum(axis=1)))
+    looked = []
+    for q in range(0, len(x), 400):
+        first, second = (multi_index.squares(h[q:q + 1], b)[0] for h, b in multi_index._halves(x, books))
+        begun = multi_index.walk(first, second, counts, multi_index.FIRST * len(x))
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        far = np.sort(d[np.isin(cell, begun)])[10]
+        more = multi_index.further_cells(first, second, counts, radii, begun, far, multi_index.SHARE * len(x))
+        assert np.isin(np.argsort(d)[:11], np.flatnonzero(np.isin(cell, [*begun, *more]))).all()
+        looked.append(counts[[*begun, *more]].sum() / len(x))
+    assert np.mean(looked) <= 0.1
 
 
 def test_copies_displace_no_neighbours(spark):
