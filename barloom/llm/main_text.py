@@ -2,7 +2,8 @@
 
 Every element's subtree is hashed (tag, attributes, text and children's hashes). Spark
 counts on how many pages of a host each subtree occurs; subtrees on TEMPLATE_SHARE of a
-host's pages, TEMPLATE_PAGES at least, are the site's template and are deleted. What is
+host's pages are the site's template and are deleted. It takes TEMPLATE_PAGES pages to
+tell: two that share a paragraph may be copies. What is
 furniture by name on a single page, menus, forms, notices and the like, goes too, by
 element, class, id and role. Left is the text of the page's articles, or of its main
 part or body where there is no article.
@@ -27,7 +28,7 @@ from barloom.llm import buffers as bf
 from barloom.llm.stored import stored
 
 TEMPLATE_SHARE = 0.5
-TEMPLATE_PAGES = 10
+TEMPLATE_PAGES = 3
 
 # Elements of HTML by their part in a page, and names that sites give to furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

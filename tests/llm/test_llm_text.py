@@ -202,9 +202,12 @@ def test_site_templates(spark):
     rows = [(i, f"http://A.example.com:80/p/{i}", f"<article><p>Own text {i}</p><p>Follow us everywhere</p></article>", "x") for i in range(20)]
     rows += [(100 + i, "http://b.example.com/", "<article><p>Copied page</p></article>", "x") for i in range(20)]
     rows += [(200 + i, f"http://c.example.com/{i}", f"<article><p>Own {i}</p><p>Follow us everywhere</p></article>", "x") for i in range(5)]
+    rows += [(300 + i, "http://d.example.com/", f"<article><p>Two {i}</p><p>Shared by both</p></article>", "x") for i in range(2)]
+    rows += [(400 + i, "http://e.example.com/", f"<article><p>Page {i}</p><p>{'On half' if i < 3 else f'Own {i}'}</p><p>{'On fewer' if i < 2 else f'Else {i}'}</p></article>", "x") for i in range(6)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string").repartition(3)
     got = {r.page_id: r.text for r in main_text.main_text(df).collect()}
-    assert got[3] == "Own text 3" and got[103] == "Copied page" and got[203] == "Own 3\nFollow us everywhere"
+    assert got[3] == "Own text 3" and got[103] == "Copied page" and got[203] == "Own 3" and got[301] == "Two 1\nShared by both"
+    assert got[400] == "Page 0\nOn fewer" and got[402] == "Page 2\nElse 2" and got[404] == "Page 4\nOwn 4\nElse 4"
 
 
 def test_messy_pages(spark):
