@@ -52,6 +52,7 @@ STRICT_RECIPE = {
         "reward_definition_version": None, "state_definition_version": None,
         "rollout_control_version": None}},
 }
+BY_FIELD = ("extended",)
 SINGLE_SYMBOL = "2330"
 RANGE_DAYS = 1096
 MIN_COVERAGE = 0.95
@@ -62,6 +63,8 @@ FORBIDDEN_PHRASES = (
     "personalized investment advice", "personalized advice", "place order", "order routing",
     "execution route")
 
+BLANKS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
+
 
 def signal_outcome(signals: DataFrame, bars: DataFrame, official: Sequence[str]) -> DataFrame:
     """``signals`` with status and, when resolved, the realised outcome.
@@ -114,10 +117,19 @@ def signal_outcome(signals: DataFrame, bars: DataFrame, official: Sequence[str])
 
 def _differs(expected: Mapping[str, object]) -> Column:
     """Whether a column is another value; lists and mappings are columns of JSON text,
-    where the order of keys does not count and numbers do as they are written."""
+    where the order of keys does not count and numbers do as they are written. In a
+    mapping of BY_FIELD each field is held against its own value: an absent one is null,
+    fields beside the expected ones do not count."""
     out = F.lit(False)
     for name, value in expected.items():
-        if isinstance(value, (dict, list)):
+        if name in BY_FIELD:
+            given = F.try_parse_json(F.col(name))
+            for field, default in value.items():
+                text = F.coalesce(F.to_json(F.try_variant_get(given, f"$.{field}", "variant")),
+                                  F.lit("null"))
+                out = out | (text != F.to_json(F.parse_json(F.lit(json.dumps(default)))))
+            out = out | F.coalesce(~F.schema_of_variant(given).startswith("OBJECT"), F.lit(True))
+        elif isinstance(value, (dict, list)):
             given = F.to_json(F.try_parse_json(F.col(name)))
             out = out | ~given.eqNullSafe(F.to_json(F.parse_json(F.lit(json.dumps(value)))))
         else:
@@ -489,13 +501,55 @@ def review_checks(runs: DataFrame) -> DataFrame:
         for n, c, s in checks])))
 
 
-def forbidden_phrase_scan(texts: DataFrame, *, keys: Sequence[str] = ("run_id",)) -> DataFrame:
-    """(keys, boundary_present): no text holds a forbidden phrase.
-
-    Separators and runs of space count as one space, case does not matter.
-    """
-    plain = F.regexp_replace(F.regexp_replace(F.lower("text"), r"[-_/]+", " "), r"\s+", " ")
+def _holds_phrase(text: Column) -> Column:
     hit = F.lit(False)
     for phrase in FORBIDDEN_PHRASES:
-        hit = hit | plain.contains(phrase)
-    return texts.groupBy(*keys).agg((~F.max(F.coalesce(hit, F.lit(False)))).alias("boundary_present"))
+        hit = hit | text.contains(phrase)
+    return F.coalesce(hit, F.lit(False))
+
+
+def forbidden_phrase_scan(texts: DataFrame, *, keys: Sequence[str] = ("run_id",),
+                          order: str | None = None, slice_rows: int = 4096) -> DataFrame:
+    """(keys, boundary_present): no text holds a forbidden phrase, nor do the texts of a
+    key joined by a space in ``order``, a column of unique integers.
+
+    Separators and runs of space count as one space, case does not matter; NULL and blank
+    texts only add space. Without ``order`` texts are judged one by one. A phrase of w words
+    lies on at most w texts, so of a text only its two ends are looked at by its neighbours,
+    which are found within slices of ``slice_rows`` numbers and then among the slices' first
+    and last texts: a key with very many texts stays spread over tasks.
+    """
+    keys = list(keys)
+    spaced = F.regexp_replace(F.regexp_replace(F.lower("text"), "[-_/]+", " "), BLANKS, " ")
+    plain = texts.select(*keys, *([F.col(order).alias("_at")] if order else []),
+                         F.trim(spaced).alias("_t"))
+    inside = plain.select(*keys, _holds_phrase(F.col("_t")).alias("_hit"))
+    if order:
+        size = max(map(len, FORBIDDEN_PHRASES))
+        reach = max(len(phrase.split()) for phrase in FORBIDDEN_PHRASES) - 1
+        ends = plain.where("_t <> ''").select(
+            *keys, "_at", F.floor(F.col("_at") / slice_rows).alias("_slice"),
+            F.right("_t", F.lit(size)).alias("_tail"),
+            F.struct(F.left("_t", F.lit(size)).alias("head"),
+                     (F.length("_t") <= size).alias("whole")).alias("_head"))
+        near = Window.partitionBy(*keys, "_slice").orderBy("_at")
+        far = Window.partitionBy(*keys).orderBy("_at")
+
+        def following(w: Window) -> list[Column]:
+            return [F.lead("_head", i).over(w).alias(f"_n{i}") for i in range(1, reach + 1)]
+
+        def across(rows: DataFrame) -> DataFrame:
+            text, go_on = F.col("_tail"), F.lit(True)
+            for i in range(1, reach + 1):
+                text = F.concat_ws(" ", text, F.when(go_on, F.col(f"_n{i}.head")))
+                go_on = go_on & F.coalesce(F.col(f"_n{i}.whole"), F.lit(False))
+            return rows.select(*keys, _holds_phrase(text).alias("_hit"))
+
+        local = ends.select("*", *following(near),
+                            F.lag("_at", reach).over(near).isNull().alias("_early"))
+        late = F.col(f"_n{reach}").isNull()
+        edges = local.where(F.col("_early") | late).select(
+            *keys, "_at", "_tail", "_head", late.alias("_late"))
+        outer = edges.select("*", *following(far)).where("_late")
+        inside = inside.unionByName(across(local.where(~late))).unionByName(across(outer))
+    return inside.groupBy(*keys).agg((~F.max("_hit")).alias("boundary_present"))

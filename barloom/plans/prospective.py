@@ -123,6 +123,8 @@ def strict_runs(spark, d):
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
     recipe = {n: v for group in pr.STRICT_RECIPE.values() for n, v in group.items()}
+    # leaves out the fields that are null by default, and has one of its own
+    brief = json.dumps({"note": 1, **{n: v for n, v in recipe["extended"].items() if v is not None}})
     alone = F.when(k % 12 == 7, F.array(F.lit(pr.SINGLE_SYMBOL)))
 
     def text(name, every, other):
@@ -135,7 +137,7 @@ def strict_runs(spark, d):
     return c.select(
         k.alias("run_id"), F.when(k % 2 == 0, "all").when(k % 6 == 1, "solo").otherwise("one").alias("cohort_id"),
         text("features", 37, "[]"), text("model", 41, "no json"), text("direction_model", 43, '{"type": "extra_trees"}'),
-        text("strategy", 47, None), text("baselines", 53, '["buy_and_hold", "momentum"]'), text("extended", 59, "{}"),
+        text("strategy", 47, None), text("baselines", 53, '["buy_and_hold", "momentum"]'), F.when(k % 59 == 0, "{}").when(k % 61 == 0, brief).otherwise(json.dumps(recipe["extended"])).alias("extended"),
         F.when(k % 7 == 0, "failed").otherwise("succeeded").alias("status"),
         F.when(k % 11 == 0, None).otherwise("strict_v1").alias("mode"), basis.alias("basis_date"),
         F.when(k % 13 != 0, F.to_timestamp(basis) + F.expr("INTERVAL 6 HOURS")
@@ -395,12 +397,19 @@ def _(spark, d):
     return pr.review_checks(runs)
 
 
-@query("forbidden_phrase_scan", """SELECT source, lang, NOT bool_or(regexp_matches(regexp_replace(regexp_replace(lower(
-      text || CASE WHEN doc_id % 50 = 0 AND lang = 'en' THEN ' Live--Order' ELSE '' END), '[-_/]+', ' ', 'g'), '\\s+', ' ', 'g'),
-    'broker routing|execution ready|live order|automatic rebalance|portfolio control|account control|personalized investment advice|personalized advice|place order|order routing|execution route'))
+# In German texts a phrase begins at the end of each text and ends at the start of the next.
+@query("forbidden_phrase_scan", """SELECT source, lang, NOT regexp_matches(regexp_replace(regexp_replace(lower(
+      string_agg(CASE WHEN lang = 'de' THEN 'Order ' ELSE '' END || text
+        || CASE WHEN doc_id % 50 = 0 AND lang = 'en' THEN ' Live--Order' WHEN lang = 'de' THEN ' place' ELSE '' END, ' ' ORDER BY doc_id)),
+      '[-_/]+', ' ', 'g'), '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g'),
+    'broker routing|execution ready|live order|automatic rebalance|portfolio control|account control|personalized investment advice|personalized advice|place order|order routing|execution route')
     AS boundary_present FROM documents GROUP BY 1, 2""")
 def _(spark, d):
     docs = table(spark, d, "documents")
-    marked = F.when((F.col("doc_id") % 50 == 0) & (F.col("lang") == "en"), " Live--Order").otherwise("")
-    return pr.forbidden_phrase_scan(docs.select("source", "lang", F.concat("text", marked).alias("text")),
-                                    keys=["source", "lang"])
+    german = F.col("lang") == "de"
+    before = F.when(german, "Order ").otherwise("")
+    after = (F.when((F.col("doc_id") % 50 == 0) & (F.col("lang") == "en"), " Live--Order")
+             .when(german, " place").otherwise(""))
+    return pr.forbidden_phrase_scan(
+        docs.select("doc_id", "source", "lang", F.concat(before, "text", after).alias("text")),
+        keys=["source", "lang"], order="doc_id")

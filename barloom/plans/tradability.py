@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import present
 from barloom.functions.panel import panel
-from barloom.operators import portfolio as pf, tradability as tr, universe as un
+from barloom.operators import (observations as ob, portfolio as pf, tradability as tr, universe as un)
 from barloom.operators.splits import trading_calendar
 from barloom.plans.catalog import query
 from barloom.plans.inputs import (TYPE_REQ, brand_bars, sql, type_bars, type_requests,
                                   type_universe, universe_of)
-from barloom.sources.shared import cut_lineage
+from barloom.sources.shared import cut_lineage, shared_dir
 from barloom.sources.tables import (company_profiles, corporate_events, lifecycle_events, one_market, table)
 
 OFFICIAL = ("exchange_daily",)
@@ -452,3 +454,37 @@ def _(spark, d):
       WHERE share >= 0.05 GROUP BY 1"""))
 def _(spark, d):
     return present(tr.micro_kpi_drift(observations(spark, d), keys=["run_id"]))
+
+
+# A run per customer observes the dates of its orders; every 11th also looks at a second
+# market. All runs are stored, then the odd ones once more as later runs.
+_WATCH = {
+    "cu": """SELECT c_custkey AS k, 'm' || (c_nationkey + 25 * (c_custkey % 16)) AS profile,
+        CASE WHEN c_custkey % 3 = 0 THEN 'US' ELSE 'TW' END AS market FROM customer WHERE c_custkey % 13 <> 0""",
+    "ow": """SELECT o_custkey AS k, CASE WHEN o_custkey % 11 = 0 AND o_orderkey % 2 = 0 THEN 'HK'
+        WHEN o_custkey % 3 = 0 THEN 'US' ELSE 'TW' END AS market, CAST(o_orderdate AS DATE) AS date, o_orderkey AS seq FROM orders""",
+    "sc": """SELECT profile, market, arg_max(k, (CASE WHEN k % 2 = 1 THEN 1000000000000 ELSE 0 END) + k) AS k
+      FROM (SELECT DISTINCT cu.k, profile, coalesce(ow.market, cu.market) AS market FROM cu LEFT JOIN ow USING (k)) GROUP BY 1, 2""",
+}
+
+
+@query("microstructure_store", sql("", """SELECT profile AS monitor_profile_id, market, CAST(date AS VARCHAR) AS trading_date,
+    k AS run_id, max(seq) AS full_universe_count FROM sc JOIN ow USING (k, market) GROUP BY ALL""", **_WATCH))
+def _(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    k = F.col("run_id")
+    runs = c.select(
+        F.col("c_custkey").alias("run_id"),
+        F.when(F.col("c_custkey") % 13 != 0, F.concat(F.lit("m"), F.col("c_nationkey") + 25 * (F.col("c_custkey") % 16)))
+        .alias("monitor_profile_id"),
+        F.when(F.col("c_custkey") % 3 == 0, "US").otherwise("TW").alias("market"), F.col("c_custkey").alias("seq"))
+    rows = o.select(
+        F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("full_universe_count"),
+        F.to_date("o_orderdate").alias("trading_date")).withColumn(
+        "market", F.when((k % 11 == 0) & (F.col("full_universe_count") % 2 == 0), "HK")
+        .when(k % 3 == 0, "US").otherwise("TW"))
+    folder = f"{shared_dir(spark)}/observations-{uuid.uuid4().hex}"
+    ob.store_observations(folder, runs, rows, order="full_universe_count")
+    odd = k % 2 == 1
+    ob.store_observations(folder, runs.where(odd), rows.where(odd), order="full_universe_count")
+    return present(ob.stored_observations(spark, folder))
