@@ -336,6 +336,42 @@ def round_trip_net_return(actual: str | Column, position: str | Column, *,
     return F.when(w > 0, w * ((1.0 + r) * kept - 1.0)).otherwise(F.lit(0.0))
 
 
+# The names that runs give their baselines.
+BASELINES = {"buy_and_hold": baseline_buy_hold, "naive_momentum": baseline_momentum,
+             "ma_crossover": baseline_ma_cross}
+METRICS = ("total_return", "sharpe", "max_drawdown")
+
+
+def baseline_metrics(panel: DataFrame, requests: DataFrame, *, return_target: str, fees: float = 0.0,
+                     slippage: float = 0.0, keys: Sequence[str] = RUN) -> DataFrame:
+    """(keys, baseline, total_return, sharpe, max_drawdown, evaluated): baselines judged as runs are.
+
+    ``panel``: (keys, symbol, date, open, close), every symbol of a run on each of its dates,
+    NULL prices where there is no bar; ``requests``: (keys, baseline). Weights come from the
+    last known closes, then go through the returns, the equity curve and the metrics of the
+    runs themselves, all runs and baselines in one plan. A request whose name is not in BASELINES,
+    whose run has no panel or whose metrics are not finite is a row that is not ``evaluated``.
+    """
+    keys = list(keys)
+    basis = "open" if return_target == "open_to_open" else "close"
+    upto = Window.partitionBy(*keys, "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    filled = panel.select(*keys, "symbol", "date", *[
+        F.last(c, ignorenulls=True).over(upto).alias(c) for c in ("open", "close")])
+    asked = requests.select(*keys, "baseline").distinct()
+    weights = None
+    for name, build in BASELINES.items():
+        runs = asked.where(F.col("baseline") == name).drop("baseline")
+        mine = build(filled.join(runs, keys, "left_semi"), keys=keys).withColumn("baseline", F.lit(name))
+        weights = mine if weights is None else weights.unionByName(mine)
+    priced = weights.join(filled.select(*keys, "symbol", "date", basis), [*keys, "symbol", "date"])
+    both = [*keys, "baseline"]
+    returns = portfolio_returns(priced, return_target=return_target, fees=fees, slippage=slippage, keys=both)
+    metrics = metrics_finite_gate(
+        portfolio_metrics(equity_curve(returns, keys=both), keys=both), METRICS)
+    return asked.join(metrics, both, "left").select(
+        *both, *METRICS, F.coalesce("finite_metrics", F.lit(False)).alias("evaluated"))
+
+
 def baseline_delta(runs: DataFrame, baselines: DataFrame) -> DataFrame:
     """(run_id, total_return, best_baseline, best_return, delta, verdict).
 

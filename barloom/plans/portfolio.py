@@ -237,6 +237,63 @@ def _(spark, d):
                                 net.alias("net")))
 
 
+# Each region's run asks for all baselines but one, and for one that does not exist.
+_ASKED = """SELECT 'run-' || r_regionkey AS run_id, unnest(list_filter(['buy_and_hold', 'naive_momentum', 'ma_crossover', 'none_such'],
+    lambda b: (r_regionkey + length(b)) % 4 <> 1)) AS baseline FROM region"""
+_BASE = {
+    "asked": _ASKED,
+    "fp": """SELECT run_id, date, symbol, last_value(b.open IGNORE NULLS) OVER s AS open, last_value(b.close IGNORE NULLS) OVER s AS close
+      FROM (SELECT DISTINCT run_id, date FROM rscored) JOIN req USING (run_id) LEFT JOIN bars b USING (symbol, date)
+      WINDOW s AS (PARTITION BY run_id, symbol ORDER BY date)""",
+    "fs": """SELECT *, CASE WHEN count(close) OVER a = 5 THEN avg(close) OVER a END AS f5,
+        CASE WHEN count(close) OVER b = 20 THEN avg(close) OVER b END AS f20, close / lag(close) OVER s - 1 AS r
+      FROM fp WINDOW s AS (PARTITION BY run_id, symbol ORDER BY date),
+        a AS (PARTITION BY run_id, symbol ORDER BY date ROWS 4 PRECEDING), b AS (PARTITION BY run_id, symbol ORDER BY date ROWS 19 PRECEDING)""",
+    "fl": """SELECT *, CASE WHEN lag(r) OVER s > 0 THEN 1 ELSE 0 END AS up,
+        CASE WHEN lag(date) OVER s IS NULL THEN NULL WHEN lag(f5) OVER s > lag(f20) OVER s THEN 1 ELSE 0 END AS above
+      FROM fs WINDOW s AS (PARTITION BY run_id, symbol ORDER BY date)""",
+    "wl": """SELECT run_id || '/' || baseline AS run_id, symbol, date, open, coalesce(CASE baseline WHEN 'buy_and_hold' THEN 1e0 / n
+        WHEN 'naive_momentum' THEN up * 1e0 / greatest(ups, 1) ELSE above * 1e0 / greatest(coalesce(aboves, 0), 1) END, 0) AS weight
+      FROM (SELECT *, count(*) OVER x AS n, sum(up) OVER x AS ups, sum(above) OVER x AS aboves FROM fl WINDOW x AS (PARTITION BY run_id, date))
+      JOIN asked USING (run_id) WHERE baseline <> 'none_such'""",
+    "bl": """SELECT *, coalesce(lag(weight) OVER s, 0e0) AS held, open / lag(open) OVER s - 1 AS move FROM wl
+      WINDOW s AS (PARTITION BY run_id, symbol ORDER BY date)""",
+    "bret": """SELECT run_id, date, sum(coalesce(held * move, 0)) - sum(abs(weight - held)) * 0.003e0 AS ret FROM bl GROUP BY 1, 2""",
+    "beq": EQUITY_SQL.format("bret"),
+    "bst": METRICS_SQL["st"].replace("FROM eq", "FROM beq"), "bmet": METRICS_SQL["met"].replace("FROM st", "FROM bst"),
+}
+
+
+def run_panel(spark, d):
+    """Every requested symbol on each date its run has scores, with its prices if any."""
+    dates = run_scores(spark, d).select("run_id", "date").distinct()
+    cells = dates.join(run_requests(spark, d).select("run_id", "symbol"), "run_id")
+    return cells.join(brand_bars(spark, d).select("symbol", "date", "open", "close"), ["symbol", "date"], "left")
+
+
+def run_baselines(spark, d):
+    names = F.array(*[F.lit(b) for b in (*pf.BASELINES, "none_such")])
+    asked = table(spark, d, "region").select(F.concat(F.lit("run-"), "r_regionkey").alias("run_id"), F.explode(
+        F.filter(names, lambda b: (F.col("r_regionkey") + F.length(b)) % 4 != 1)).alias("baseline"))
+    return pf.baseline_metrics(run_panel(spark, d), asked, return_target="open_to_open", fees=0.002, slippage=0.001)
+
+
+@query("baseline_metrics", sql(RUN_SCORES, f"""SELECT a.run_id, a.baseline, {_MET}, m.run_id IS NOT NULL AS evaluated
+    FROM asked a LEFT JOIN bmet m ON m.run_id = a.run_id || '/' || a.baseline""", **_BASE))
+def _(spark, d):
+    return present(run_baselines(spark, d))
+
+
+@query("baseline_comparison", sql(_EQ, """SELECT run_id, round(total_return, 6) AS total_return, best_baseline,
+    round(best_return, 6) AS best_return, round(total_return - best_return, 6) + 0 AS delta,
+    CASE WHEN best_return IS NULL THEN 'unavailable' WHEN total_return - best_return >= 0 THEN 'ahead' ELSE 'behind' END AS verdict
+    FROM met LEFT JOIN (SELECT split_part(run_id, '/', 1) AS run_id, arg_max(split_part(run_id, '/', 2), total_return) AS best_baseline,
+      max(total_return) AS best_return FROM bmet GROUP BY 1) USING (run_id)""", **METRICS_SQL, **_BASE))
+def _(spark, d):
+    judged = run_baselines(spark, d).where("evaluated")
+    return present(pf.baseline_delta(run_metrics(spark, d), judged))
+
+
 @query("baseline_delta", sql("", """SELECT run_id, round(total_return, 6) AS total_return, best_baseline,
     round(best_return, 6) AS best_return, round(total_return - best_return, 6) + 0 AS delta,
     CASE WHEN best_return IS NULL THEN 'unavailable' WHEN total_return - best_return >= 0 THEN 'ahead'
