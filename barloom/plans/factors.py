@@ -11,7 +11,7 @@ from barloom.plans.inputs import brand_bars, sql, universe_of
 from barloom.plans.tradability import BUNI, PROFILES_SQL, brand_life, corp_sql, life_sql
 from barloom.sources.tables import company_profiles, corporate_events, one_market, table
 
-_SRC = {**BUNI, "life": life_sql(25, 97), "corp": corp_sql(25, 7), "prof": PROFILES_SQL}
+_SRC = {**BUNI, "life": life_sql(25), "corp": corp_sql(25), "prof": PROFILES_SQL}
 _Z = "CAST(date AS VARCHAR) AS date"
 
 
@@ -20,7 +20,7 @@ def profiles(spark, d):
 
 
 def brand_events(spark, d):
-    return corporate_events(spark, d, universe_of(spark, d), 25, 7)
+    return corporate_events(spark, d, universe_of(spark, d), 25)
 
 
 _UNION = """SELECT 'company_profile' AS source_record_type, symbol, listing_date AS effective_date,

@@ -157,15 +157,15 @@ def _(spark, d):
 
 
 def peer_snapshots(spark, d):
-    """A value per (brand, date) from orders, every third day of the month."""
-    o = table(spark, d, "orders").where(F.dayofmonth("o_orderdate") % 3 == 0)
+    """A value per (brand, date) from orders."""
+    o = table(spark, d, "orders")
     return o.groupBy(F.concat(F.lit("Brand#"), F.col("o_custkey") % 25 + 1).alias("symbol"),
                      F.to_date("o_orderdate").alias("date")).agg(
         F.count(F.lit(1)).cast("double").alias("peer_count"))
 
 
 _PEER_SNAP = """SELECT 'Brand#' || (o_custkey % 25 + 1) AS symbol, CAST(o_orderdate AS DATE) AS date,
-  CAST(count(*) AS DOUBLE) AS peer_count FROM orders WHERE day(o_orderdate) % 3 = 0 GROUP BY 1, 2"""
+  CAST(count(*) AS DOUBLE) AS peer_count FROM orders GROUP BY 1, 2"""
 
 
 @query("attach_peer_features", sql("bars", f"""SELECT symbol, CAST(date AS VARCHAR) AS date,
@@ -187,12 +187,11 @@ def _(spark, d):
 
 @query("ffill_panel", sql("bars cal", """SELECT symbol, CAST(date AS VARCHAR) AS date,
     round(last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date), 6) AS close
-    FROM (SELECT DISTINCT symbol FROM bars) CROSS JOIN cal LEFT JOIN bars USING (symbol, date)
-    WHERE idx % 5 = 0"""))
+    FROM (SELECT DISTINCT symbol FROM bars) CROSS JOIN cal LEFT JOIN bars USING (symbol, date)"""))
 def _(spark, d):
     from barloom.functions.panel import panel
     bars = brand_bars(spark, d).withColumn("market", one_market("symbol"))
-    cal = sp.trading_calendar(bars).where("idx % 5 = 0")
+    cal = sp.trading_calendar(bars)
     cells = panel(bars.select("market", "symbol").distinct(), cal).select("symbol", "date")
     return present(ft.ffill_panel(cells, bars, ["close"]))
 

@@ -79,7 +79,7 @@ def _(spark, d):
   FROM (SELECT symbol, (SELECT count(*) FROM bars b WHERE b.symbol = aw.symbol AND b.date BETWEEN a0 AND a1) /
       (SELECT count(DISTINCT date) FROM bars WHERE date BETWEEN a0 AND a1)::DOUBLE AS s
     FROM aw WHERE a1 >= a0 AND EXISTS (SELECT 1 FROM bars WHERE date BETWEEN a0 AND a1))""",
-    **BUNI, life=life_sql(25, 13), mo="SELECT max(date) AS last, date_trunc('month', max(date))::DATE AS first FROM bars WHERE date <= DATE '1999-03-20'",
+    **BUNI, life=life_sql(25), mo="SELECT max(date) AS last, date_trunc('month', max(date))::DATE AS first FROM bars WHERE date <= DATE '1999-03-20'",
     aw="""SELECT symbol, any_value(s) AS a0, coalesce(min(effective_date) FILTER (event_type = 'delisting' AND effective_date >= s AND effective_date <= last) - 1, any_value(last)) AS a1
       FROM (SELECT symbol, last, CASE WHEN prior = 'delisting' THEN relist ELSE first END AS s FROM (
         SELECT u.symbol, any_value(last) AS last, any_value(first) AS first,
@@ -89,7 +89,7 @@ def _(spark, d):
 def _(spark, d):
     bars = brand_bars(spark, d).withColumn("market", one_market("symbol"))
     w = universe_of(spark, d).select(one_market("symbol").alias("market"), "symbol")
-    return present(ops.kpi_symbol_completeness(w, trading_calendar(bars), brand_life(spark, d, 13), bars,
+    return present(ops.kpi_symbol_completeness(w, trading_calendar(bars), brand_life(spark, d), bars,
                                                reference="1999-03-20"))
 
 

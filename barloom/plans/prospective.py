@@ -18,13 +18,13 @@ from barloom.sources.tables import one_market, table
 OFFICIAL = ("exchange_daily",)
 _Z = "CAST(date AS VARCHAR) AS date"
 
-# One frozen run per 20th market date: the date's scored brands, top-5 positions.
+# One frozen run per market date: the date's scored brands, top-5 positions.
 _FROZEN = {
-    "fz": """SELECT 'run-' || CAST(date AS VARCHAR) AS run_id, CASE WHEN idx % 40 = 0 THEN 'one' ELSE 'two' END AS cohort_id,
+    "fz": """SELECT 'run-' || CAST(date AS VARCHAR) AS run_id, CASE WHEN idx % 2 = 0 THEN 'one' ELSE 'two' END AS cohort_id,
         date AS basis_date, symbol, 0.01e0 * score AS score, CASE WHEN (volume + idx) % 97 = 0 THEN 2 ELSE p END AS up_probability,
         CASE WHEN score >= 0.25e0 AND rk <= 5 THEN 1e0 / sum(CASE WHEN score >= 0.25e0 AND rk <= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY date) ELSE 0 END AS position
       FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score >= 0.25e0 DESC, score DESC, position) AS rk
-        FROM scored JOIN cal USING (date) WHERE score IS NOT NULL AND idx % 20 = 0)""",
+        FROM scored JOIN cal USING (date) WHERE score IS NOT NULL)""",
     "nx": """SELECT upper(symbol) AS sym, date, source, open, symbol,
         row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM bars""",
     "oc0": """SELECT f.*, (SELECT min(n.i) FROM nx n WHERE n.symbol = f.symbol AND n.date > f.basis_date) AS i1,
@@ -44,13 +44,12 @@ _PRE = SCORES + " cal"
 
 def frozen_signals(spark, d):
     scored = scored_bars(spark, d).where("score IS NOT NULL")
-    cal = trading_calendar(brand_bars(spark, d).withColumn("market", one_market("symbol"))).where(
-        "idx % 20 = 0").drop("market")
+    cal = trading_calendar(brand_bars(spark, d).withColumn("market", one_market("symbol"))).drop("market")
     s = scored.join(cal, "date").withColumn("run_id", F.concat(F.lit("run-"), F.col("date").cast("string")))
     w = topn_weights(s, threshold=0.25, top_n=5).withColumnRenamed("weight", "weight_")
     j = s.join(w.select("run_id", "date", "symbol", F.col("weight_").alias("w")), ["run_id", "date", "symbol"])
     return j.select(
-        "run_id", F.when(F.col("idx") % 40 == 0, "one").otherwise("two").alias("cohort_id"),
+        "run_id", F.when(F.col("idx") % 2 == 0, "one").otherwise("two").alias("cohort_id"),
         F.col("date").alias("basis_date"), "symbol", (F.col("score") * 0.01).alias("score"),
         F.when((F.col("volume") + F.col("idx")) % 97 == 0, 2.0).otherwise(F.col("p")).alias("up_probability"),
         F.col("w").alias("position"), "idx")

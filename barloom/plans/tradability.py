@@ -25,23 +25,21 @@ BUNI = {"uni": "SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS positi
 TUNI = {"uni": TYPE_REQ["tuni"]}
 
 
-def life_sql(slots, every):
+def life_sql(slots):
     return f"""SELECT o_orderkey AS id, u.symbol, 'TW' AS market,
       CASE o_orderstatus WHEN 'O' THEN 'listing' WHEN 'F' THEN 'delisting' ELSE 'ticker_change' END AS event_type,
       CAST(o_orderdate AS DATE) AS effective_date,
       CASE WHEN o_orderstatus NOT IN ('O', 'F') AND o_orderkey % 5 <> 0 THEN v.symbol END AS reference_symbol
-    FROM orders JOIN uni u ON u.position = o_custkey % {slots} JOIN uni v ON v.position = (o_custkey + 1) % {slots}
-    WHERE o_orderkey % {every} = 0"""
+    FROM orders JOIN uni u ON u.position = o_custkey % {slots} JOIN uni v ON v.position = (o_custkey + 1) % {slots}"""
 
 
-def corp_sql(slots, every):
+def corp_sql(slots):
     return f"""SELECT o_orderkey AS id, symbol, 'TW' AS market,
-      CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'merger' WHEN '2' THEN 'delisting'
+      CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN CASE WHEN CAST(o_orderdate AS DATE) >= DATE '1998-01-01' THEN 'merger' ELSE 'cash_dividend' END WHEN '2' THEN 'delisting'
         WHEN '3' THEN 'cash_dividend' WHEN '4' THEN 'ticker_change' ELSE 'listing_status_change' END AS event_type,
       o_orderdate AS publication_ts,
       CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_orderdate AS DATE) + 2 END AS effective_date
-    FROM orders JOIN uni ON position = o_custkey % {slots} WHERE o_orderkey % {every} = 0
-      AND (substr(o_orderpriority, 1, 1) <> '1' OR o_orderkey % {5 * every} = 0)"""
+    FROM orders JOIN uni ON position = o_custkey % {slots}"""
 
 
 PROFILES_SQL = """SELECT symbol, 'TW' AS market, CASE WHEN n_regionkey % 2 = 0 THEN 'TWSE' ELSE 'TPEX' END AS exchange,
@@ -138,16 +136,16 @@ def _(spark, d):
     return un.active_universe(profiles)
 
 
-def brand_life(spark, d, every=97):
-    return lifecycle_events(spark, d, universe_of(spark, d), 25, every)
+def brand_life(spark, d):
+    return lifecycle_events(spark, d, universe_of(spark, d), 25)
 
 
-def type_life(spark, d, every=97):
-    return lifecycle_events(spark, d, type_universe(spark, d), 6, every)
+def type_life(spark, d):
+    return lifecycle_events(spark, d, type_universe(spark, d), 6)
 
 
-def type_events(spark, d, every=199):
-    return corporate_events(spark, d, type_universe(spark, d), 6, every)
+def type_events(spark, d):
+    return corporate_events(spark, d, type_universe(spark, d), 6)
 
 
 @query("archive_symbols_asof", sql("bars", """SELECT DISTINCT market, symbol FROM (
@@ -157,7 +155,7 @@ def type_events(spark, d, every=199):
       FROM life WHERE effective_date <= DATE '1997-06-30' GROUP BY 1, 2) WHERE t = 'listing'
     UNION ALL SELECT CASE WHEN symbol < 'Brand#2' THEN 'TW' ELSE 'US' END, symbol FROM bars
       WHERE date <= DATE '1997-06-30' AND symbol >= 'Brand#2')""",
-    **BUNI, life=life_sql(25, 97), prof=PROFILES_SQL))
+    **BUNI, life=life_sql(25), prof=PROFILES_SQL))
 def _(spark, d):
     bars = brand_bars(spark, d).withColumn(
         "market", F.when(F.col("symbol") < "Brand#2", "TW").otherwise("US"))
@@ -171,7 +169,7 @@ def _(spark, d):
         arg_max(l.event_type, row(l.effective_date, l.id)) FILTER (l.event_type <> 'ticker_change') AS last
       FROM bars b LEFT JOIN prof p USING (symbol)
       LEFT JOIN life l ON l.symbol = b.symbol AND l.effective_date <= b.date GROUP BY 1, 2)""",
-    **BUNI, life=life_sql(25, 97), prof=PROFILES_SQL))
+    **BUNI, life=life_sql(25), prof=PROFILES_SQL))
 def _(spark, d):
     return present(un.active_asof_fold(
         brand_bars(spark, d).withColumn("market", one_market("symbol")), company_profiles(spark, d, universe_of(spark, d)),
@@ -188,17 +186,17 @@ def _(spark, d):
           AND event_type <> 'ticker_change') AS prior,
         min(effective_date) FILTER (effective_date BETWEEN DATE '1999-03-01' AND DATE '1999-03-31'
           AND event_type = 'listing') AS relist FROM uni u LEFT JOIN life USING (symbol) GROUP BY 1))
-    LEFT JOIN life USING (symbol) GROUP BY 1)""", **BUNI, life=life_sql(25, 13)))
+    LEFT JOIN life USING (symbol) GROUP BY 1)""", **BUNI, life=life_sql(25)))
 def _(spark, d):
     return present(un.active_window_in_month(
-        universe_of(spark, d).withColumn("market", one_market("symbol")), brand_life(spark, d, 13), month_start="1999-03-01",
+        universe_of(spark, d).withColumn("market", one_market("symbol")), brand_life(spark, d), month_start="1999-03-01",
         month_end="1999-03-31").drop("market"))
 
 
 # Identity on every market date of the part types, by a walk per date.
 _IDENT = {
     "cal": "SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM tbars)",
-    "life": life_sql(6, 97),
+    "life": life_sql(6),
     "st": """SELECT u.symbol, c.date, arg_max(event_type, row(effective_date, id)) AS kind,
         arg_max(coalesce(reference_symbol, ''), row(effective_date, id)) AS succ
       FROM uni u CROSS JOIN cal c LEFT JOIN life l ON l.symbol = u.symbol AND l.effective_date <= c.date
@@ -247,17 +245,20 @@ def _(spark, d):
 
 
 _CLEAR = {
-    "corp": corp_sql(6, 199),
+    "corp": corp_sql(6),
     "ev": "SELECT symbol, event_type, coalesce(effective_date, CAST(publication_ts AS DATE)) AS e FROM corp",
-    "blk": """SELECT DISTINCT s.symbol, s.date FROM st s JOIN ev ON ev.symbol = s.symbol AND ev.e <= s.date
-      WHERE event_type = 'merger'
-        OR (event_type = 'delisting' AND NOT EXISTS (SELECT 1 FROM life l WHERE l.symbol = s.symbol
-          AND l.event_type = 'delisting' AND l.effective_date BETWEEN ev.e AND s.date))
-        OR (event_type = 'listing_status_change' AND NOT EXISTS (SELECT 1 FROM life l WHERE l.symbol = s.symbol
-          AND l.event_type IN ('listing', 'delisting') AND l.effective_date BETWEEN ev.e AND s.date))
-        OR (event_type = 'ticker_change' AND coalesce((SELECT arg_max(coalesce(reference_symbol, ''), row(effective_date, id))
-          FROM life l WHERE l.symbol = s.symbol AND l.event_type = 'ticker_change'
-          AND l.effective_date BETWEEN ev.e AND s.date), '') = '')""",
+    # The latest notice of a kind is the last one to be settled, so it alone decides.
+    "said": """SELECT s.symbol, s.date, count(*) FILTER (event_type = 'merger') AS mergers,
+        max(e) FILTER (event_type = 'delisting') AS dl, max(e) FILTER (event_type = 'listing_status_change') AS ls,
+        max(e) FILTER (event_type = 'ticker_change') AS tc
+      FROM st s JOIN ev ON ev.symbol = s.symbol AND ev.e <= s.date GROUP BY 1, 2""",
+    "done": """SELECT s.symbol, s.date, max(effective_date) FILTER (event_type = 'delisting') AS dl,
+        max(effective_date) FILTER (event_type IN ('listing', 'delisting')) AS ls, max(effective_date) FILTER (event_type = 'ticker_change') AS tc,
+        arg_max(coalesce(reference_symbol, ''), row(effective_date, id)) FILTER (event_type = 'ticker_change') AS ref
+      FROM st s JOIN life l ON l.symbol = s.symbol AND l.effective_date <= s.date GROUP BY 1, 2""",
+    "blk": """SELECT s.symbol, s.date FROM said s LEFT JOIN done d USING (symbol, date)
+      WHERE mergers > 0 OR s.dl > coalesce(d.dl, DATE '0001-01-01') OR s.ls > coalesce(d.ls, DATE '0001-01-01')
+        OR (s.tc IS NOT NULL AND (s.tc > coalesce(d.tc, DATE '0001-01-01') OR coalesce(d.ref, '') = ''))""",
     "clr": """SELECT symbol, date, NOT unresolved AND bad = 0 AS clear FROM (
       SELECT i.symbol, i.date, any_value(i.unresolved) AS unresolved, count(b.symbol) AS bad
       FROM (SELECT symbol, date, unresolved, unnest(path) AS p FROM ident) i

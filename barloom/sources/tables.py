@@ -89,13 +89,12 @@ def universe(bars: DataFrame) -> DataFrame:
         "symbol", F.col("position").cast("bigint").alias("position"))
 
 
-def lifecycle_events(spark: SparkSession, sf_dir: str, names: DataFrame, slots: int,
-                     every: int = 97) -> DataFrame:
-    """(id, symbol, market, event_type, effective_date, reference_symbol).
+def lifecycle_events(spark: SparkSession, sf_dir: str, names: DataFrame, slots: int) -> DataFrame:
+    """(id, symbol, market, event_type, effective_date, reference_symbol), one per order.
 
     ``names`` is (symbol, position); an order belongs to position custkey % slots.
     """
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % every == 0)
+    o = table(spark, sf_dir, "orders")
     kind = (F.when(F.col("o_orderstatus") == "O", "listing")
             .when(F.col("o_orderstatus") == "F", "delisting")
             .otherwise("ticker_change"))
@@ -111,13 +110,17 @@ def lifecycle_events(spark: SparkSession, sf_dir: str, names: DataFrame, slots:
         "reference_symbol")
 
 
-def corporate_events(spark: SparkSession, sf_dir: str, names: DataFrame, slots: int,
-                     every: int = 7) -> DataFrame:
-    """(id, symbol, market, event_type, publication_ts, effective_date)."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % every == 0)
+def corporate_events(spark: SparkSession, sf_dir: str, names: DataFrame, slots: int) -> DataFrame:
+    """(id, symbol, market, event_type, publication_ts, effective_date), one per order.
+
+    An urgent order is a merger from 1998 on and a dividend before: a merger blocks
+    its symbol for good.
+    """
+    o = table(spark, sf_dir, "orders")
     p = F.substring("o_orderpriority", 1, 1)
-    o = o.where((p != "1") | (F.col("o_orderkey") % (5 * every) == 0))
-    kind = (F.when(p == "1", "merger").when(p == "2", "delisting")
+    late = F.to_date("o_orderdate") >= F.lit("1998-01-01").cast("date")
+    kind = (F.when(p == "1", F.when(late, "merger").otherwise("cash_dividend"))
+            .when(p == "2", "delisting")
             .when(p == "3", "cash_dividend").when(p == "4", "ticker_change")
             .otherwise("listing_status_change"))
     return o.select(
