@@ -19,7 +19,7 @@ explode_payload_records validate_daily_bars upsert_daily_by_source_rank dedupe_c
 minute_gap_segments factor_panel cluster_frame peer_overlay audit_sample signal_outcome cost_consistency
 strict_run_issues latest_signal_snapshot parameter_sensitivity review_checks run_comparison
 kpi_symbol_completeness recovery_drill_result symbol_readiness tick_restore_windows order_screening
-stream_tick_landing stream_minute_upsert""".split()
+stream_tick_landing stream_minute_upsert baseline_metrics microstructure_store""".split()
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else FAMILIES
 
 
