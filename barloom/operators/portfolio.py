@@ -23,6 +23,8 @@ DEFAULT_TOP_N = 10
 DEFAULT_BUNDLE = "research_spec_v1"
 TRADING_DAYS = 252
 
+TIE = 1e-12
+
 
 def _eligible(threshold, probabilities: str | None, p_min) -> Column:
     score = finite("score")
@@ -152,7 +154,8 @@ def baseline_ma_cross(panel: DataFrame, *, short: int = 5, long: int = 20,
                       keys: Sequence[str] = RUN) -> DataFrame:
     """Equal weight where SMA(short) > SMA(long) on the previous row.
 
-    The first date has a NULL weight (no order); warm-up dates after it are 0.
+    The first date has a NULL weight (no order); warm-up dates after it are 0. Averages
+    within TIE of each other are equal: on a flat price only rounding tells them apart.
     """
     order = Window.partitionBy(*keys, "symbol").orderBy("date")
 
@@ -161,7 +164,7 @@ def baseline_ma_cross(panel: DataFrame, *, short: int = 5, long: int = 20,
         return F.when(F.count("close").over(frame) == w, F.avg("close").over(frame))
 
     p = panel.select(*keys, "date", "symbol",
-                     F.coalesce(sma(short) > sma(long), F.lit(False)).alias("_x"))
+                     F.coalesce(sma(short) - sma(long) > TIE * F.abs(sma(long)), F.lit(False)).alias("_x"))
     return _equal_among(p.withColumn("_s", F.lag("_x").over(order)), "_s", keys)
 
 

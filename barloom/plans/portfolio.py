@@ -115,7 +115,7 @@ def _(spark, d):
     **_PANEL, m1=f"""SELECT *, CASE WHEN count(close) OVER a = 2 THEN avg(close) OVER a END AS f,
       CASE WHEN count(close) OVER b = 6 THEN avg(close) OVER b END AS g FROM pn
       WINDOW a AS ({_SER} ROWS 1 PRECEDING), b AS ({_SER} ROWS 5 PRECEDING)""",
-    m2="SELECT *, CASE WHEN f > g THEN 1 ELSE 0 END AS x FROM m1",
+    m2="SELECT *, CASE WHEN f - g > 1e-12 * abs(g) THEN 1 ELSE 0 END AS x FROM m1",
     m3=f"SELECT *, lag(x) OVER ({_SER}) AS s FROM m2"))
 def _(spark, d):
     return present(pf.baseline_ma_cross(_panel(spark, d), short=2, long=6))
@@ -250,7 +250,7 @@ _BASE = {
       FROM fp WINDOW s AS (PARTITION BY run_id, symbol ORDER BY date),
         a AS (PARTITION BY run_id, symbol ORDER BY date ROWS 4 PRECEDING), b AS (PARTITION BY run_id, symbol ORDER BY date ROWS 19 PRECEDING)""",
     "fl": """SELECT *, CASE WHEN lag(r) OVER s > 0 THEN 1 ELSE 0 END AS up,
-        CASE WHEN lag(date) OVER s IS NULL THEN NULL WHEN lag(f5) OVER s > lag(f20) OVER s THEN 1 ELSE 0 END AS above
+        CASE WHEN lag(date) OVER s IS NULL THEN NULL WHEN lag(f5 - f20 > 1e-12 * abs(f20)) OVER s THEN 1 ELSE 0 END AS above
       FROM fs WINDOW s AS (PARTITION BY run_id, symbol ORDER BY date)""",
     "wl": """SELECT run_id || '/' || baseline AS run_id, symbol, date, open, coalesce(CASE baseline WHEN 'buy_and_hold' THEN 1e0 / n
         WHEN 'naive_momentum' THEN up * 1e0 / greatest(ups, 1) ELSE above * 1e0 / greatest(coalesce(aboves, 0), 1) END, 0) AS weight
