@@ -2,9 +2,12 @@
 
 ``Window.partitionBy(run)`` over every prediction of a run sends that run to a
 single task. Here each group is first collapsed to distinct ordering values
-(map-side combined), then cut into quantile buckets. A window runs per (group,
-bucket); one short row per bucket carries the total of the buckets before it.
-Results are exact: the cuts only decide where work is placed.
+(map-side combined), then cut into ranges of about ``bucket_rows`` values at
+sketched quantiles. A window runs per (group, range); one short row per range carries
+the total of the ranges before it. Results are exact: the cuts only decide where work
+is placed. A sketch depends on the order in which its parts arrive, so the cuts are
+stored before their two readers use them: a task that runs again places its rows as
+before.
 """
 
 from __future__ import annotations
@@ -13,7 +16,20 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 64
+from barloom.sources.shared import cut_lineage
+
+BUCKET_ROWS = 1 << 16
+MOST_BUCKETS = 1024
+SALTS = 16
+
+
+def _cut_points(order: str, n: Column, buckets: int, bucket_rows: int) -> Column:
+    """At most ``buckets`` - 1 quantiles of a group, so many that ``bucket_rows`` values lie between."""
+    grid = F.percentile_approx(F.col(order), [i / buckets for i in range(1, buckets)], 10 * buckets)
+    wanted = F.least(F.lit(buckets), F.ceil(n / F.lit(bucket_rows))).cast("int")
+    chosen = F.transform(F.sequence(F.lit(1), F.greatest(wanted - 1, F.lit(1))), lambda i: F.get(
+        grid, F.floor(i * F.lit(buckets) / wanted).cast("int") - 1))
+    return F.when(wanted > 1, F.array_distinct(chosen)).otherwise(F.slice(grid, 1, 0))
 
 
 def running_totals(
@@ -22,25 +38,29 @@ def running_totals(
     keys: Sequence[str],
     order: str,
     sums: Mapping[str, Column],
-    buckets: int = BUCKETS,
+    buckets: int = MOST_BUCKETS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Per distinct ``order`` value: each sum, and its total over smaller values.
 
     Output: keys, order, and for each name ``s``: ``s``, ``s_before``, ``s_all``.
-    Rows with a NULL key or order are left out. Every use of the collapsed rows
-    reads the same columns, so their exchange is built once and reused.
+    Rows with a NULL key or order are left out. The collapsed rows and the cuts are
+    stored, so ``df`` is computed once. Values find their group's cuts by (key, salt):
+    a group with most of the values is read by ``SALTS`` tasks where the cuts are too
+    many to broadcast.
     """
     keys = list(keys)
     names = list(sums)
     known = df.dropna(subset=[*keys, order])
-    steps = known.groupBy(*keys, order).agg(*[sums[s].alias(s) for s in names])
-    cut_points = [i / buckets for i in range(1, buckets)]
-    cuts = steps.groupBy(*keys).agg(
-        F.percentile_approx(F.col(order), cut_points, 10 * buckets).alias("_cuts"),
-        *[F.sum(s).alias(f"{s}_all") for s in names])
-    placed = steps.join(cuts, keys).select(
+    steps = cut_lineage(known.groupBy(*keys, order).agg(*[sums[s].alias(s) for s in names]))
+    cuts = cut_lineage(steps.groupBy(*keys).agg(
+        _cut_points(order, F.count(F.lit(1)), buckets, bucket_rows).alias("_cuts"),
+        *[F.sum(s).alias(f"{s}_all") for s in names]))
+    salted = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = steps.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")).join(
+        salted, [*keys, "_salt"]).select(
         *keys, order, *names, *[f"{s}_all" for s in names],
-        F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(order))).alias("_bucket"))
+        F.size(F.filter("_cuts", lambda c: c < F.col(order))).alias("_bucket"))
     per_bucket = placed.groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(s) for s in names])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -58,16 +78,6 @@ def running_totals(
         *[f"{s}_all" for s in names])
 
 
-def average_ranks(df: DataFrame, *, keys: Sequence[str], value: str, rank: str,
-                  weight: str) -> DataFrame:
-    """(keys, value, rank) with ties sharing the mean of their positions; a row
-    stands for ``weight`` equal ones."""
-    totals = running_totals(df, keys=keys, order=value, sums={"n": F.sum(weight)})
-    return totals.select(
-        *keys, value,
-        (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).cast("double").alias(rank))
-
-
 def positions(df: DataFrame, *, keys: Sequence[str], order: Sequence[str],
               slice_by: Column, name: str = "pos") -> DataFrame:
     """0-based position per key, computed slice by slice.

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.columns import count_true, finite, ratio, ratio_or_zero
-from barloom.functions.prefix import average_ranks, running_totals
+from barloom.functions.prefix import running_totals
+from barloom.sources.shared import cut_lineage
 
 RUN = ("run_id",)
 
@@ -41,17 +42,28 @@ def linear_ic(points: DataFrame, *, keys: Sequence[str] = RUN) -> DataFrame:
 def rank_ic(points: DataFrame, *, keys: Sequence[str] = RUN) -> DataFrame:
     """Spearman correlation, tied values sharing their average rank.
 
-    Equal (actual, predicted) pairs collapse first. Ranks come from bucketed
-    totals; their mean is (n+1)/2, so the correlation needs plain sums only.
+    Equal (actual, predicted) pairs collapse first. Both sides are ranked in one pass, as
+    two groups of a run; their mean is (n+1)/2, so the correlation needs plain sums only.
     """
     keys = list(keys)
     pairs = _pairs(points, "actual", "predicted", keys)
-    weighted = pairs.groupBy(*keys, "actual", "predicted").agg(F.count(F.lit(1)).alias("_n"))
-    ra = average_ranks(weighted, keys=keys, value="actual", rank="_ra", weight="_n")
-    rp = average_ranks(weighted, keys=keys, value="predicted", rank="_rp", weight="_n")
-    mean = weighted.groupBy(*keys).agg(((F.sum("_n") + 1) / F.lit(2.0)).alias("_m"))
-    j = weighted.join(ra, [*keys, "actual"]).join(rp, [*keys, "predicted"]).join(mean, keys)
-    x, y, n = F.col("_ra") - F.col("_m"), F.col("_rp") - F.col("_m"), F.col("_n")
+    weighted = cut_lineage(pairs.groupBy(*keys, "actual", "predicted").agg(
+        F.count(F.lit(1)).alias("_n")))
+    sides = weighted.select(*keys, "_n", F.inline(F.array(*[
+        F.struct(F.lit(side).alias("_side"), F.col(c).cast("double").alias("_v"))
+        for side, c in enumerate(("actual", "predicted"))])))
+    totals = running_totals(sides, keys=[*keys, "_side"], order="_v", sums={"n": F.sum("_n")})
+    # twice the distance of a tie's mean position from the middle of all positions
+    off = (2 * F.col("n_before") + F.col("n") - F.col("n_all")) / F.lit(2.0)
+    places = totals.select(*keys, "_side", "_v", off.alias("_off"))
+
+    def of(side: int, value: str, name: str) -> DataFrame:
+        return places.where(F.col("_side") == side).select(
+            *keys, F.col("_v").alias(value), F.col("_off").alias(name))
+
+    j = weighted.join(of(0, "actual", "_x"), [*keys, "actual"]).join(
+        of(1, "predicted", "_y"), [*keys, "predicted"])
+    x, y, n = F.col("_x"), F.col("_y"), F.col("_n")
     return j.groupBy(*keys).agg(F.when(F.sum(n) > 1, finite(ratio(
         F.sum(n * x * y), F.sqrt(F.sum(n * x * x)) * F.sqrt(F.sum(n * y * y)))))
         .alias("rank_ic"))

@@ -306,32 +306,38 @@ def explode_payload_records(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The record list sits under one of the wrapper keys, at most four levels
     down; keys are tried in order and the first path to a list with at least one
-    object wins. A node carries its path as digits, so the least path is the
-    first one found depth first.
+    object wins. A body is parsed once, to a VARIANT; the levels below are lookups in
+    it. A node carries its path as digits, so the least path is the first one found
+    depth first. A null body, one that is no JSON and one with a key twice in an object
+    are failures. Records are JSON text with keys in order and numbers by value.
     """
     def node(path: Column, body: Column) -> Column:
-        return F.struct(path.alias("path"), F.trim(body).alias("body"))
+        return F.struct(path.alias("path"), body.alias("body"))
 
     def children(n: Column) -> Column:
         return F.filter(F.array(*[
-            node(F.concat(n["path"], F.lit(str(i))),
-                 F.when(n["body"].startswith("{"), F.get_json_object(n["body"], f"$.{k}")))
+            node(F.concat(n["path"], F.lit(str(i))), F.try_variant_get(n["body"], f"$.{k}", "variant"))
             for i, k in enumerate(RECORD_KEYS)]), lambda c: c["body"].isNotNull())
 
-    def objects(body: Column) -> Column:
-        return F.filter(F.from_json(body, "array<string>"),
-                        lambda e: F.trim(e).startswith("{"))
+    def elements(body: Column) -> Column:
+        return F.try_variant_get(body, "$", "array<variant>")
 
-    p = payloads.select("id", F.array(node(F.lit(""), F.col("payload_body"))).alias("_all"))
-    p = p.withColumn("_level", F.col("_all"))
+    def is_object(text: Column) -> Column:
+        return text.startswith("{")
+
+    p = payloads.select("id", F.try_parse_json("payload_body").alias("_body"))
+    p = p.withColumn("_level", F.array(node(F.lit(""), F.col("_body"))))
+    p = p.withColumn("_all", F.col("_level"))
     for _ in range(4):
         p = p.withColumn("_level", F.flatten(F.transform("_level", children)))
         p = p.withColumn("_all", F.concat("_all", "_level"))
-    hits = F.filter("_all", lambda n: n["body"].startswith("[") & (F.size(objects(n["body"])) > 0))
-    p = p.select("id", F.array_min(hits).alias("_hit"))
-    records = p.where("_hit IS NOT NULL").select("id", F.posexplode(
-        objects(F.col("_hit.body"))).alias("ordinal", "record"))
-    return records, p.where("_hit IS NULL").select(
+    hits = F.filter("_all", lambda n: F.exists(elements(n["body"]), lambda e: is_object(F.to_json(e))))
+    p = p.select("id", "_all", F.array_min(F.transform(hits, lambda n: n["path"])).alias("_path"))
+    found = F.filter("_all", lambda n: n["path"] == F.col("_path"))
+    records = p.where("_path IS NOT NULL").select("id", F.posexplode(F.filter(
+        F.transform(elements(F.get(found, F.lit(0))["body"]), lambda e: F.to_json(e)), is_object))
+        .alias("ordinal", "record"))
+    return records, p.where("_path IS NULL").select(
         F.col("id").alias("raw_payload_id"), F.lit("no record list").alias("issue"))
 
 

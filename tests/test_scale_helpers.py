@@ -26,7 +26,7 @@ def hot():
 
 def test_running_totals(spark, hot):
     out = running_totals(spark.createDataFrame(hot), keys=["g"], order="v",
-                         sums={"w": F.sum("w")}, buckets=8).toPandas()
+                         sums={"w": F.sum("w")}, buckets=8, bucket_rows=9).toPandas()
     want = hot.groupby(["g", "v"]).w.sum().reset_index()
     want["before"] = want.groupby("g").w.cumsum() - want.w
     j = out.merge(want, on=["g", "v"])
