@@ -2,8 +2,10 @@
 
 A byte goes when a string of ``length`` bytes that covers it also starts earlier in
 the corpus (smaller doc_id, or earlier in the same document). LPF[i] is the length of
-the longest string at i that also starts at an earlier position; it is found beside i
-in suffix order, at the previous or the next entry of smaller position.
+the longest string at i that also starts at an earlier position. Of all earlier positions
+the previous and the next one of smaller position in suffix order share most with i, so
+LPF[i] is the greater of two common prefixes (counted up to ``length``), and a window
+goes where it is ``length``.
 
 One suffix array of a corpus fits no task, so it is built in parts that cannot miss a
 match. Every window of ``length`` bytes is filed under the least hash of its inner
@@ -11,7 +13,10 @@ match. Every window of ``length`` bytes is filed under the least hash of its inn
 share a key. Neighbouring windows with one key form a piece. Pieces that are equal as
 a whole need no sorting between them (the first is the dictionary entry, later ones are
 its copies); where a key has several different pieces, or a piece repeats its key inside,
-the suffixes of the entries are sorted and LPF is read off.
+the suffixes of the entries are sorted and LPF is read off. A key of more than ``HOT``
+different pieces (a phrase in very many surroundings) is filed again under a second key,
+the least of other hashes of the same inner strings, and copies within a chunk go there
+and then, so no task gets all texts that hold one phrase.
 
 Shuffles: keys of pieces (about 22 bytes per 35 bytes of text, copies within a chunk
 combined before), the text of documents that need sorting, and their pieces.
@@ -32,9 +37,12 @@ from barloom.llm.stored import stored
 LENGTH = 100
 INNER = 32
 LONGEST_PIECE = 128
+HOT = 4096
+BLOCK = 64
+_OTHER = np.uint64(0x9E3779B97F4A7C15)
 _WEIGHTS = bf._table(21, 16) | np.uint64(1)
 
-FOUND = "doc_id long, detail boolean, start long, size long, code long"
+FOUND = "doc_id long, detail boolean, start long, size long, code long, hot boolean"
 SPANS = "doc_id long, start long, size long"
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -62,6 +70,16 @@ def least_of(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[:len(h) - (width - step)], h[width - step:]) if width > step else h
 
 
+def piece_codes(h: np.ndarray, edges: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """What stands for all bytes of the pieces at ``edges``, from the hashes ``h`` of inner strings."""
+    size = windows + LENGTH - 1
+    code = size.astype(np.uint64) * _WEIGHTS[10] + h[edges + size - INNER] * _WEIGHTS[11]
+    for j in range((LONGEST_PIECE + LENGTH - 1) // INNER):
+        at = np.flatnonzero(size >= (j + 1) * INNER)
+        code[at] += h[edges[at] + j * INNER] * (_WEIGHTS[j] ^ np.uint64(0x5555555555555554))
+    return bf.mix(code)
+
+
 def cut_pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, key, code, whether its key may be met twice inside) of
     each piece; code stands for all its bytes."""
@@ -91,18 +109,14 @@ def cut_pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         edges = np.repeat(edges, parts) + again * LONGEST_PIECE
         windows = np.minimum(np.repeat(windows, parts) - again * LONGEST_PIECE, LONGEST_PIECE)
         text = np.repeat(text, parts)
-    size = windows + LENGTH - 1
-    code = size.astype(np.uint64) * _WEIGHTS[10] + h[edges + size - INNER] * _WEIGHTS[11]
-    for j in range((LONGEST_PIECE + LENGTH - 1) // INNER):
-        at = np.flatnonzero(size >= (j + 1) * INNER)
-        code[at] += h[edges[at] + j * INNER] * (_WEIGHTS[j] ^ np.uint64(0x5555555555555554))
+    code = piece_codes(h, edges, windows)
     # positions that are the least of a window; the same value at two of them in a row
     width = LENGTH - INNER + 1
     around = np.concatenate([np.zeros(width - 1, np.uint64), key, np.zeros(width - 1, np.uint64)])
     chosen = np.flatnonzero(h == ~least_of(~around, width))
     again = (h[chosen[1:]] == h[chosen[:-1]]) & (np.diff(chosen) < LONGEST_PIECE + width)
     twice = np.isin(key[edges], np.unique(h[chosen[:-1][again]])) if again.any() else np.zeros(len(edges), bool)
-    return text, edges - off[text], windows, key[edges], bf.mix(code), twice
+    return text, edges - off[text], windows, key[edges], code, twice
 
 
 def _cut(buckets: int):
@@ -122,7 +136,7 @@ def _cut(buckets: int):
             o, at = bf.by_bucket(bucket, buckets)
             kept = [a[first][o] for a in (key, code, doc, start.astype(np.int32), (windows - 1 + 128 * twice).astype(np.uint8))]
             gone_doc, gone_at, gone_size = merged(doc[copy], start[copy], windows[copy] + LENGTH - 1)
-            o2, at2 = bf.by_bucket(gone_doc % buckets, buckets)
+            o2, at2 = bf.by_bucket(bf.spread(bf.mix(gone_doc.view(np.uint64)), buckets), buckets)
             gone = [gone_doc[o2], gone_at[o2].astype(np.int32), gone_size[o2].astype(np.int32)]
             used = np.flatnonzero((np.diff(at) > 0) | (np.diff(at2) > 0))
             yield pa.RecordBatch.from_pydict({
@@ -148,27 +162,32 @@ def merged(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return doc[at], start[at], (reach - rank * far)[last] - start[at]
 
 
-def _match(table: pa.Table) -> pa.Table:
+def _match(hot_pieces: int):
     """Of each key met twice or more: later copies of an equal piece go, differing first pieces need sorting."""
-    key, code, doc, start, windows, gone_doc, gone_at, gone_size = bf.unpack_all(table["block"])
-    twice, windows = windows >= 128, (windows & 127).astype(np.int64) + 1
-    o = np.argsort(key)
-    at = bf.groups(key[o])
-    several = np.repeat(np.diff(at) > 1, np.diff(at))
-    o = o[several | twice[o]]
-    o = o[np.lexsort((start[o], doc[o], code[o], key[o]))]
-    key, code, doc, start, windows, twice = (a[o] for a in (key, code, doc, start, windows, twice))
-    copy = np.zeros(len(key), bool)
-    copy[1:] = (key[1:] == key[:-1]) & (code[1:] == code[:-1])
-    firsts = np.flatnonzero(~copy)
-    at = bf.groups(key[firsts])
-    differ = firsts[np.repeat(np.diff(at) > 1, np.diff(at)) | twice[firsts]]
-    cd, cs, cz = merged(np.append(doc[copy], gone_doc), np.append(start[copy], gone_at).astype(np.int64),
-                        np.append(windows[copy] + LENGTH - 1, gone_size))
-    n, m = len(cd), len(differ)
-    return pa.table({"doc_id": np.append(cd, doc[differ]), "detail": np.append(np.zeros(n, bool), np.ones(m, bool)),
-                     "start": np.append(cs, start[differ]), "size": np.append(cz, windows[differ]),
-                     "code": np.append(np.zeros(n, np.int64), key[differ].view(np.int64))})
+    def run(table: pa.Table) -> pa.Table:
+        key, code, doc, start, windows, gone_doc, gone_at, gone_size = bf.unpack_all(table["block"])
+        twice, windows = windows >= 128, (windows & 127).astype(np.int64) + 1
+        o = np.argsort(key)
+        at = bf.groups(key[o])
+        several = np.repeat(np.diff(at) > 1, np.diff(at))
+        o = o[several | twice[o]]
+        o = o[np.lexsort((start[o], doc[o], code[o], key[o]))]
+        key, code, doc, start, windows, twice = (a[o] for a in (key, code, doc, start, windows, twice))
+        copy = np.zeros(len(key), bool)
+        copy[1:] = (key[1:] == key[:-1]) & (code[1:] == code[:-1])
+        firsts = np.flatnonzero(~copy)
+        at = bf.groups(key[firsts])
+        several = np.repeat(np.diff(at), np.diff(at))
+        sorts = (several > 1) | twice[firsts]
+        differ, hot = firsts[sorts], several[sorts] > hot_pieces
+        cd, cs, cz = merged(np.append(doc[copy], gone_doc), np.append(start[copy], gone_at).astype(np.int64),
+                            np.append(windows[copy] + LENGTH - 1, gone_size))
+        n, m = len(cd), len(differ)
+        return pa.table({"doc_id": np.append(cd, doc[differ]), "detail": np.append(np.zeros(n, bool), np.ones(m, bool)),
+                         "start": np.append(cs, start[differ]), "size": np.append(cz, windows[differ]),
+                         "code": np.append(np.zeros(n, np.int64), key[differ].view(np.int64)),
+                         "hot": np.append(np.zeros(n, bool), hot)})
+    return run
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -179,21 +198,48 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, dict[str, np.n
     return sizes, {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
 
 
+def cut_again(h: np.ndarray, begin: np.ndarray, windows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(piece, windows before it in the piece, windows, key) of the parts of pieces whose windows
+    share a second key too; equal windows of one key share both."""
+    second = least_of(bf.mix(h ^ _OTHER), LENGTH - INNER + 1)
+    piece = np.repeat(np.arange(len(windows)), windows)
+    within = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
+    k = second[begin[piece] + within]
+    at = bf.groups(piece, k)
+    first = at[:-1]
+    return piece[first], within[first], np.diff(at), bf.mix(key[piece[first]] ^ bf.mix(k[first]))
+
+
 def _fetch(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in bf.text_chunks(batches):
             sizes, f = _lists(rows, "pieces")
             text = np.repeat(np.arange(len(sizes)), sizes)
-            doc, size = bf.longs(rows, "doc_id")[text], f["size"] + LENGTH - 1
-            begin = off[text] + f["start"]
-            key = f["code"].view(np.uint64)
+            doc, start, windows = bf.longs(rows, "doc_id")[text], f["start"], f["size"]
+            key, hot = f["code"].view(np.uint64), f["hot"].astype(bool)
+            gone = [np.zeros(0, np.int64)] * 3
+            if hot.any():
+                h, x = inner_hashes(data), np.flatnonzero(hot)
+                piece, before, parts, again = cut_again(h, (off[text] + start)[x], windows[x], key[x])
+                d, t, b = doc[x][piece], start[x][piece] + before, text[x][piece]
+                code = piece_codes(h, off[b] + t, parts)
+                o = np.lexsort((t, d, code, again))
+                copy = np.zeros(len(o), bool)
+                copy[1:] = (again[o][1:] == again[o][:-1]) & (code[o][1:] == code[o][:-1])
+                gone = merged(d[o[copy]], t[o[copy]], parts[o[copy]] + LENGTH - 1)
+                first = o[~copy]
+                doc, start, windows, key, text = (np.append(a[~hot], c[first]) for a, c in (
+                    (doc, d), (start, t), (windows, parts), (key, again), (text, b)))
+            begin, size = off[text] + start, windows + LENGTH - 1
             o, at = bf.by_bucket(bf.spread(key, buckets), buckets)
-            blocks, used = [], np.flatnonzero(np.diff(at) > 0)
+            o2, at2 = bf.by_bucket(bf.spread(bf.mix(gone[0].view(np.uint64)), buckets), buckets)
+            blocks, used = [], np.flatnonzero((np.diff(at) > 0) | (np.diff(at2) > 0))
             for b in used:
-                x = o[at[b]:at[b + 1]]
+                x, y = o[at[b]:at[b + 1]], o2[at2[b]:at2[b + 1]]
                 s = size[x]
                 from_ = np.repeat(begin[x] - np.cumsum(s) + s, s) + np.arange(s.sum())
-                blocks.append(bf.pack(doc[x], f["start"][x].astype(np.int32), s.astype(np.int32), data[from_]))
+                blocks.append(bf.pack(doc[x], start[x].astype(np.int32), s.astype(np.int32), data[from_],
+                                      gone[0][y], gone[1][y].astype(np.int32), gone[2][y].astype(np.int32)))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "block": pa.array(blocks, pa.binary())})
     return run
 
@@ -223,34 +269,92 @@ def _dense(values: np.ndarray) -> np.ndarray:
     return r
 
 
-def repeats_earlier(rank: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which windows have LPF of at least their whole length.
+def nearest_smaller(p: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value to the left of each value, -1 where there is none.
 
-    In suffix order, equal windows by position, the previous entry of smaller position
-    of a window is the one before it if both are equal; for the first of equal windows
-    both neighbours of smaller position are other strings. The same position met twice
-    (through two pieces) is one.
+    Values nearby one by one; further off, blocks are passed over by their least values, in
+    steps of powers of two.
     """
-    o = np.lexsort((start, doc, rank))
-    rank, doc, start = rank[o], doc[o], start[o]
-    new = np.append(True, rank[1:] != rank[:-1]) if len(rank) else np.zeros(0, bool)
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(rank)), 0)) if len(rank) else np.zeros(0, np.int64)
-    later = (doc != doc[lead]) | (start != start[lead])
-    out = np.zeros(len(rank), bool)
-    out[o] = later
+    out = np.full(len(p), -1)
+    todo = np.arange(len(p))
+    for d in range(1, BLOCK):
+        todo = todo[todo >= d]
+        hit = p[todo - d] < p[todo]
+        out[todo[hit]] = todo[hit] - d
+        todo = todo[~hit]
+        if not len(todo):
+            return out
+    least = [np.minimum.reduceat(p, np.arange(0, len(p), BLOCK))]
+    while 2 << len(least) - 1 <= len(least[0]):
+        half, last = 1 << len(least) - 1, least[-1]
+        wide = last.copy()
+        wide[half:] = np.minimum(last[half:], last[:-half])
+        least.append(wide)
+    block = todo // BLOCK - 1
+    for k in reversed(range(len(least))):
+        over = np.flatnonzero(block + 1 >= 1 << k)
+        over = over[least[k][block[over]] >= p[todo[over]]]
+        block[over] -= 1 << k
+    todo, block = todo[block >= 0], block[block >= 0]
+    for d in range(1, BLOCK + 1):
+        at = (block + 1) * BLOCK - d
+        hit = p[at] < p[todo]
+        out[todo[hit]] = at[hit]
+        todo, block = todo[~hit], block[~hit]
+    return out
+
+
+def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Leading bytes that the strings at ``a`` and ``b`` share, up to ``length``, eight at a time."""
+    padded = np.append(data, np.zeros(length + 8, np.uint8))
+    eight = np.ndarray((len(data) + length,), "<u8", padded, 0, (1,))
+    out, live = np.full(len(a), length), np.arange(len(a))
+    for j in range(0, length, 8):
+        x = eight[a[live] + j] ^ eight[b[live] + j]
+        other = np.flatnonzero(x)
+        low = x[other] & (~x[other] + np.uint64(1))
+        out[live[other]] = np.minimum(length, j + np.log2(low.astype(np.float64)).astype(np.int64) // 8)
+        live = np.delete(live, other)
     return out
 
 
+def previous_factors(data: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """LPF of the strings of ``length`` bytes at the places ``at`` of ``data``, up to ``length``.
+
+    (doc, start) are their positions in the corpus; one that is met twice is one. In suffix
+    order, equal strings by position, each looks at the nearest entry of smaller position
+    on either side.
+    """
+    lpf = np.zeros(len(at), np.int64)
+    if not len(at):
+        return lpf
+    by_place = np.lexsort((start, doc))
+    new = np.append(False, (np.diff(doc[by_place]) != 0) | (np.diff(start[by_place]) != 0))
+    place = np.empty(len(at), np.int64)
+    place[by_place] = np.cumsum(new)
+    o = np.lexsort((place, suffix_ranks(data, length)[at]))
+    p, x = place[o], at[o]
+    found = np.zeros(len(o), np.int64)
+    before = nearest_smaller(p)
+    i = np.flatnonzero(before >= 0)
+    found[i] = common_prefix(data, x[i], x[before[i]], length)
+    after = len(p) - 1 - nearest_smaller(p[::-1])[::-1]
+    i = np.flatnonzero((after < len(p)) & (found < length))
+    found[i] = np.maximum(found[i], common_prefix(data, x[i], x[after[i]], length))
+    lpf[o] = found
+    return lpf
+
+
 def _sort_suffixes(table: pa.Table) -> pa.Table:
-    doc, start, size, data = bf.unpack_all(table["block"])
-    rank = suffix_ranks(data, LENGTH)
+    doc, start, size, data, *spans = bf.unpack_all(table["block"])
     windows = size - LENGTH + 1
     piece = np.repeat(np.arange(len(size)), windows)
     within = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = (np.cumsum(size) - size)[piece] + within
     d, s = doc[piece], start[piece] + within
-    gone = repeats_earlier(rank[at], d, s)
-    d, s, z = merged(d[gone], s[gone].astype(np.int64), np.full(int(gone.sum()), LENGTH, np.int64))
+    gone = previous_factors(data, at, d, s, LENGTH) >= LENGTH
+    d, s, z = merged(np.append(d[gone], spans[0]), np.append(s[gone], spans[1]).astype(np.int64),
+                     np.append(np.full(int(gone.sum()), LENGTH, np.int64), spans[2]))
     return pa.table({"doc_id": d, "start": s, "size": z})
 
 
@@ -291,9 +395,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), bf.whole_text())
     found = stored(
         docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_cut(buckets), "bucket int, block binary")
-        .groupBy("bucket").applyInArrow(_match, FOUND), "repeated-pieces")
+        .groupBy("bucket").applyInArrow(_match(HOT), FOUND), "repeated-pieces")
     pieces = (found.where("detail").groupBy("doc_id")
-              .agg(F.collect_list(F.struct("start", "size", "code")).alias("pieces")))
+              .agg(F.collect_list(F.struct("start", "size", "code", "hot")).alias("pieces")))
     sorted_ = (docs.join(pieces, "doc_id").mapInArrow(_fetch(buckets), "bucket int, block binary")
                .groupBy("bucket").applyInArrow(_sort_suffixes, SPANS))
     return found.where("NOT detail").select("doc_id", "start", "size").unionByName(sorted_)

@@ -53,6 +53,47 @@ def test_suffix_ranks_are_byte_order():
     assert [a < b for a, b in zip(rank, rank[1:], strict=False)] == [a < b for a, b in zip(strings, strings[1:], strict=False)]
 
 
+def test_nearest_smaller_matches_a_scan():
+    rng = np.random.default_rng(1)
+    for n, high in [(0, 1), (1, 5), (63, 9), (64, 1), (65, 70), (300, 4), (900, 10**6), (1000, 1)]:
+        for p in (rng.integers(0, high, n), np.arange(n), np.arange(n)[::-1], np.append(np.arange(5, 5 + n), [0, 3])):
+            want = [max((j for j in range(i) if p[j] < p[i]), default=-1) for i in range(len(p))]
+            assert suffix_dedup.nearest_smaller(p).tolist() == want
+
+
+@pytest.mark.parametrize("letters", [1, 2, 4])
+def test_previous_factors_match_all_pairs(letters):
+    rng = np.random.default_rng(letters)
+    texts = [bytes(rng.integers(97, 97 + letters, rng.integers(12, 60))) for _ in range(8)] + [b"abcabcabc" * 4, b"\0" * 20 + b"\xff" * 20]
+    texts += [texts[3], texts[0][:15] + texts[5]]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    off = np.cumsum([0, *map(len, texts)])
+    ids = rng.permutation(len(texts))  # documents do not lie in the order of their ids
+    where = [(d, i) for d, t in enumerate(texts) for i in range(len(t) - 11)]
+    at, doc, start = (np.array(x) for x in zip(*[(off[d] + i, ids[d], i) for d, i in where], strict=True))
+    got = suffix_dedup.previous_factors(data, at, doc, start, 12)
+    strings = [texts[d][i:i + 12] for d, i in where]
+    share = lambda a, b: next((k for k in range(12) if a[k] != b[k]), 12)
+    place = list(zip(doc.tolist(), start.tolist(), strict=True))
+    want = [max((share(a, b) for b, y in zip(strings, place, strict=True) if y < x), default=0) for a, x in zip(strings, place, strict=True)]
+    assert got.tolist() == want
+
+
+def test_phrase_in_many_surroundings(spark, monkeypatch):
+    """One key of many pieces, cut by second keys, gives the spans of all windows."""
+    rng = random.Random(4)
+    phrase, longer = prose(rng, 12)[:60], prose(rng, 60)[:240]
+    rows = [(i, f"{prose(rng, 8)} {phrase} {prose(rng, 8)} {longer if i % 3 else longer[:130]} {prose(rng, rng.randint(0, 30))}") for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)] + [(200, longer * 3)]
+    cut = []
+    for hot in (0, 8, 4096):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        cut.append({r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()})
+    want = {d: (n, g, s, hashlib.sha256(k).hexdigest()) for d, (n, g, s, k) in plain_repeats(rows).items()}
+    assert cut == [want] * 3
+
+
 def test_repeats_of_messy_rows(spark):
     got = suffix_dedup.remove_repeats(messy(spark)).collect()
     by = {r.doc_id: r for r in got if r.doc_id is not None}
