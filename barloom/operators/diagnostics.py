@@ -119,16 +119,16 @@ def diagnostics_completeness(requested: DataFrame, outputs: DataFrame) -> DataFr
     one row per evaluated symbol, ``reason`` set when its model was unavailable.
     """
     joined = requested.join(outputs, ["run_id", "symbol"], "left")
-    told = F.when(F.col("reason").isNotNull(),
-                  F.concat_ws(": ", F.col("symbol"), F.col("reason")))
+    told = F.when(F.col("reason").isNotNull(), F.struct(
+        "symbol", F.concat_ws(": ", F.col("symbol"), F.col("reason")).alias("text")))
     g = joined.groupBy("run_id").agg(
-        F.concat_ws("; ", F.sort_array(F.collect_list(told))).alias("_told"),
+        F.concat_ws("; ", F.sort_array(F.collect_list(told))["text"]).alias("_told"),
         count_true(F.col("rows").isNull() & F.col("reason").isNull()).alias("_absent"),
         count_true(F.col("rows") == 0).alias("_empty"))
     reason = (F.when(F.col("_told") != "", F.col("_told"))
               .when(F.col("_absent") > 0,
-                    "Direction model was not evaluated for the complete symbol universe.")
-              .when(F.col("_empty") > 0, "Direction model produced no evaluable holdout rows."))
+                    "some requested symbols have no direction result")
+              .when(F.col("_empty") > 0, "a symbol has no holdout row to judge"))
     return g.select("run_id", F.when(reason.isNull(), "evaluated").otherwise("not_evaluated")
                     .alias("evaluation_status"), reason.alias("status_reason"))
 
@@ -143,8 +143,8 @@ def holdout_confirmation(requested: DataFrame, scores: DataFrame) -> tuple[DataF
                .where(F.coalesce("_n", F.lit(0)) == 0)
                .groupBy("run_id").agg(F.sort_array(F.collect_set("symbol")).alias("_symbols")))
     warnings = missing.select("run_id", F.concat(
-        F.lit("Direction confirmation unavailable for "), F.array_join("_symbols", ", "),
-        F.lit("; hybrid backtest positions were held at zero.")).alias("warning"))
+        F.lit("no probability of a rise for "), F.array_join("_symbols", ", "),
+        F.lit(": the run takes no positions")).alias("warning"))
     gated = scores.join(missing, "run_id", "left").withColumn(
         "probability", F.when(F.col("_symbols").isNull(), F.col("probability"))).drop("_symbols")
     return gated, warnings
@@ -186,8 +186,8 @@ def validation_summary(plan: DataFrame, fold_metrics: DataFrame, metrics: Sequen
         ok = ok & finite(m).isNotNull()
     j = plan.join(fold_metrics.withColumn("_have", F.lit(True)), ["run_id", "fold"], "left")
     why = (F.when(F.col("issue").isNotNull(), F.col("issue"))
-           .when(F.col("_have").isNull(), "Validation split is incomplete on common dates.")
-           .when(~ok, "Validation backtest produced empty or non-finite metrics."))
+           .when(F.col("_have").isNull(), "a fold has no dates that all symbols share")
+           .when(~ok, "a metric of a fold is absent or not finite"))
     g = j.withColumn("_why", why).groupBy("run_id").agg(
         F.min(F.when(F.col("_why").isNotNull(), F.struct("fold", "_why"))).alias("_first"),
         *[F.avg(m).alias(m) for m in metrics])

@@ -88,21 +88,21 @@ def run_comparison(runs: DataFrame, *, group: str = "group_id") -> tuple[DataFra
     dims = {
         "dataset": (sig("market", F.array_sort("symbols").alias("s"), "range_start", "range_end"),
                     _absent("market", "range_start", "range_end") | (F.size("symbols") <= 0),
-                    "Dataset differs", "blocker"),
+                    "other data", "blocker"),
         "target": (sig("return_target", "horizon_days"), _absent("return_target", "horizon_days"),
-                   "Target differs", "blocker"),
+                   "other target", "blocker"),
         "features": (sig(F.array_sort("features").alias("f")), F.size("features") <= 0,
-                     "Feature set differs", "note"),
+                     "other features", "note"),
         "model config": (F.coalesce("model", F.lit("N/A")), _absent("model"),
-                         "Model config differs", "note"),
+                         "other model", "note"),
         "cost basis": (sig("fees", "slippage", "execution_cost_model_version"),
                        _absent("fees", "slippage", "execution_cost_model_version"),
-                       "Backtest assumptions differ", "blocker"),
+                       "other costs or prices", "blocker"),
         "price basis": (F.coalesce("price_basis_version", F.lit("N/A")),
-                        _absent("price_basis_version"), "Backtest assumptions differ", "blocker"),
+                        _absent("price_basis_version"), "other costs or prices", "blocker"),
         "missing-feature policy": (sig("missing_policy_state", "missing_policy_version"),
                                    _absent("missing_policy_state", "missing_policy_version"),
-                                   "Missing-feature policy differs", "blocker"),
+                                   "other rule for missing values", "blocker"),
     }
     aggs = []
     for i, (signature, absent, _label, _sev) in enumerate(dims.values()):
@@ -116,7 +116,7 @@ def run_comparison(runs: DataFrame, *, group: str = "group_id") -> tuple[DataFra
         return F.when(when, F.struct(F.lit(label).alias("label"), F.lit(severity).alias("severity"),
                                      detail.alias("detail")))
 
-    rows = [finding(F.size(holes) > 0, "Comparison details incomplete", "blocker",
+    rows = [finding(F.size(holes) > 0, "fields absent", "blocker",
                     F.array_join(holes, ", "))]
     for i, (name, (_s, _a, label, severity)) in enumerate(dims.items()):
         rows.append(finding(F.col(f"_a{i}") != F.col(f"_b{i}"), label, severity, F.lit(name)))

@@ -145,8 +145,8 @@ def _(spark, d):
 
 @query("holdout_confirmation", sql(RUN_SCORES, """SELECT run_id, symbol,
     CAST(date AS VARCHAR) AS date, CASE WHEN bad IS NULL THEN round(pr, 6) END AS probability, warning
-  FROM prb LEFT JOIN (SELECT run_id, true AS bad, 'Direction confirmation unavailable for ' ||
-      string_agg(symbol, ', ' ORDER BY symbol) || '; hybrid backtest positions were held at zero.' AS warning
+  FROM prb LEFT JOIN (SELECT run_id, true AS bad, 'no probability of a rise for ' ||
+      string_agg(symbol, ', ' ORDER BY symbol) || ': the run takes no positions' AS warning
     FROM (SELECT run_id, symbol FROM prb GROUP BY 1, 2 HAVING count(pr) = 0) GROUP BY 1) USING (run_id)""",
     prb="""SELECT run_id, symbol, date, CASE WHEN symbol = 'Brand#7' AND run_id IN ('run-1', 'run-2')
       THEN NULL ELSE p END AS pr FROM rscored"""))
@@ -197,7 +197,7 @@ _VAL = {
 
 @query("validation_summary", sql("tbars", """SELECT run_id,
     CASE WHEN nf = 3 THEN 'evaluated' ELSE 'not_evaluated' END AS evaluation_status,
-    CASE WHEN nf = 3 THEN NULL ELSE 'Validation split is incomplete on common dates.' END AS status_reason,
+    CASE WHEN nf = 3 THEN NULL ELSE 'a fold has no dates that all symbols share' END AS status_reason,
     CASE WHEN nf = 3 THEN round(total_return, 6) END AS total_return,
     CASE WHEN nf = 3 THEN round(sharpe, 6) END AS sharpe,
     CASE WHEN nf = 3 THEN round(max_drawdown, 6) END AS max_drawdown

@@ -86,12 +86,12 @@ def compared_runs(spark, d):
 
 _CMP = """SELECT s_suppkey // 4 AS g, count(*) FILTER (s_suppkey % 4 = 1) AS o, count(*) AS n FROM supplier GROUP BY 1"""
 _FIND = """SELECT g AS group_id, label, severity, detail FROM (
-    SELECT g, 'Comparison details incomplete' AS label, 'blocker' AS severity, 'model config' AS detail FROM cg WHERE o > 0 AND g % 11 = 0
-    UNION ALL SELECT g, 'Dataset differs', 'blocker', 'dataset' FROM cg WHERE o > 0 AND n > 1 AND g % 3 = 0
-    UNION ALL SELECT g, 'Target differs', 'blocker', 'target' FROM cg WHERE o > 0 AND n > 1 AND g % 5 = 0
-    UNION ALL SELECT g, 'Feature set differs', 'note', 'features' FROM cg WHERE o > 0 AND n > 1 AND g % 7 = 0
-    UNION ALL SELECT g, 'Model config differs', 'note', 'model config' FROM cg WHERE o > 0 AND n > 1 AND g % 11 = 0
-    UNION ALL SELECT g, 'Backtest assumptions differ', 'blocker', 'cost basis' FROM cg WHERE o > 0 AND n > 1 AND g % 2 = 0
+    SELECT g, 'fields absent' AS label, 'blocker' AS severity, 'model config' AS detail FROM cg WHERE o > 0 AND g % 11 = 0
+    UNION ALL SELECT g, 'other data', 'blocker', 'dataset' FROM cg WHERE o > 0 AND n > 1 AND g % 3 = 0
+    UNION ALL SELECT g, 'other target', 'blocker', 'target' FROM cg WHERE o > 0 AND n > 1 AND g % 5 = 0
+    UNION ALL SELECT g, 'other features', 'note', 'features' FROM cg WHERE o > 0 AND n > 1 AND g % 7 = 0
+    UNION ALL SELECT g, 'other model', 'note', 'model config' FROM cg WHERE o > 0 AND n > 1 AND g % 11 = 0
+    UNION ALL SELECT g, 'other costs or prices', 'blocker', 'cost basis' FROM cg WHERE o > 0 AND n > 1 AND g % 2 = 0
     UNION ALL SELECT g, 'WINDOW_ONLY', CASE WHEN g % 2 = 0 THEN 'note' ELSE 'blocker' END, 'caveat' FROM cg WHERE o > 0 AND g % 6 = 1)"""
 
 
