@@ -362,3 +362,16 @@ def test_markets_that_share_symbols_stay_apart(spark):
     assert counts == {("TW", "A"): 0.0, ("TW", "B"): 0.0, ("US", "A"): 1.0, ("US", "B"): 0.0}
     kpi = ops.kpi_symbol_completeness(names, sp.trading_calendar(bars), life, bars, reference="2024-01-31").collect()
     assert {(r.market, r.symbols, r.passing) for r in kpi} == {("TW", 2, 2), ("US", 1, 1)}
+
+
+def test_many_events_of_a_day_block_once(spark):
+    text = "market string, symbol string, event_type string, publication_ts timestamp, effective_date date"
+    kinds = ("delisting", "listing_status_change", "ticker_change", "cash_dividend")
+    rows = [("TW", "A", k, dt.datetime(2024, 1, 1), d) for k in kinds for d in days(30)]
+    events = spark.createDataFrame(rows, text).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("_copy")
+    life = spark.createDataFrame([(1, "A", "TW", "listing", day("2024-01-10"), None), (2, "A", "TW", "delisting", day("2024-01-20"), None),
+                                  (3, "A", "TW", "ticker_change", day("2024-01-25"), "B")], LIFE)
+    got = un.blocking_intervals(events, life).collect()
+    ends = {"delisting": ("20",), "listing_status_change": ("10", "20"), "ticker_change": ("25",)}
+    want = [(d, min((e for e in (day(f"2024-01-{x}") for x in ends[k]) if e >= d), default=None)) for k in ends for d in days(30)]
+    assert sorted((r.b_from, str(r.b_to)) for r in got) == sorted((d, str(e)) for d, e in want)
