@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm import buffers as bf
@@ -161,7 +162,7 @@ def _unpacked(blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _links(least: float):
     """kind 0: links of an own row in this group; kind 1: a row and one that it is joined to."""
     def run(table: pa.Table) -> pa.Table:
-        own, others = (table.filter(pa.compute.equal(table["is_own"], pa.scalar(x)))["block"] for x in (True, False))
+        own, others = (table.filter(pc.equal(table["is_own"], pa.scalar(x)))["block"] for x in (True, False))
         if not len(own) or not len(others):
             return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         own = _unpacked(own)

@@ -29,6 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm import buffers as bf
@@ -193,7 +194,7 @@ def _match(hot_pieces: int):
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Lengths of a list column (nulls are empty) and its flat fields."""
     col = batch.column(name)
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0))
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(col), 0))
     flat = col.flatten()
     return sizes, {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
 

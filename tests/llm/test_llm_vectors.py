@@ -1,10 +1,15 @@
 """The exact join of near vectors."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from check_oracle import compare
 
-from barloom.llm import metric_join
+from barloom.llm import buffers as bf, metric_join
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -69,3 +74,21 @@ def test_messy_near_vectors(spark):
     assert got == {5: (3, 1), 1: (3, 1), 11: (3, 1), 12: (3, 1), **{i: (0, i) for i in (2, 3, 4, 6, 7, 8, 9, 10)}}
     assert metric_join.near_vectors(df.limit(0)).count() == 0
     assert told(metric_join.near_vectors(df.where("vec_id IN (3, 4)"))) == {3: (0, 3), 4: (0, 4)}
+
+
+def test_links_need_no_module_of_another(tmp_path):
+    """A fresh worker gets its rows as Arrow bytes and has loaded pyarrow alone: what else
+    of it a task uses, its module imports."""
+    block = bf.pack(np.array([1, 2]), np.array([1, 1]), np.array([1.0, 0.0, 1.0, 0.1]))
+    rows = pa.record_batch({"is_own": [True, False], "block": [block, block]})
+    with pa.ipc.new_file(tmp_path / "rows", rows.schema) as out:
+        out.write(rows)
+    code = """
+import sys
+import pyarrow as pa
+from barloom.llm.metric_join import _links
+found = _links(0.9)(pa.ipc.open_file(sys.argv[1]).read_all())
+assert sorted(zip(*(found[c].to_pylist() for c in ("kind", "a", "b")))) == [(0, 1, 1), (0, 2, 1), (1, 2, 1)]
+"""
+    root = Path(__file__).resolve().parents[2]
+    subprocess.run([sys.executable, "-c", code, str(tmp_path / "rows")], check=True, cwd=root)
