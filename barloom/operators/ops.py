@@ -85,7 +85,8 @@ def kpi_symbol_completeness(watchlists: DataFrame, calendar: DataFrame, lifecycl
     """Per market: share of symbols with 95 % of their expected days this month.
 
     The month is that of the market's latest date up to ``reference``; expected
-    days lie in the symbol's active window.
+    days lie in the symbol's active window. A market none of whose symbols has expected
+    days has 0 symbols, no value and fails.
     """
     ref = F.lit(reference).cast("date")
     month = calendar.where(F.col("date") <= ref).groupBy("market").agg(F.max("date").alias("_last"))
@@ -109,9 +110,11 @@ def kpi_symbol_completeness(watchlists: DataFrame, calendar: DataFrame, lifecycl
         "market", "symbol", ratio(F.coalesce("_have", F.lit(0)), F.col("_want")).alias("share"))
     pct = _percentiles(j, keys=["market"], value="share", quantiles={"p50": 0.5, "p05": 0.05})
     g = j.groupBy("market").agg(count_true(F.col("share") >= SYMBOL_PASS).alias("passing"))
-    out = g.join(pct, "market").withColumn("passing_ratio", ratio("passing", "n"))
+    none = F.lit(0).cast("bigint")
+    out = watchlists.select("market").distinct().join(g.join(pct, "market"), "market", "left").withColumn(
+        "passing_ratio", ratio("passing", "n"))
     return out.select(
-        "market", F.col("n").alias("symbols"), "passing", "p50", "p05",
+        "market", F.coalesce("n", none).alias("symbols"), F.coalesce("passing", none).alias("passing"), "p50", "p05",
         (F.col("passing_ratio") * 100).alias("value"),
         _pass(F.col("passing_ratio") >= SYMBOL_PASS).alias("status"))
 

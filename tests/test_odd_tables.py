@@ -25,3 +25,12 @@ def test_minute_bars_of_value_zero(spark, changed):
     con, folder = changed("events", "SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN 0e0 ELSE value END AS value) FROM events")
     text, ok = compare(spark, con, folder, "validate_minute_bars")
     assert ok, text
+
+
+def test_completeness_when_no_symbol_is_active(spark, changed):
+    con, folder = changed("orders", """SELECT * FROM orders UNION ALL SELECT 10000000 + i, i, 'F', 1e0, TIMESTAMP '1999-02-28 00:00:00', '1-URGENT'
+        FROM range(25) r(i) UNION ALL SELECT 20000000 + i, i, 'F', 1e0, t, '1-URGENT'
+        FROM range(25) r(i), range(TIMESTAMP '1999-03-01', TIMESTAMP '1999-04-01', INTERVAL 1 DAY) s(t)""")
+    assert con.execute("SELECT count(*) FROM orders WHERE o_orderkey >= 10000000").fetchone() == (800,)
+    text, ok = compare(spark, con, folder, "kpi_symbol_completeness")
+    assert ok, text
