@@ -301,10 +301,10 @@ def parse_tick_snapshot(entries: DataFrame) -> DataFrame:
     return entries.select(*kept, F.inline(snapshot_observations("payload_body", "fetch_ts")))
 
 
-def explode_payload_records(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """payloads (id, payload_body) -> (id, ordinal, record), failures.
+def payload_records(payloads: DataFrame) -> DataFrame:
+    """payloads (id, payload_body) -> (id, ordinal, record); a failure is one row without record.
 
-    The record list sits under one of the wrapper keys, at most four levels
+    Both come from one pass, and nothing filters below the walk, which would repeat it. The record list sits under one of the wrapper keys, at most four levels
     down; keys are tried in order and the first path to a list with at least one
     object wins. A body is parsed once, to a VARIANT; the levels below are lookups in
     it. A node carries its path as digits, so the least path is the first one found
@@ -334,10 +334,15 @@ def explode_payload_records(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     hits = F.filter("_all", lambda n: F.exists(elements(n["body"]), lambda e: is_object(F.to_json(e))))
     p = p.select("id", "_all", F.array_min(F.transform(hits, lambda n: n["path"])).alias("_path"))
     found = F.filter("_all", lambda n: n["path"] == F.col("_path"))
-    records = p.where("_path IS NOT NULL").select("id", F.posexplode(F.filter(
+    return p.select("id", F.posexplode_outer(F.filter(
         F.transform(elements(F.get(found, F.lit(0))["body"]), lambda e: F.to_json(e)), is_object))
         .alias("ordinal", "record"))
-    return records, p.where("_path IS NULL").select(
+
+
+def explode_payload_records(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``payload_records`` as (id, ordinal, record) and failures (raw_payload_id, issue)."""
+    rows = payload_records(payloads)
+    return rows.where("record IS NOT NULL"), rows.where("record IS NULL").select(
         F.col("id").alias("raw_payload_id"), F.lit("no record list").alias("issue"))
 
 

@@ -3,6 +3,9 @@
 import json
 import random
 
+import __spark_entry__ as entry
+from small_data import SMALL
+
 from barloom.sources.payloads import RECORD_KEYS, explode_payload_records
 
 
@@ -58,3 +61,8 @@ def test_records_match_a_plain_walk(spark):
 def test_no_payloads(spark):
     records, failed = explode_payload_records(spark.createDataFrame([], "id long, payload_body string"))
     assert records.count() == failed.count() == 0
+
+
+def test_records_and_failures_come_from_one_pass(spark):
+    df = entry.queries()["explode_payload_records"](spark, SMALL)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
