@@ -119,19 +119,25 @@ def _differs(expected: Mapping[str, object]) -> Column:
     """Whether a column is another value; lists and mappings are columns of JSON text,
     where the order of keys does not count and numbers do as they are written. In a
     mapping of BY_FIELD each field is held against its own value: an absent one is null,
-    fields beside the expected ones do not count."""
+    fields beside the expected ones do not count. A text that is the expected one letter
+    for letter is not parsed; another is parsed once, as the argument of a lambda."""
     out = F.lit(False)
     for name, value in expected.items():
         if name in BY_FIELD:
-            given = F.try_parse_json(F.col(name))
-            for field, default in value.items():
-                text = F.coalesce(F.to_json(F.try_variant_get(given, f"$.{field}", "variant")),
-                                  F.lit("null"))
-                out = out | (text != F.to_json(F.parse_json(F.lit(json.dumps(default)))))
-            out = out | F.coalesce(~F.schema_of_variant(given).startswith("OBJECT"), F.lit(True))
+            def other(given: Column) -> Column:
+                off = F.coalesce(~F.schema_of_variant(given).startswith("OBJECT"), F.lit(True))
+                for field, default in value.items():
+                    text = F.coalesce(F.to_json(F.try_variant_get(given, f"$.{field}", "variant")),
+                                      F.lit("null"))
+                    off = off | (text != F.to_json(F.parse_json(F.lit(json.dumps(default)))))
+                return off
+
+            out = out | F.when(F.col(name) == json.dumps(value), False).otherwise(
+                F.exists(F.array(F.try_parse_json(F.col(name))), other))
         elif isinstance(value, (dict, list)):
             given = F.to_json(F.try_parse_json(F.col(name)))
-            out = out | ~given.eqNullSafe(F.to_json(F.parse_json(F.lit(json.dumps(value)))))
+            out = out | F.when(F.col(name) == json.dumps(value), False).otherwise(
+                ~given.eqNullSafe(F.to_json(F.parse_json(F.lit(json.dumps(value))))))
         else:
             out = out | ~F.col(name).eqNullSafe(F.lit(value))
     return out
@@ -154,38 +160,42 @@ def strict_run_issues(runs: DataFrame, *, cohorts: Sequence[str], cohort: str |
     def clean(name: str) -> Column:
         return F.filter(F.transform(name, lambda s: F.upper(F.trim(s))), lambda s: s != "")
 
-    symbols, known = clean("symbols"), clean("universe")
     shape = (F.col("symbols").isNull() | F.col("universe").isNull()
              | ~F.coalesce(F.col("cohort_id").isin(*cohorts), F.lit(False)))
-    untidy = ((F.col("symbols") != symbols) | (F.col("universe") != known)
-              | (F.array_sort(F.array_distinct(symbols)) != symbols)
-              | (F.array_sort(F.array_distinct(known)) != known)
-              | (F.size(F.array_except(symbols, known)) > 0))
-    covered = F.size(F.array_intersect(symbols, known))
     alone = F.array(F.lit(SINGLE_SYMBOL))
-    crowded = (F.col("cohort_id").eqNullSafe(F.lit(single)) & F.lit(single is not None)
-               & ((symbols != alone) | (known != alone)))
-    broken = shape | F.coalesce(untidy, F.lit(True))
-    thin = ((F.col("cohort_id") == all_active)
-            & ((F.size(known) == 0) | (F.size(symbols) == 0)
-               | (F.size(F.array_except(symbols, known)) > 0)
-               | (ratio_or_zero(covered, F.size(F.array_distinct(known))) < MIN_COVERAGE)))
     ranged = (F.col("range_start").eqNullSafe(F.date_sub(basis, RANGE_DAYS))
               & F.col("range_end").eqNullSafe(basis))
     detailed = strict & basis.isNotNull()
-    rules = [
-        F.when(~F.coalesce(F.col("status") == "succeeded", F.lit(False)), "run_not_succeeded"),
-        F.when(~strict, "missing_strict_evidence"),
-        F.when(strict & basis.isNull(), "invalid_basis_date"),
-        F.when(strict & F.col("signal_frozen_at").isNull(), "invalid_signal_frozen_at"),
-        F.when(detailed & (frozen_day != basis), "signal_frozen_at_not_on_basis_date"),
-        *[F.when(detailed & ~shape & _differs(e), name) for name, e in recipe.items()],
-        F.when(detailed & ~shape & ~ranged, "strict_date_range_recipe_mismatch"),
-        F.when(detailed & broken, "invalid_universe_snapshot"),
-        F.when(detailed & ~broken & crowded, "strict_2330_universe_mismatch"),
-        F.when(detailed & F.coalesce(thin, F.lit(False)), "strict_execution_coverage_mismatch"),
-    ]
-    return runs.withColumn("issues", F.array_compact(F.array(*rules)))
+
+    def found(tidy: Column) -> Column:
+        symbols, known = tidy["symbols"], tidy["known"]
+        untidy = ((F.col("symbols") != symbols) | (F.col("universe") != known)
+                  | (F.sort_array(F.array_distinct(symbols)) != symbols)
+                  | (F.sort_array(F.array_distinct(known)) != known)
+                  | (F.size(F.array_except(symbols, known)) > 0))
+        covered = F.size(F.array_intersect(symbols, known))
+        crowded = (F.col("cohort_id").eqNullSafe(F.lit(single)) & F.lit(single is not None)
+                   & ((symbols != alone) | (known != alone)))
+        broken = shape | F.coalesce(untidy, F.lit(True))
+        thin = ((F.col("cohort_id") == all_active)
+                & ((F.size(known) == 0) | (F.size(symbols) == 0)
+                   | (F.size(F.array_except(symbols, known)) > 0)
+                   | (ratio_or_zero(covered, F.size(F.array_distinct(known))) < MIN_COVERAGE)))
+        return F.array_compact(F.array(
+            F.when(~F.coalesce(F.col("status") == "succeeded", F.lit(False)), "run_not_succeeded"),
+            F.when(~strict, "missing_strict_evidence"),
+            F.when(strict & basis.isNull(), "invalid_basis_date"),
+            F.when(strict & F.col("signal_frozen_at").isNull(), "invalid_signal_frozen_at"),
+            F.when(detailed & (frozen_day != basis), "signal_frozen_at_not_on_basis_date"),
+            *[F.when(detailed & ~shape & _differs(e), name) for name, e in recipe.items()],
+            F.when(detailed & ~shape & ~ranged, "strict_date_range_recipe_mismatch"),
+            F.when(detailed & broken, "invalid_universe_snapshot"),
+            F.when(detailed & ~broken & crowded, "strict_2330_universe_mismatch"),
+            F.when(detailed & F.coalesce(thin, F.lit(False)), "strict_execution_coverage_mismatch")))
+
+    # the cleaned lists are a lambda's argument, so that each is made once a run
+    tidy = F.array(F.struct(clean("symbols").alias("symbols"), clean("universe").alias("known")))
+    return runs.withColumn("issues", F.get(F.transform(tidy, found), F.lit(0)))
 
 
 def forward_signal_issues(runs: DataFrame, signals: DataFrame) -> DataFrame:

@@ -1,7 +1,11 @@
 """Queries against their SQL on tables in which a case occurs that the test data lack."""
 
+import re
+
 import duckdb
 import pytest
+
+import __spark_entry__ as entry
 from check_oracle import TABLES, compare
 from small_data import SMALL
 
@@ -34,3 +38,13 @@ def test_completeness_when_no_symbol_is_active(spark, changed):
     assert con.execute("SELECT count(*) FROM orders WHERE o_orderkey >= 10000000").fetchone() == (800,)
     text, ok = compare(spark, con, folder, "kpi_symbol_completeness")
     assert ok, text
+
+
+def test_strict_rules_read_a_text_and_a_list_once(spark):
+    df = entry.queries()["strict_run_issues"](spark, SMALL)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        plan = df._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert [len(re.findall(p, plan)) for p in (r"parse_json\(extended#", r"transform\(symbols#", r"transform\(universe#")] == [1, 1, 1]
