@@ -48,3 +48,17 @@ def test_strict_rules_read_a_text_and_a_list_once(spark):
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert [len(re.findall(p, plan)) for p in (r"parse_json\(extended#", r"transform\(symbols#", r"transform\(universe#")] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("name", ["micro_kpi_drift"])
+def test_lines_are_reduced_to_bars_once(spark, name):
+    df = entry.queries()[name](spark, SMALL)
+    read = " ".join(df.inputFiles())
+    # bars and lifecycle marks are stored; of the large tables only the events' orders are left
+    assert "lineitem" not in read and "orders" in read
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        plan = df._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "o_orderstatus = F" not in plan
