@@ -50,7 +50,7 @@ def test_strict_rules_read_a_text_and_a_list_once(spark):
     assert [len(re.findall(p, plan)) for p in (r"parse_json\(extended#", r"transform\(symbols#", r"transform\(universe#")] == [1, 1, 1]
 
 
-@pytest.mark.parametrize("name", ["micro_kpi_drift", "microstructure_observations"])
+@pytest.mark.parametrize("name", ["micro_kpi_drift", "microstructure_observations", "tradability_state"])
 def test_lines_are_reduced_to_bars_once(spark, name):
     df = entry.queries()[name](spark, SMALL)
     read = " ".join(df.inputFiles())
