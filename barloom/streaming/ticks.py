@@ -41,6 +41,8 @@ def landed_ticks(spark: SparkSession, path: str, *, files_per_batch: int | None
         snapshot_observations("e.payload_body", "e.fetch_ts")))
 
 
+# Bytes of a row group. A reading task sorts the rows of its groups by key, and a group is not cut.
+GROUP_BYTES = 8 << 20
 MANIFEST = "stream string, batch long, published_at timestamp, replaced boolean"
 
 
@@ -81,7 +83,7 @@ def _keep_batch(batch: DataFrame, number: int, sink: str, checkpoint: str, keys:
     if not _entries(spark, sink).where((F.col("stream") == stream) & (F.col("batch") == number)).isEmpty():
         return
     rows = batch.dropDuplicates(list(keys)) if keys else batch
-    rows.write.mode("overwrite").parquet(f"{sink}/data/stream={stream}/batch={number}")
+    rows.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{sink}/data/stream={stream}/batch={number}")
     _publish(spark, sink, [(stream, number, datetime.now(timezone.utc), False)])
 
 
@@ -123,7 +125,7 @@ def compact(spark: SparkSession, sink: str, keys: Sequence[str] = TICK_KEY, orde
     merged = keep_latest(_stored(spark, sink, spark.createDataFrame(batches, "stream string, batch long, published_at timestamp")),
                          keys=keys, order=["published_at", "stream", "batch", *order]).drop("stream", "batch", "published_at")
     name = f"merged-{uuid.uuid4().hex}"
-    merged.repartition(*keys).sortWithinPartitions(*keys).write.parquet(f"{sink}/data/stream={name}/batch=0")
+    merged.repartition(*keys).sortWithinPartitions(*keys).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{sink}/data/stream={name}/batch=0")
     latest = max(b.published_at for b in batches)
     _publish(spark, sink, [(name, 0, latest, False), *[(stream, batch, latest, True) for stream, batch in told]])
 

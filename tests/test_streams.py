@@ -1,6 +1,10 @@
 """Streams that lose no stored row."""
 
 import datetime as dt
+from pathlib import Path
+
+from pyarrow import parquet as pq
+from pyspark.sql import functions as F
 
 from barloom.streaming import ticks
 
@@ -60,3 +64,13 @@ def test_compaction_keeps_the_last_writes(spark, tmp_path):
     ticks.compact(spark, f"{folder}/table", ticks.MINUTE_KEY, ("seq",))  # nothing to merge
     _deliver(spark, folder, "b", [("y", 7.0, 1)])
     assert _closes(spark, folder) == {"x": 2.0, "y": 7.0, "z": 4.0}
+
+
+def test_a_large_batch_is_stored_in_groups_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ticks, "stream_id", lambda *_: "s")
+    rows = spark.range(0, 2_000_000, 1, 1).select(F.xxhash64("id").alias("a"), F.xxhash64("id", "id").alias("b"))
+    ticks._keep_batch(rows, 0, str(tmp_path), "none", ())
+    (file,) = Path(tmp_path, "data").rglob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_rows == 2_000_000
+    assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) <= 1.2 * ticks.GROUP_BYTES
