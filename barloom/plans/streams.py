@@ -10,7 +10,7 @@ from barloom.functions.columns import present
 from barloom.plans.catalog import query
 from barloom.plans.ingest import tick_entries
 from barloom.sources.archive import write_tick_archive
-from barloom.sources.shared import shared_dir
+from barloom.sources.shared import cut_lineage, shared_dir
 from barloom.sources.tables import table
 from barloom.streaming import ticks
 
@@ -25,7 +25,7 @@ def _folder(spark, name):
   FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0""")
 def _(spark, d):
     base = _folder(spark, "tick-stream")
-    entries = tick_entries(spark, d)
+    entries = cut_lineage(tick_entries(spark, d))  # written three times
     late = F.dayofmonth("trading_date") > 10
     # the later dates land first and every entry twice, at once or in both landings
     for part in (entries.where(late), entries.unionByName(entries.where(~late))):
@@ -34,7 +34,7 @@ def _(spark, d):
                                   checkpoint=f"{base}/checkpoint").awaitTermination()
     # a stream whose checkpoint is lost lands all once more
     ticks.stream_tick_landing(spark, f"{base}/in", sink=f"{base}/out", checkpoint=f"{base}/checkpoint-2").awaitTermination()
-    rows = ticks.landed(spark, f"{base}/out")
+    rows = ticks.landed(spark, f"{base}/out", columns=["trading_date"])
     return present(rows.select("symbol", "trading_date",
                                F.unix_millis("observation_ts").alias("millis")))
 

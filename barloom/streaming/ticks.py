@@ -25,18 +25,27 @@ TICK_KEY = ("archive_object_reference", "symbol", "observation_ts")
 MINUTE_KEY = ("market", "symbol", "bar_ts")
 
 
-def landed_ticks(spark: SparkSession, path: str, *, files_per_batch: int | None = None
+def landed_lines(spark: SparkSession, path: str, *, files_per_batch: int | None = None
                  ) -> DataFrame:
-    """Stream of observations from archive files as they land."""
+    """Stream of (value, market, trading_date, run_id): lines of archive files as they land."""
     reader = spark.readStream.schema(
         "value string, market string, trading_date date, run_id string")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     lines = reader.text(path).where(F.trim("value") != "")
-    entries = lines.select(
+    assert set(LAYOUT) <= set(lines.columns)
+    return lines
+
+
+def line_ticks(lines: DataFrame) -> DataFrame:
+    """Observations of archive lines, each line of a reference decoded once.
+
+    Copies of a line go before they are decoded, which costs more than to exchange
+    them; the exchange also deals the lines of a gzip part, which can't be split, over tasks.
+    """
+    entries = lines.dropDuplicates([*LAYOUT, "value"]).select(
         F.concat_ws("/", F.col("market"), F.col("trading_date").cast("string"), F.col("run_id"))
         .alias("archive_object_reference"), F.from_json("value", ENTRY).alias("e"))
-    assert set(LAYOUT) <= set(lines.columns)
     return entries.select("archive_object_reference", F.inline(
         snapshot_observations("e.payload_body", "e.fetch_ts")))
 
@@ -100,14 +109,20 @@ def stream_tick_landing(spark: SparkSession, path: str, *, sink: str, checkpoint
     Any number of streams may land in one sink, and a lost checkpoint lands all again
     beside what is there.
     """
-    ticks = landed_ticks(spark, path, files_per_batch=files_per_batch)
-    return (ticks.writeStream.foreachBatch(lambda batch, i: _keep_batch(batch, i, sink, checkpoint, TICK_KEY))
+    lines = landed_lines(spark, path, files_per_batch=files_per_batch)
+    return (lines.writeStream.foreachBatch(lambda batch, i: _keep_batch(line_ticks(batch), i, sink, checkpoint, TICK_KEY))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def landed(spark: SparkSession, sink: str, keys: Sequence[str] = TICK_KEY, order: Sequence[str] = ()) -> DataFrame:
-    """The rows of all published batches, of each key the last one by publication and then ``order``."""
+def landed(spark: SparkSession, sink: str, keys: Sequence[str] = TICK_KEY, order: Sequence[str] = (),
+           columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows of all published batches, of each key the last one by publication and then ``order``.
+
+    With ``columns``, keys and these alone: what is selected from a kept row is no hint for the reader.
+    """
     rows = _stored(spark, sink, published(spark, sink))
+    if columns is not None:
+        rows = rows.select(*dict.fromkeys([*keys, *columns, "published_at", "stream", "batch", *order]))
     return keep_latest(rows, keys=keys, order=["published_at", "stream", "batch", *order]).drop("stream", "batch", "published_at")
 
 

@@ -1,11 +1,13 @@
 """Streams that lose no stored row."""
 
 import datetime as dt
+import json
 from pathlib import Path
 
 from pyarrow import parquet as pq
 from pyspark.sql import functions as F
 
+from barloom.sources.archive import write_tick_archive
 from barloom.streaming import ticks
 
 SCHEMA = "market string, symbol string, bar_ts timestamp, close double, seq long"
@@ -74,3 +76,28 @@ def test_a_large_batch_is_stored_in_groups_of_bounded_size(spark, tmp_path, monk
     meta = pq.ParquetFile(file).metadata
     assert meta.num_rows == 2_000_000
     assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) <= 1.2 * ticks.GROUP_BYTES
+
+
+def test_copies_of_a_line_are_decoded_once(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    quotes = [{"c": c, "d": "20240102", "t": f"09:00:0{i}", "z": "1.5", "v": "3", "b": "1_2_"} for i, c in enumerate("xyz")]
+    entry = (dt.date(2024, 1, 2), dt.datetime(2024, 1, 2), json.dumps({"msgArray": quotes}))
+    rows = [("TW", entry[0], run, *entry[1:]) for run in ("r0", "r0", "r1")]
+    write_tick_archive(spark.createDataFrame(rows, "market string, trading_date date, run_id string, fetch_ts timestamp, payload_body string")
+                       .coalesce(1), f"{folder}/in")
+    decoded, keep = [], ticks._keep_batch
+
+    def counted(batch, *rest):
+        decoded.append(batch.count())
+        keep(batch, *rest)
+
+    monkeypatch.setattr(ticks, "_keep_batch", counted)
+    for checkpoint in ("a", "b"):  # the second is a lost checkpoint
+        ticks.stream_tick_landing(spark, f"{folder}/in", sink=f"{folder}/out", checkpoint=f"{folder}/{checkpoint}").awaitTermination()
+    assert decoded == [6, 6]
+    whole = ticks.landed(spark, f"{folder}/out")
+    assert sorted((r.archive_object_reference[-2:], r.symbol, r.last_price, r.best_bid_prices) for r in whole.collect()) == [
+        (run, c, 1.5, [1.0, 2.0]) for run in ("r0", "r1") for c in "xyz"]
+    part = ticks.landed(spark, f"{folder}/out", columns=["last_price"])
+    assert part.columns == [*ticks.TICK_KEY, "last_price"]
+    assert sorted(part.collect()) == sorted(whole.select(part.columns).collect())
