@@ -5,16 +5,19 @@ A document is the set of its distinct five-word shingles. Two documents whose se
 either set under any fixed order of shingles, so only these prefixes are exchanged.
 
 1. Documents with equal prefixes and set sizes collapse into one group.
-2. Groups that share a prefix shingle are candidates. Filters on group pairs: set size,
-   and what the common prefix shingles and the positions of the last one still allow.
-3. Surviving groups expand to their distinct sets. Pairs whose parity sketches differ in
-   more bits than the sets may in shingles go; the others are compared in full, and only
-   while they are in different components: first one partner each, then the rest.
-
-The order puts shingles of very many documents last, so a passage that a third of all
-documents share is hardly ever in a prefix. Any order gives the same links. Lists of more than
+2. Groups that share a prefix shingle are candidates. Filters on group pairs: set size, the
+   shorter prefixes that the two sizes allow, and what the common prefix shingles and the
+   positions of the last one still allow.
+3. Surviving groups expand to their distinct sets. Pairs whose parity sketches, which come with
+   the prefixes, differ in more bits than the sets may in shingles go. Only of what is left are
+   whole sets made, and compared while they are in different components: first one partner
+   each, then the rest.
+
+The order puts shingles of many documents last, so a passage that documents have from
+elsewhere is hardly ever in a prefix. Any order gives the same links. Lists of more than
 LIST groups (large families of near copies) are not paired within: all compare with the
-first member, and what is still apart from the family meets it block by block in tasks.
+first member, and what is still apart meets its list, or all lists that hang together
+where that is less, block by block in tasks.
 """
 
 from __future__ import annotations
@@ -34,16 +37,18 @@ bf.lean_memory()  # in every worker that runs these tasks
 WIDTH = 5
 SIMILAR = 75
 MOST_HEAVY = 1 << 20
-LOCAL_BYTES = 8 << 20
+LOCAL_BYTES = 24 << 20
 LOCAL_COUNT = 2
+HEAVY_COUNT = 8
 LIST = 64
 BLOCK = 512
+FILTER_BITS = 26
 BAND = math.log(100 / SIMILAR) * 1.000001
 _BITS = np.uint64(52)
 _LOW = np.uint64((1 << 52) - 1)
 _HEAVY = np.uint64(1 << 52)
 
-FOUND = "kind int, a long, b long, c long, d long, e long, f long"
+FOUND = "kind int, a long, b long, c long, d long, e long, f long, sketch binary"
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,13 +70,28 @@ def set_prints(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (_sums(bf.mix(keys + np.uint64(0x51ED270B1)), at), _sums(bf.mix(keys ^ np.uint64(0x7F4A7C159E3779B9)), at))
 
 
+def _sketches(keys: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Parity sketches of sets: one bit per residue, set when an odd number of shingles has it.
+
+    Bits in which two sketches differ are at most the shingles in which the sets differ.
+    """
+    out = []
+    for i in range(len(at) - 1):
+        k = keys[at[i]:at[i + 1]]
+        bits = 1 << max(6, (4 * len(k)).bit_length())
+        odd = np.bincount((k & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8)))
+    return out
+
+
 def _local_counts(buckets: int):
     """Shingles met in LOCAL_COUNT or more distinct sets of one stretch of a task."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, size = [], set(), 0
 
         def flush():
-            keys = np.sort(np.concatenate(held))
+            keys = np.concatenate(held)
+            keys.sort()
             g = bf.groups(keys)
             count = np.diff(g)
             often = count >= LOCAL_COUNT
@@ -117,9 +137,8 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     MOST_HEAVY commonest at most, a bound on what is broadcast and no change to the result.
     """
     buckets = bf.bucket_count(docs.sparkSession, 1)
-    least = max(LIST // 2, 2 * LOCAL_COUNT)
     rows = (docs.mapInArrow(_local_counts(buckets), "bucket int, block binary").groupBy("bucket")
-            .applyInArrow(_total_counts(least), "key long, n long").orderBy(F.desc("n"), "key").limit(MOST_HEAVY).toArrow())
+            .applyInArrow(_total_counts(HEAVY_COUNT), "key long, n long").orderBy(F.desc("n"), "key").limit(MOST_HEAVY).toArrow())
     if not rows.num_rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     keys, n = rows["key"].to_numpy().astype(np.uint64), rows["n"].to_numpy()
@@ -138,6 +157,7 @@ def _post(heavy, buckets: int):
             n = np.diff(at)
             owner = np.repeat(np.arange(len(n)), n)
             fa, fb = set_prints(keys, at)
+            sketches = _sketches(keys, at)
             if len(last):
                 place = np.minimum(np.searchsorted(last, keys), len(last) - 1)
                 keys = np.where(last[place] == keys, rank[place] | _HEAVY, keys)
@@ -162,19 +182,22 @@ def _post(heavy, buckets: int):
             home = np.arange(len(n)) % buckets
             o2, b2 = bf.by_bucket(home, buckets)
             facts = [a[o2] for a in (ids, n, fa.view(np.int64), fb.view(np.int64), group.view(np.int64))]
+            facts.append(np.array([len(x) for x in sketches], np.int32)[o2])
+            ends = np.append(0, np.cumsum(facts[-1], dtype=np.int64))[b2]
+            flat = np.concatenate([sketches[i] for i in o2])
             used = np.flatnonzero((np.diff(b) > 0) | (np.diff(b2) > 0))
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array(used, pa.int32()),
                 "block": pa.array([bf.pack(*[a[b[k]:b[k + 1]] for a in (keys, tags, sizes, position)],
-                                           *[a[b2[k]:b2[k + 1]] for a in facts]) for k in used], pa.binary())})
+                                           *[a[b2[k]:b2[k + 1]] for a in facts], flat[ends[k]:ends[k + 1]]) for k in used], pa.binary())})
     return run
 
 
-def _rows(kind: int, *columns: np.ndarray) -> pa.Table:
+def _rows(kind: int, *columns: np.ndarray, sketch: pa.Array | None = None) -> pa.Table:
     n = len(columns[0])
     cols = [np.full(n, kind, np.int32), *[np.asarray(c).astype(np.int64, copy=False) for c in columns]]
     cols += [np.zeros(n, np.int64)] * (7 - len(cols))
-    return pa.table(dict(zip(("kind", *"abcdef"), cols, strict=True)))
+    return pa.table(dict(zip(("kind", *"abcdef"), cols, strict=True)) | {"sketch": pa.nulls(n, pa.binary()) if sketch is None else sketch})
 
 
 def _pairs_of(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +213,9 @@ def _pairs_of(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    keys, tags, sizes, position, ids, n, fa, fb, group = bf.unpack_all(table["block"])
-    out = [_rows(0, ids, n, fa, fb, group)]
+    keys, tags, sizes, position, ids, n, fa, fb, group, length, flat = bf.unpack_all(table["block"])
+    ends = np.append(0, np.cumsum(length)).astype(np.int32)
+    out = [_rows(0, ids, n, fa, fb, group, sketch=pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(flat)]))]
     g = (sizes.astype(np.uint64) << np.uint64(32)) | tags
     o = np.argsort(keys)
     several = np.repeat(np.diff(at := bf.groups(keys[o])) > 1, np.diff(at))
@@ -207,6 +231,9 @@ def _candidates(table: pa.Table) -> pa.Table:
     left, right = _pairs_of(z[short], at[:-1][short])
     nl, nr = (g[left] >> np.uint64(32)).astype(np.int64), (g[right] >> np.uint64(32)).astype(np.int64)
     fits = 100 * nl >= SIMILAR * nr  # sorted by size within a list
+    # sets that have to share ``least`` shingles meet among the first n - least + 1 of either
+    least = -(-SIMILAR * (nl + nr) // (100 + SIMILAR))
+    fits &= (position[left] <= nl - least) & (position[right] <= nr - least)
     left, right = left[fits], right[fits]
     p = np.lexsort((keys[left], g[right], g[left]))
     left, right = left[p], right[p]
@@ -234,22 +261,35 @@ def _may_link(a: Column, b: Column, common: Column) -> Column:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets as 40-bit planes, which is plenty between two sets, and their parity sketches.
-
-    A sketch has one bit per residue, set when an odd number of shingles has it. Bits in
-    which two sketches differ are at most the shingles in which the sets differ.
-    """
+    """Sets as 40-bit planes, which is plenty between two sets, and their parity sketches."""
     for rows, data, off in bf.text_chunks(batches):
         keys, at = shingle_sets(data, off)
-        planes, sketches = [], []
-        for i in range(len(off) - 1):
-            k = keys[at[i]:at[i + 1]]
-            bits = 1 << max(6, (4 * len(k)).bit_length())
-            odd = np.bincount((k & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-            sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
-            planes.append((k >> np.uint64(12)).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes())
-        yield pa.RecordBatch.from_pydict({"id": rows.column("doc_id"), "n": pa.array(np.diff(at)), "sketch": pa.array(sketches, pa.binary()),
-                                          "shingles": pa.array(planes, pa.binary())})
+        planes = [(keys[at[i]:at[i + 1]] >> np.uint64(12)).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes() for i in range(len(off) - 1)]
+        yield pa.RecordBatch.from_pydict({"id": rows.column("doc_id"), "n": pa.array(np.diff(at)), "shingles": pa.array(planes, pa.binary()),
+                                          "sketch": pa.array([x.tobytes() for x in _sketches(keys, at)], pa.binary())})
+
+
+def _place(ids: np.ndarray) -> np.ndarray:
+    return (bf.mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for batch in batches:
+        p = _place(bf.longs(batch, "doc_id"))
+        np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
+    yield pa.RecordBatch.from_pydict({"at": pa.array(np.flatnonzero(bits)), "bits": pa.array(bits[bits > 0].astype(np.int32))})
+
+
+def _marked(marked):
+    """Rows whose doc_id may be one of those marked."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        np.bitwise_or.at(bits, marked.value[0], marked.value[1])
+        for batch in batches:
+            p = _place(bf.longs(batch, "doc_id"))
+            yield batch.filter(pa.array((bits[p >> 3] >> (p & 7)) & 1 > 0))
+    return run
 
 
 def _values(planes) -> np.ndarray:
@@ -307,8 +347,8 @@ def components(links: DataFrame) -> DataFrame:
 class _Links:
     """What has been compared so far, and the component of each set."""
 
-    def __init__(self, sets: DataFrame):
-        self.sets, self.links, self.tried, self.roots = sets, None, None, None
+    def __init__(self, texts: DataFrame, sets: DataFrame):
+        self.texts, self.sets, self.links, self.tried, self.roots = texts, sets, None, None, None
 
     def root(self, df: DataFrame, column: str, name: str) -> DataFrame:
         if self.roots is None:
@@ -327,9 +367,17 @@ class _Links:
         return pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "x", "y")
 
     def keep_only(self, ids: DataFrame) -> None:
-        """Leaves the sets that later comparisons may ask for; most candidates are gone by now."""
-        ids = ids.toDF("id").distinct().hint("merge")
-        self.sets = stored(self.sets.join(ids, "id", "left_semi"), "shingle-sets")
+        """Makes the whole sets that later comparisons may ask for; most candidates are gone by now.
+
+        A bit set of fixed size keeps nearly all other texts from the shuffle.
+        """
+        ids = stored(ids.toDF("doc_id").distinct(), "kept-ids")
+        bits = ids.coalesce(16).mapInArrow(_mark, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+        marked = ids.sparkSession.sparkContext.broadcast((bits["at"].to_numpy(), bits["bits"].to_numpy().astype(np.uint8)))
+        # a sort-merge join at every size: the ids grow with the texts
+        texts = self.texts.mapInArrow(_marked(marked), self.texts.schema).join(ids.hint("merge"), "doc_id", "left_semi")
+        self.sets = stored(texts.mapInArrow(_sets, "id long, n long, shingles binary, sketch binary"), "shingle-sets")
+        marked.unpersist()
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs that may link by their sketches; written, as several steps read them."""
@@ -382,8 +430,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pairs, lists = stored(pairs.distinct(), "candidates"), stored(lists, "lists")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(lists.select("id")).distinct()
-    # a sort-merge join at every size: the ids grow with the texts
-    links = _Links(stored(keyed.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets, "id long, n long, sketch binary, shingles binary"), "shingle-sets"))
+    sketches = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "sketch")
+    links = _Links(keyed, stored(sketches.join(wanted.hint("merge"), "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), "sketches"))
     _walk(links, pairs, lists)
 
     classes = facts.join(sets.drop("g"), ["n", "c", "d"], "left").select("doc_id", "n", "id")
@@ -411,12 +459,34 @@ def _walk(links: _Links, pairs: DataFrame, lists: DataFrame) -> None:
     rest = pairs
     if not led.isEmpty():
         family = components(led.select("a", F.col("id").alias("b")))
-        rest = rest.union(_families(links, family.select("id", F.col("root").alias("family"))))
+        rest = rest.union(_families(links, _units(links, lists, family.select("id", F.col("root").alias("family")))))
     links.compare(stored(links.apart(rest).distinct(), "round"))
 
 
+def _cost(members: DataFrame, key: str) -> DataFrame:
+    """Per ``key`` whose members (id, root) are of several components, the pairs that block against block meets."""
+    return (members.groupBy(key, "root").agg(F.count("*").alias("k")).groupBy(key).agg(F.sum("k").alias("m"), F.max("k").alias("k"))
+            .where("m > k").select(key, (F.col("m").cast("double") * (F.col("m") - F.col("k"))).alias("cost")))
+
+
+def _units(links: _Links, lists: DataFrame, family: DataFrame) -> DataFrame:
+    """(id, family): what to search for pairs, a family at once or list by list, whichever has fewer to meet.
+
+    A family is chained by lists, most of whose members need not meet those of another list; but
+    near copies are in many lists together. What is in one component already is left out.
+    """
+    members = stored(links.root(lists.select("list", "id").join(family, "id"), "id", "root"), "members")
+    by_list = _cost(members, "list")
+    of_list = members.select("list", "family").distinct().join(by_list, "list")
+    whole = _cost(members.select("id", "family", "root").distinct(), "family")
+    split = of_list.groupBy("family").agg(F.sum("cost").alias("apart")).join(whole, "family").where("apart < cost").select("family")
+    small = of_list.join(split, "family", "left_semi").select("list")
+    return stored(members.join(small, "list", "left_semi").select("id", F.col("list").alias("family"))
+                  .union(members.join(whole.join(split, "family", "left_anti"), "family", "left_semi").select("id", "family").distinct()), "units")
+
+
 def _families(links: _Links, family: DataFrame) -> DataFrame:
-    """Pairs that may link among sets joined by long lists, found block against block.
+    """Pairs that may link among sets of one unit of ``_units``, found block against block.
 
     Sets outside a family's main component meet all sets of the family, BLOCK by BLOCK,
     inside a task; only pairs whose sketches allow a link come out.

@@ -8,6 +8,7 @@ import pytest
 from llm_helpers import LONG, PROSE, messy, plain_components, plain_repeats, words
 
 from barloom.llm import decontaminate, jaccard_join, suffix_dedup
+from barloom.llm.stored import stored
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -128,6 +129,42 @@ def test_components_match_all_pairs(spark, monkeypatch, longest):
     assert got == plain_components(rows)
 
 
+def test_chance_candidates_leave_no_whole_sets(spark, monkeypatch):
+    """Texts that share a phrase only are told apart by what came with the prefixes."""
+    written = []
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: written.append((name, out := stored(df, name))) or out)
+    monkeypatch.setattr(jaccard_join, "HEAVY_COUNT", 10**9)
+    rng = random.Random(8)
+    phrases = [prose(rng, 7) for _ in range(12)]
+    rows = [(i, f"{phrases[i % 12]} {prose(rng, 12)}") for i in range(60)] + [(100, prose(rng, 40))]
+    rows += [(101, rows[-1][1] + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == plain_components(rows) and got[101][1] == 100
+    assert sum(df.count() for name, df in written if name == "candidates") > 1
+    assert [df.count() for name, df in written if name == "shingle-sets"] == [2]
+
+
+def test_chained_lists_are_searched_one_by_one(spark, monkeypatch):
+    """Long lists hang together by single texts; only members of one list meet."""
+    monkeypatch.setattr(jaccard_join, "LIST", 4)
+    monkeypatch.setattr(jaccard_join, "HEAVY_COUNT", 10**9)
+    units = []
+    families = jaccard_join._families
+    monkeypatch.setattr(jaccard_join, "_families", lambda links, family: units.append(family.groupBy("family").count().collect()) or families(links, family))
+    rng = random.Random(6)
+    parts = [prose(rng, 9) for _ in range(9)]
+    rows = []
+    for k, part in enumerate(parts):
+        rows += [(100 * k + i, f"{part} {prose(rng, 5)}") for i in range(6)]
+        rows.append((100 * k + 50, f"{part} {parts[(k + 1) % 9]}"))  # of two lists
+        rows.append((100 * k + 60, f"{rows[-4][1]} {prose(rng, 1)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == plain_components(rows)
+    assert units and max(r["count"] for r in units[0]) <= 12
+
+
 def test_components_of_messy_rows(spark):
     got = jaccard_join.near_duplicates(messy(spark)).collect()
     by = {r.doc_id: r for r in got if r.doc_id is not None}
