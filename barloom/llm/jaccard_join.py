@@ -37,7 +37,7 @@ bf.lean_memory()  # in every worker that runs these tasks
 WIDTH = 5
 SIMILAR = 75
 MOST_HEAVY = 1 << 20
-LOCAL_BYTES = 24 << 20
+LOCAL_BYTES = 16 << 20
 LOCAL_COUNT = 2
 HEAVY_COUNT = 8
 LIST = 64
@@ -91,9 +91,11 @@ def _local_counts(buckets: int):
 
         def flush():
             keys = np.concatenate(held)
+            held.clear()
             keys.sort()
+            keys = keys[1:][keys[1:] == keys[:-1]]  # all but the first of each shingle; few
             g = bf.groups(keys)
-            count = np.diff(g)
+            count = np.diff(g) + 1
             often = count >= LOCAL_COUNT
             keys, count = keys[g[:-1][often]], count[often].astype(np.uint32)
             o, at = bf.by_bucket(bf.spread(keys, buckets), buckets)
